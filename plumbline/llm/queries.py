@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, sharding, substrings, suffixes
+from . import decontaminate, langid, neardup, packing, sharding, substrings, suffixes, syncmers
 from .common import read
 
 
@@ -13,10 +13,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(read(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,7 +48,9 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_minhash_neardup": op2_minhash_neardup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_syncmer_fingerprints": op4_syncmer_fingerprints,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
