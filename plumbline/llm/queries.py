@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neardup, packing, sharding, substrings, suffixes, syncmers
+from . import decontaminate, langid, neardup, ordinal, packing, sharding, substrings, suffixes, syncmers, wrappers
 from .common import read
 
 
@@ -41,6 +41,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return ordinal.grade(docs, ordinal.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op9_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assign(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "h", "rank")
@@ -54,6 +63,8 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
+    "op8_ordinal_toxicity": op8_ordinal_toxicity,
+    "op9_wrapper_extraction": op9_wrapper_extraction,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 ORACLE: dict[str, str] = {}
