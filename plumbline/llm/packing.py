@@ -18,7 +18,9 @@ itself; of equally good levels the fullest wins; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,49 +38,70 @@ REMEMBERED = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = found = len(self)
+        return found
+
+
 class Words:
-    """Token ids of whole texts, by way of the words between ASCII white space, each encoded once.
+    """Token ids of whole texts, each distinct word put through the tokenizer's merges once.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids."""
+    The vocabulary's rules for texts in ASCII and Latin-1 letters are plain: lower case, then the
+    pieces below, whose bytes stand for characters of the merges. Any other text (or one that spells a
+    special token) goes through the tokenizer as a whole."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    #: Fixed by the vocabulary file: its pieces, on lower-cased bytes.
+    PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+    OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\\|")
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.at: dict[bytes, int] = {}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.whole.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        # a byte's character: itself where it prints, else the next free one from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.characters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.reset()
 
     def reset(self) -> None:
-        self.at.clear()
-        self.flat, self.first, self.size = np.zeros(1 << 20, dtype=np.uint32), [], []
-        self.used = 0
-
-    def learn(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            ids = found.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), dtype=np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[word] = len(self.first)
-            self.first.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
+        self.at = _Numbered()
+        self.known = 0
+        self.flat, self.first = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def learn(self) -> None:
+        """Encode the words numbered since the last call."""
+        new = list(islice(self.at, self.known, None))
+        if new:
+            ids = np.array(self.merges.encode_batch_fast([b" ".join(new).decode("latin-1").translate(self.characters | {32: " "})], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            assert len(ends) == len(new) and ends[-1] == len(ids)
+            self.first = np.concatenate([self.first, len(self.flat) + ends])
+            self.flat = np.concatenate([self.flat, ids])
+            self.known = len(self.at)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text with the end token behind them."""
         if len(self.at) > REMEMBERED:
             self.reset()
-        split = [x.encode().split() if x else [] for x in texts]
-        new = {w for words in split for w in words if w not in self.at}
-        if new:
-            self.learn(sorted(new))
-        first, size = np.array(self.first, dtype=np.int64), np.array(self.size, dtype=np.int64)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
-            ids = self.flat[ragged(first[at], size[at])] if len(at) else np.zeros(0, dtype=np.uint32)
-            out.append(np.append(ids, np.uint32(END)))
-        return out
+        parts = []
+        for text in texts:
+            if text and self.OTHER.search(text):
+                parts.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
+            else:
+                words = self.PIECES.findall((text or "").lower().encode())
+                parts.append(np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words)))
+        self.learn()
+        size = np.diff(self.first)
+        return [np.append(x if x.dtype == np.uint32 else self.flat[ragged(self.first[x], size[x])], np.uint32(END)) for x in parts]
 
 
 class Packer:

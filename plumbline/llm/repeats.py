@@ -82,11 +82,12 @@ def find_segments(docs: DataFrame, tokens_of: Callable, width: int, k: int) -> D
 def classify(segs: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     """segs: SEGMENT and `new`. (runs, refine): runs of windows of new rows that are repeated as whole
     segments, and the first segments that must be compared by window, with the number of classes."""
-    often = segs.groupBy("anchor").agg(F.count("*").alias("total"), F.max("new").alias("any_new")).where("total > 1 and any_new").drop("any_new")
+    # sums are written before they are joined: Spark splits a skewed join only if both sides come straight from a shuffle
+    often = materialize(segs.groupBy("anchor").agg(F.count("*").alias("total"), F.max("new").alias("any_new")).where("total > 1 and any_new").drop("any_new"), "often")
     some = materialize(segs.join(often, "anchor"), "segments")
     by = ["anchor", "ctx"]
-    classes = some.groupBy(*by).agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "start")).alias("first"))
-    mixed = classes.where("1=1").groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
+    classes = materialize(some.groupBy(*by).agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "start")).alias("first")), "classes")
+    mixed = materialize(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "mixed")
     joined = some.join(classes.where("same > 1"), by, "left")
     is_first = F.col("first").isNull() | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
     repeated = ~is_first if keep_first else F.col("first").isNotNull()
@@ -129,6 +130,7 @@ def repeated_windows(rows: DataFrame, keep_first: bool) -> DataFrame:
     """The new rows of WINDOW_ROW whose window stands elsewhere too, or (keep_first) earlier."""
     rows = materialize(rows, "windows")
     groups = rows.groupBy("h").agg(F.count("*").alias("times"), *([F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else [])).where("times > 1")
+    groups = materialize(groups, "groups")
     out = rows.where("new").join(groups, "h")
     if keep_first:
         out = out.where(F.struct("doc_id", "start") > F.col("first"))
