@@ -192,7 +192,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = LIKENESS) -> DataF
     """pairs (a, b) with ok: whether their full sets share percent of their union."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    some = materialize(texts.join(ids, "doc_id", "left_semi"), "texts")
+    # sort-merge joins at every size: a broadcast below some size would not be the plan of a large corpus
+    some = materialize(texts.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
     one, two = some.toDF("a", "text_a"), some.toDF("b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -212,7 +213,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = LIKENESS) -> DataF
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
 def cluster(docs: DataFrame, percent: int = LIKENESS, region: int = REGION) -> DataFrame:
