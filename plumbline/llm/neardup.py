@@ -11,8 +11,9 @@ that a third of all documents share is spread over tasks by the values behind it
 Equal sets are one class and stand in the orders once. Within a region the likeness of each two
 signatures is estimated in the task, and only the edges of a maximum spanning forest are emitted: not
 all pairs of a group. All emitted links are confirmed on the full sets. Where a link of the forest
-fails, the documents around it are looked at again: all candidate pairs across the components found so
-far are confirmed too. No candidate is capped.
+fails, the documents around it are looked at again: they go through the orders with their sets, and all
+candidate pairs across the components found so far are compared on those sets in the task, so that only
+pairs near the bound are emitted, to be confirmed like the others. No candidate is capped.
 
 A pair of likeness 0.75 agrees in the first value of a tree with probability 0.75; all 16 trees miss
 with 2e-10, at depth 3 with 1.5e-4.
@@ -136,19 +137,58 @@ def spanning(like: np.ndarray, floor: float) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(reps: DataFrame, region: int, floor: float, labelled: bool = False) -> DataFrame:
-    """Candidate pairs a < b of the forest over reps (rep, firsts, rest). labelled: reps also has a
-    label; then all candidate pairs of different labels, not a spanning forest."""
+def gram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (rep, k1, k2 and more) with `grams`: 32 bits of each hash of the set that k1 and k2 name."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep").hint("merge"), "rep", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows = []
+            for rep, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = shingles(text)
+                key = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64)
+                rows.append((rep, int(key[0]), int(key[1]), np.unique(own.astype(np.uint32)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["rep", "k1", "k2", "grams"])
+
+    sets = texts.mapInArrow(run, "rep long, k1 long, k2 long, grams binary").dropDuplicates(["rep", "k1", "k2"])
+    return wanted.join(sets.hint("merge"), ["rep", "k1", "k2"])
+
+
+def near(grams: pa.Array, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (x[i], y[i]) of sets come within a point of percent of their union."""
+    sets: dict[int, set] = {}
+
+    def own(i: int) -> set:
+        if i not in sets:
+            sets[i] = set(np.frombuffer(grams[i].as_py(), dtype=np.uint32).tolist())
+        return sets[i]
+
+    out = np.zeros(len(x), dtype=bool)
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        a, b = own(i), own(j)
+        both = len(a & b)
+        out[k] = 100 * both >= (percent - 1) * (len(a) + len(b) - both)
+    return out
+
+
+def candidates(reps: DataFrame, region: int, floor: float, labelled: bool = False, percent: int = LIKENESS) -> DataFrame:
+    """Candidate pairs a < b of the forest over reps (rep, firsts, rest). labelled: reps also has a label
+    and grams; then all candidate pairs of different labels whose sets are near, not a spanning forest."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
     label = F.col("label") if labelled else F.lit(0).cast("long")
     key = F.expr(f"concat(substring(unhex('{''.join(f'{t:02x}' for t in range(TREES))}'), t + 1, 1), substring(firsts, 4 * t + 1, 4), substring(rest, {STRIDE} * t + 1, {VALUES}), substring(rest, 1, {STRIDE} * t))")
-    order = reps.select("rep", label.alias("label"), "firsts", "rest", trees).select(key.alias("key"), "rep", "label")
+    more = ["grams"] if labelled else []
+    order = reps.select("rep", label.alias("label"), "firsts", "rest", *more, trees).select(key.alias("key"), "rep", "label", *more)
     order = order.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        parts = [(_fixed(b.column(0)), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        parts, grams = [], []
+        for b in batches:
+            parts.append((_fixed(b.column(0)), b.column(1).to_numpy(), b.column(2).to_numpy()))
+            grams += [b.column(3)] if labelled else []
         if not parts:
             return
+        sets = pa.chunked_array(grams) if labelled else None
         keys, ids, labels = (np.concatenate([p[i] for p in parts]) for i in range(3))
         if len(ids) < 2:
             return
@@ -158,12 +198,10 @@ def candidates(reps: DataFrame, region: int, floor: float, labelled: bool = Fals
             differ = keys[lo + 1 : hi + 1] != keys[lo:hi]
             lcp[lo:hi] = np.where(differ.any(axis=1), differ.argmax(axis=1), PREFIX + VALUES)
         rows = keys[:, PREFIX:]
-        i = np.flatnonzero(lcp >= PREFIX)  # neighbours that share the first value at least
-        i = i[estimates(rows, i, i + 1) >= floor]
-        if labelled:
-            i = i[labels[i] != labels[i + 1]]
-        found = [np.stack([ids[i], ids[i + 1]], 1)]
+        across = lcp >= PREFIX  # neighbours that share the first value at least
+        found = []
         for lo, hi in regions(lcp, region):
+            across[lo : hi - 1] = False  # the region's own edges link its neighbours
             own = lo + np.argsort(ids[lo:hi], kind="stable")
             like = np.empty((hi - lo, hi - lo))
             for at in range(hi - lo):
@@ -171,12 +209,19 @@ def candidates(reps: DataFrame, region: int, floor: float, labelled: bool = Fals
             like = (like - 1 / 256) / (1 - 1 / 256)
             if labelled:
                 x, y = np.nonzero(np.triu(like >= floor, 1) & (labels[own][:, None] != labels[own][None, :]))
+                close = near(sets, own[x], own[y], percent)
+                x, y = x[close], y[close]
             else:
                 edges = spanning(like, floor)
                 x, y = np.array(edges, dtype=np.int64).reshape(-1, 2).T
             if len(x):
                 found.append(np.stack([ids[own[x]], ids[own[y]]], 1))
-        pairs = np.concatenate(found)
+        i = np.flatnonzero(across)
+        i = i[estimates(rows, i, i + 1) >= floor]
+        if labelled:
+            i = i[labels[i] != labels[i + 1]]
+            i = i[near(sets, i, i + 1, percent)]
+        pairs = np.concatenate([*found, np.stack([ids[i], ids[i + 1]], 1)])
         pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -222,17 +267,18 @@ def cluster(docs: DataFrame, percent: int = LIKENESS, region: int = REGION) -> D
     own = signed.where("k1 is not null and doc_id is not null")
     reps = own.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "firsts", "rest")).alias("s")).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.firsts", "s.rest")
     reps = materialize(reps, "classes")
-    checked = materialize(confirm(materialize(candidates(reps, region, FLOOR), "pairs"), docs, percent), "links")
+    checked = materialize(confirm(materialize(candidates(reps, region, FLOOR, percent=percent), "pairs"), docs, percent), "links")
     found = components(checked.where("ok"))
     failed = checked.where("not ok")
     if not failed.isEmpty():
         found = materialize(found, "components")
         label = F.coalesce("component", "rep")
-        labelled = reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", "firsts", "rest", label.alias("label"))
+        labelled = reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", "k1", "k2", "firsts", "rest", label.alias("label"))
         ends = failed.select(F.col("a").alias("rep")).union(failed.select("b"))
-        near = labelled.join(ends, "rep", "left_semi").select("label").distinct()
-        again = materialize(labelled.join(near, "label").select("rep", "firsts", "rest", "label"), "around")
-        more = candidates(again, region, SECOND_FLOOR, labelled=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        touched = labelled.join(ends, "rep", "left_semi").select("label").distinct()
+        around = materialize(labelled.join(touched, "label"), "around")
+        again = materialize(gram_sets(docs, around), "sets")
+        more = candidates(again, region, SECOND_FLOOR, labelled=True, percent=percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         second = materialize(confirm(materialize(more, "pairs"), docs, percent), "links")
         found = components(checked.where("ok").select("a", "b").union(second.where("ok").select("a", "b")))
     by_set = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
