@@ -43,19 +43,34 @@ def ranks(data: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
     groups: a number for each position; suffixes of different groups are never equal. Suffixes that run
     out before that depth are all different. Prefix doubling over those not yet told apart."""
     n = len(data)
-    out = _spread(np.unique(groups.astype(np.int64) * 256 + data, return_inverse=True)[1])
-    depth, active = 1, np.arange(n)
+    depth = 8 if length > 8 and n else 1
+    if depth == 8:
+        padded = np.concatenate([data, np.zeros(7, dtype=np.uint8)]).astype(np.uint64)
+        first = np.zeros(n, dtype=np.uint64)
+        for i in range(8):
+            first = (first << np.uint64(8)) | padded[i : i + n]
+        order = np.argsort(first)
+        step = np.concatenate([[False], np.diff(first[order]) != 0])
+        ahead = np.empty(n, dtype=np.int64)
+        ahead[order] = np.cumsum(step)
+        key = groups.astype(np.int64) * n + ahead
+    else:
+        key = groups.astype(np.int64) * 256 + data
+    out = _spread(np.unique(key, return_inverse=True)[1])
+    active = np.arange(n)
     while depth < length:
         active = active[np.bincount(out, minlength=n)[out[active]] > 1]
         if not len(active):
             break
         step = min(depth, length - depth)
         ahead = active + step
-        second = np.where(ahead < n, out[np.minimum(ahead, n - 1)], -1 - active)
-        order = np.lexsort((second, out[active]))
-        a, b = out[active][order], second[order]
+        # a suffix that runs out sorts before the others, each by itself
+        second = np.where(ahead < n, out[np.minimum(ahead, n - 1)] + n, n - 1 - active)
+        both = out[active] * (2 * n) + second
+        order = np.argsort(both)
+        a, both = out[active][order], both[order]
         old = np.concatenate([[True], a[1:] != a[:-1]])
-        new = old | np.concatenate([[True], b[1:] != b[:-1]])
+        new = np.concatenate([[True], both[1:] != both[:-1]])
         place = np.arange(len(active))
         # an old rank of m members has room for m new ones, since a rank is the number of positions below it
         out = out.copy()
