@@ -86,7 +86,7 @@ def test_transforms_on_edges(spark):
     grouped = [r.x for r in X.group_rare(column(spark, ["a"] * 9 + ["b"] * 5 + ["c"] * 5 + ["d"], "string"), "x").orderBy("i").collect()]
     assert grouped[-1] == "Other" and grouped[0] == "a"
     merged = [r.x for r in X.merge_similar(column(spark, ["color", "colour", "zebra", "mat"], "string"), "x").orderBy("i").collect()]
-    assert merged[0] == merged[1] and merged[2] == "zebra"
+    assert merged == ["color", "color", "mat", "mat"]  # likeness 0.91 and 0.25; the third quartile of all pairs is 0.24
     with pytest.raises(ValueError):
         X.merge_similar(column(spark, list("abcd"), "string"), "x", 3)
 
