@@ -29,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def free(name: str, df: DataFrame) -> str:
+    """name, with underscores behind it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Shuffle files of queries that end inside are dropped at once, not at some later collection."""

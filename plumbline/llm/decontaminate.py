@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, materialize
 
 #: Fixed by the contract: A-Z is lowered, then words are what these ASCII characters separate. On UTF-8
 #: bytes, where all of a character outside ASCII is 0x80 or more and so belongs to a word.
@@ -153,14 +153,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns, scanned in place without a shuffle."""
-    lists = item_lists(benchmark, MAX_WORDS)
-    kept = docs
-    for items in lists:
-        if len(lists) > 1:
-            break
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_words: int = MAX_WORDS) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns, scanned in place without a shuffle
+    unless the benchmark needs several automata; then what is found is joined by the hash of the text."""
+    lists = item_lists(benchmark, max_words)
+    if len(lists) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(lists[0])
         at = docs.columns.index("text")
 
         def run(batches):
@@ -173,5 +171,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    bad = contamination(docs, benchmark, width).where("contaminated").select("doc_id", "row_key").distinct()
-    return kept.withColumn("row_key", F.xxhash64("text")).join(bad, ["doc_id", "row_key"], "left_anti").select(*docs.columns)
+    key = free("row_key", docs)
+    bad = contamination(docs, benchmark, width, max_words).where("contaminated").select(F.col("row_key").alias(key)).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == F.col(key), "left_anti")

@@ -8,7 +8,9 @@ statistics are frozen, so each context's code lengths are worked out once; a tex
 table look-ups, whole, in a stream. The language with the least code length wins.
 
 Training takes a bounded sample: at most `per_lang` documents of each language, those with the
-smallest hashes of doc_id, of at most `max_bytes` bytes each. Prediction sees the text alone.
+smallest hashes of doc_id, of at most `max_bytes` bytes each. Prediction sees the text alone. The tables
+have a bound in bytes; where alphabets or languages are so many that they would exceed it, the order of
+the trees is lowered.
 
 Nulls, empties, ties: a null text, or one without a letter, is `und` with score 0; without training
 rows all is `und`; of equal code lengths the first language by name wins; documents whose language is
@@ -25,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 ORDER = 3
 PER_LANG = 250
 MAX_BYTES = 20_000
 MAX_LANGS = 200
+#: The tables are sent to each executor, so their size has a bound.
+MODEL_BYTES = 256_000_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -54,7 +60,8 @@ def _contexts(codes: np.ndarray, order: int, size: int) -> np.ndarray:
     return out
 
 
-def fit(texts: dict[str, list[bytes]], order: int = ORDER) -> Model:
+def fit(texts: dict[str, list[bytes]], order: int = ORDER, model_bytes: int = MODEL_BYTES) -> Model:
+    """A model of at most model_bytes: its order is lowered until the tables of all languages fit."""
     langs = sorted(texts)
     seen = np.zeros(256, dtype=bool)
     for own in texts.values():
@@ -63,64 +70,45 @@ def fit(texts: dict[str, list[bytes]], order: int = ORDER) -> Model:
     symbols = np.zeros(256, dtype=np.int64)
     symbols[seen] = np.arange(1, seen.sum() + 1)
     size = int(seen.sum()) + 1
+    found = {lang: _counts([symbols[np.frombuffer(x, dtype=np.uint8)] for x in texts[lang]], order, size) for lang in langs}
+    while order and 4 * sum(size**order + size * sum(len(rows) for rows in own[: order + 1]) for own in found.values()) > model_bytes:
+        order -= 1
     model = Model(langs, symbols, size, order, [], [])
+    # the code of a byte that no training text has: its class, then one of the class
+    unseen = max(256 - int(seen.sum()), 1)
+    flat = np.ones(size)
+    flat[0] = unseen
+    base = flat / flat.sum()
     for lang in langs:
-        counts: list[dict[int, np.ndarray]] = []
-        arrays = [symbols[np.frombuffer(x, dtype=np.uint8)] for x in texts[lang]]
-        for o in range(order + 1):
-            keys = np.concatenate([_contexts(a, o, size) * size + a for a in arrays]) if arrays else np.zeros(0, dtype=np.int64)
-            pairs, n = np.unique(keys, return_counts=True)
-            table: dict[int, np.ndarray] = {}
-            cuts = np.flatnonzero(np.diff(pairs // size)) + 1
-            for part, amount in zip(np.split(pairs, cuts), np.split(n, cuts)):
-                if len(part):
-                    row = np.zeros(size)
-                    row[part % size] = amount
-                    table[int(part[0] // size)] = row
-            counts.append(table)
-        unseen = 256 - int(seen.sum())
-        flat = np.ones(size)
-        flat[0] = max(unseen, 1)
-        base = flat / flat.sum()
-        # the code of a byte that no training text has: its class, then one of the class
         probs: list[np.ndarray] = []
-        index: dict[int, int] = {}
+        rows = np.zeros(1, dtype=np.int32)
         for o in range(order + 1):
-            deeper: dict[int, int] = {}
-            for context, row in counts[o].items():
-                shorter = base if o == 0 else probs[index[context % size ** (o - 1)]] if context % size ** (o - 1) in index else base
+            # a context that this order hasn't seen is coded in the next shorter one
+            rows = np.tile(rows, size) if o else rows
+            for context, symbol, amount in found[lang][o]:
+                shorter = probs[rows[context]] if o else base
+                row = np.zeros(size)
+                row[symbol] = amount
                 has = row > 0
                 n, u = row.sum(), has.sum()
-                p = row / (n + u)
                 rest = shorter[~has].sum()
-                if rest > 0:
-                    p = np.where(has, p, shorter * (u / (n + u)) / rest)
-                else:
-                    p = row / n
-                deeper[context] = len(probs)
-                probs.append(p)
-            # a context that this order hasn't seen is coded in the next shorter one
-            index = _spread(index, deeper, o, size)
-        rows = np.zeros(size**order, dtype=np.int32)
-        for context, at in index.items():
-            rows[context] = at
+                rows[context] = len(probs)
+                probs.append(np.where(has, row / (n + u), shorter * (u / (n + u)) / rest) if rest > 0 else row / n)
         bits = -np.log2(np.maximum(np.array(probs) if probs else base[None, :], 1e-12)).astype(np.float32)
-        bits[:, 0] += np.log2(max(unseen, 1))
+        bits[:, 0] += np.log2(unseen)
         model.rows.append(rows)
         model.bits.append(bits.ravel())
     return model
 
 
-def _spread(shorter: dict[int, int], deeper: dict[int, int], order: int, size: int) -> dict[int, int]:
-    """The row of each context of this order: its own, or that of its shorter suffix. Only the last
-    call needs all contexts, so those that have no row of their own are filled in there."""
-    if order == 0:
-        return dict(deeper)
-    out = {}
-    for suffix, at in shorter.items():
-        for first in range(size):
-            out[first * size ** (order - 1) + suffix] = at
-    out.update(deeper)
+def _counts(texts: list[np.ndarray], order: int, size: int) -> list[list[tuple]]:
+    """For each order the contexts seen, each with the symbols that follow it and how often."""
+    out = []
+    for o in range(order + 1):
+        keys = np.concatenate([np.zeros(0, dtype=np.int64), *(_contexts(x, o, size) * size + x for x in texts)])
+        pairs, n = np.unique(keys, return_counts=True)
+        cuts = np.flatnonzero(np.diff(pairs // size)) + 1
+        out.append([(int(p[0] // size), p % size, m) for p, m in zip(np.split(pairs, cuts), np.split(n, cuts)) if len(p)])
     return out
 
 
@@ -162,14 +150,13 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES,
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; docs: doc_id, text and whatever else, kept as it is."""
+    """docs with lang_pred and score, which have underscores behind their names where docs has such
+    columns already; docs: text and whatever else, kept as it is."""
     spark = docs.sparkSession
-    taken = {"lang_pred", "score"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"docs already has {sorted(taken)}")
+    names = [free("lang_pred", docs), free("score", docs)]
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{names[0]}` string, `{names[1]}` double"
 
     def run(batches):
         own = sent.value
@@ -177,7 +164,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [predict(own, x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
+                [*batch.schema.names, *names],
             )
 
     return docs.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import materialize
+from .common import free, materialize
 
 WIDTH = 20
 GRAM = 4
@@ -103,15 +103,17 @@ def cut(docs: DataFrame, width: int = WIDTH, k: int = GRAM, batches: int = 2) ->
     def run(batches_: Iterator[pa.RecordBatch]):
         for batch in batches_:
             texts = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                if text and runs:
+            for text, own in zip(batch.column("text").to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if text and own:
                     words = text.encode().split()
-                    gone = repeats.covered(len(words), runs, width)
+                    gone = repeats.covered(len(words), own, width)
                     text = b" ".join(w for w, g in zip(words, gone) if not g).decode()
                 texts.append(text)
             at = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
 
-    out = docs.withColumn("tkey", F.xxhash64("text")).join(removed(docs, width, k, batches), ["doc_id", "tkey"], "left").select(*docs.columns, "runs")
+    owner, key, runs = (free(x, docs) for x in ("owner", "tkey", "runs"))
+    lists = removed(docs, width, k, batches).toDF(owner, key, runs)
+    out = docs.join(lists, (docs["doc_id"].cast("long") == F.col(owner)) & (F.xxhash64(docs["text"]) == F.col(key)), "left").select(*docs.columns, runs)
     out = out.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

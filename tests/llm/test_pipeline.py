@@ -49,5 +49,17 @@ def test_stages_take_an_empty_table(spark, stage):
     assert stage[1](spark, docs, SF).count() == 0
 
 
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_columns_whose_names_clash_with_their_own(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["lang_pred", "Score", "runs", "tkey", "owner", "row_key", "component_id", "kept", "words", "a", "b", "rep"]
+    more = docs.selectExpr("*", *(f"'own' AS {x}" for x in names))
+    out = stage[1](spark, more, SF)
+    assert out.columns == more.columns
+    rows = out.collect()
+    assert {r[x] for r in rows for x in names} == {"own"}
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage[1](spark, docs, SF).collect())
+
+
 def test_shingles_are_over_lower_case_words():
     assert len(neardup.shingles("A b c d e F")) == 2 and (neardup.shingles("a b") == neardup.shingles("A  B\n")).all()

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, langid, packing, queries, sharding
 
@@ -44,6 +45,8 @@ def test_decontamination_against_brute_force(spark):
     assert [texts[3][a:b] for a, b in zip(place.hit_starts, place.hit_ends)] == ["AB, c D ab c d"]
     clean = decontaminate.clean(docs_of(spark, texts), bench)
     assert sorted(r.doc_id for r in clean.collect()) == [i for i in got if not got[i][4]] and clean.columns[-1] == "size"
+    parts = decontaminate.clean(docs_of(spark, texts).withColumn("row_key", F.lit("own")), bench, max_words=10)
+    assert sorted(r.doc_id for r in parts.collect()) == sorted(r.doc_id for r in clean.collect()) and {r.row_key for r in parts.collect()} == {"own"}
     empty = spark.createDataFrame([], "item_id long, text string")
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs_of(spark, texts), empty).collect())
     assert decontaminate.contamination(docs_of(spark, []), bench).count() == 0
@@ -68,6 +71,8 @@ def test_language_model_is_a_probability_and_handles_odd_texts(spark):
     assert langid.predict(model, "abab")[0] == "a" and langid.predict(model, "xyé" * 20000)[0] == "b"
     none = langid.train(docs_of(spark, ["abc"]).selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert langid.predict(none, "abc") == ("und", 0.0)
+    small = langid.fit({"a": [b"abab abc"], "b": [b"xyxy xyz"]}, order=3, model_bytes=4000)
+    assert small.order < 3 and sum(x.nbytes for x in (*small.rows, *small.bits)) <= 4000 and langid.predict(small, "xyxy")[0] == "b"
     found = langid.identify(docs_of(spark, ["abab", None]), model)
     assert found.columns[-2:] == ["lang_pred", "score"] and found.count() == 2
 
