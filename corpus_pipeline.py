@@ -15,7 +15,8 @@ from plumbline.llm.common import materialize, read
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go. The model learns from the rows that may train."""
     model = langid.train(langid.training_rows(docs))
-    return langid.identify(docs, model).where("lang_pred <> 'und'").drop("lang_pred", "score")
+    found = langid.identify(docs, model)
+    return found.where(found[found.columns[-2]] != "und").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
