@@ -15,6 +15,12 @@ fails, the documents around it are looked at again: they go through the orders w
 candidate pairs across the components found so far are compared on those sets in the task, so that only
 pairs near the bound are emitted, to be confirmed like the others. No candidate is capped.
 
+Splitting a region parts pairs that no other tree may bring together: in a large group around one text a
+copy may be linked to that text alone. So all documents of regions that were split are compared once
+more, on their full sets: each two of them, of different components and of sizes that allow a link, in
+blocks whose shared shingles are counted by a matrix product. That is exact, and costs the square of such
+a group in products, not in rows.
+
 A pair of likeness 0.75 agrees in the first value of a tree with probability 0.75; all 16 trees miss
 with 2e-10, at depth 3 with 1.5e-4.
 
@@ -25,6 +31,7 @@ repeated rows have the same component; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Rolling, materialize, mix
+from .common import BASE, Rolling, materialize, mix, ragged
 from .components import components
 from .repeats import word_hashes
 
@@ -137,8 +144,8 @@ def spanning(like: np.ndarray, floor: float) -> list[tuple[int, int]]:
     return out
 
 
-def gram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (rep, k1, k2 and more) with `grams`: 32 bits of each hash of the set that k1 and k2 name."""
+def gram_sets(docs: DataFrame, wanted: DataFrame, kind: type = np.uint32) -> DataFrame:
+    """wanted (rep, k1, k2 and more) with `grams`: the hashes, or 32 bits of each, of the set that k1 and k2 name."""
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep").hint("merge"), "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -147,7 +154,7 @@ def gram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for rep, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = shingles(text)
                 key = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64)
-                rows.append((rep, int(key[0]), int(key[1]), np.unique(own.astype(np.uint32)).tobytes()))
+                rows.append((rep, int(key[0]), int(key[1]), np.unique(own.astype(kind)).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["rep", "k1", "k2", "grams"])
 
     sets = texts.mapInArrow(run, "rep long, k1 long, k2 long, grams binary").dropDuplicates(["rep", "k1", "k2"])
@@ -228,6 +235,107 @@ def candidates(reps: DataFrame, region: int, floor: float, labelled: bool = Fals
     return order.mapInArrow(run, PAIR).distinct()
 
 
+def split_groups(reps: DataFrame, region: int) -> DataFrame | None:
+    """rep, group for the documents of regions that were split: documents that share the first value of a
+    tree with more than `region` of them are of one group, as are regions that share a document."""
+    values = F.array(*(F.lit(t << 32) + F.conv(F.hex(F.substring("firsts", 4 * t + 1, 4)), 16, 10).cast("long") for t in range(TREES)))
+    placed = reps.select("rep", F.explode(values).alias("at"))
+    split = materialize(placed.groupBy("at").count().where(F.col("count") > region).select("at"), "split")
+    if split.isEmpty():
+        return None
+    members = materialize(placed.join(split, "at").groupBy("rep").agg(F.collect_set("at").alias("all")).select("rep", F.array_min("all").alias("at"), "all"), "members")
+    joined = components(members.select("at", F.explode("all").alias("other")).distinct(), "at", "other")
+    return members.select("rep", "at").join(joined, F.col("at") == F.col("node"), "left").select("rep", F.coalesce("component", "at").alias("group")).distinct()
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets x[i], y[j] share."""
+    tx, ty = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(tx, ty)
+    places = []
+    for sets, values in ((x, tx), (y, ty)):
+        rows, ids = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(common, values)
+        known = np.flatnonzero(common[np.minimum(ids, len(common) - 1)] == values) if len(common) else np.zeros(0, dtype=np.int64)
+        by_id = known[np.argsort(ids[known], kind="stable")]
+        places.append((rows[by_id], ids[by_id], np.bincount(ids[by_id], minlength=len(common))))
+    (rx, ix, fx), (ry, iy, fy) = places
+    out = np.zeros((len(x), len(y)), dtype=np.float32)  # counts under 2**24 are exact
+    dense = 128 * fx * fy > out.size
+    number = np.cumsum(dense) - 1
+    for lo in range(0, int(dense.sum()), 512):
+        sides = []
+        for rows, ids, n in ((rx, ix, len(x)), (ry, iy, len(y))):
+            of = dense[ids] & (number[ids] >= lo) & (number[ids] < lo + 512)
+            side = np.zeros((n, 512), dtype=np.float32)
+            side[rows[of], number[ids[of]] - lo] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    # the others as pairs of places
+    start, each = np.cumsum(fy) - fy, fy[ix] * ~dense[ix]
+    ends = np.cumsum(each)
+    lo = 0
+    while lo < len(ix):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 21), "right")))
+        pairs = np.repeat(rx[lo:hi], each[lo:hi]) * len(y) + ry[ragged(start[ix[lo:hi]], each[lo:hi])]
+        at, count = np.unique(pairs, return_counts=True)
+        out.reshape(-1)[at] += count
+        lo = hi
+    return out
+
+
+def joining(ok: np.ndarray, of_x: np.ndarray, of_y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (i, j) of ok that join components as all of ok do; of_x and of_y are the components before."""
+    now = np.concatenate([of_x, of_y])
+    m, out = len(of_x), []
+    for i in np.flatnonzero(ok.any(axis=1)).tolist():
+        j = np.flatnonzero(ok[i])
+        new, first = np.unique(now[m + j], return_index=True)
+        apart = new != now[i]
+        out += [(i, int(k)) for k in j[first[apart]]]
+        if apart.any():
+            now[np.isin(now, new[apart])] = now[i]
+    return out
+
+
+BLOCK, BLOCK_GRAMS = 2048, 1 << 20
+
+
+def exact(docs: DataFrame, members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the components of members (rep, k1, k2, label, n_shingles, group) as all links
+    within groups do. Sizes are dealt to classes so that linked sets are of one class or neighbouring ones."""
+    size = F.floor(F.log("n_shingles") / math.log(100 / percent * 1.001)).cast("int")
+    members = members.withColumn("size", size)
+    big = members.groupBy("group", "size", "label").count().where(F.col("count") >= block // 2).select("group", "size", "label", F.col("label").alias("own"))
+    dealt = members.join(big, ["group", "size", "label"], "left")
+    dealt = materialize(gram_sets(docs, dealt, np.uint64), "sets")
+    cells = dealt.groupBy("group", "size", "own").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / BLOCK_GRAMS)).cast("int").alias("parts"))
+    cells = materialize(cells, "cells")
+    name = F.concat_ws("/", F.col("group"), F.col("size"), F.coalesce(F.col("own").cast("string"), F.lit("-")), F.col("part"))
+    rows = dealt.join(cells, dealt["group"].eqNullSafe(cells["group"]) & dealt["size"].eqNullSafe(cells["size"]) & dealt["own"].eqNullSafe(cells["own"]))
+    rows = rows.select("rep", "label", "grams", dealt["group"], dealt["size"], dealt["own"], F.expr("pmod(xxhash64(rep, k1, k2), parts)").cast("int").alias("part")).select("rep", "label", "grams", name.alias("block"))
+    blocks = cells.select("group", "size", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("group", "size", "own", name.alias("block"))
+    x, y = blocks.toDF("group", "sx", "ox", "x"), blocks.toDF("group", "sy", "oy", "y")
+    pairs = x.join(y, "group").where("(sy = sx + 1 or sy = sx and x <= y) and not coalesce(ox = oy, false)").select("x", "y")
+    pairs = materialize(pairs, "blocks")
+    sides = rows.join(pairs, F.col("block") == F.col("x")).withColumn("side", F.lit(0)).unionByName(rows.join(pairs.where("x <> y"), F.col("block") == F.col("y")).withColumn("side", F.lit(1)))
+
+    def run(pdf):
+        import pandas as pd
+
+        parts = [pdf[pdf.side == 0], pdf[pdf.side == 1]]
+        parts[1] = parts[1] if pdf.x.iloc[0] != pdf.y.iloc[0] else parts[0]
+        found = []
+        if len(parts[0]) and len(parts[1]):
+            (sets_x, of_x, ids_x), (sets_y, of_y, ids_y) = (([np.frombuffer(g, dtype=np.uint64) for g in p.grams], p.label.to_numpy(), p.rep.to_numpy()) for p in parts)
+            both = overlaps(sets_x, sets_y).astype(np.int64)
+            sizes = np.array([len(s) for s in sets_x])[:, None] + np.array([len(s) for s in sets_y])[None, :]
+            ok = (100 * both >= percent * (sizes - both)) & (of_x[:, None] != of_y[None, :])
+            found = [(min(ids_x[i], ids_y[j]), max(ids_x[i], ids_y[j])) for i, j in joining(ok, of_x, of_y)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return sides.select("x", "y", "side", "rep", "label", "grams").groupBy("x", "y").applyInPandas(run, PAIR)
+
+
 def _fixed(column: pa.Array) -> np.ndarray:
     """A binary column of equal lengths as a matrix of bytes."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, PREFIX + VALUES), dtype=np.uint8)
@@ -265,10 +373,11 @@ def cluster(docs: DataFrame, percent: int = LIKENESS, region: int = REGION) -> D
     """doc_id, n_shingles, component_id, kept, one row per document. docs: doc_id, text."""
     signed = materialize(sign(docs), "signatures")
     own = signed.where("k1 is not null and doc_id is not null")
-    reps = own.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "firsts", "rest")).alias("s")).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.firsts", "s.rest")
+    reps = own.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "firsts", "rest", "n_shingles")).alias("s")).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.firsts", "s.rest", "s.n_shingles")
     reps = materialize(reps, "classes")
     checked = materialize(confirm(materialize(candidates(reps, region, FLOOR, percent=percent), "pairs"), docs, percent), "links")
-    found = components(checked.where("ok"))
+    links = checked.where("ok").select("a", "b")
+    found = components(links)
     failed = checked.where("not ok")
     if not failed.isEmpty():
         found = materialize(found, "components")
@@ -280,7 +389,15 @@ def cluster(docs: DataFrame, percent: int = LIKENESS, region: int = REGION) -> D
         again = materialize(gram_sets(docs, around), "sets")
         more = candidates(again, region, SECOND_FLOOR, labelled=True, percent=percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         second = materialize(confirm(materialize(more, "pairs"), docs, percent), "links")
-        found = components(checked.where("ok").select("a", "b").union(second.where("ok").select("a", "b")))
+        links = links.union(second.where("ok").select("a", "b"))
+        found = components(links)
+    groups = split_groups(reps, region)
+    if groups is not None:
+        found, groups = materialize(found, "components"), materialize(groups, "groups")
+        members = reps.join(groups, "rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("label"), "group")
+        members = materialize(members, "members")
+        several = members.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
+        found = components(links.union(materialize(exact(docs, members.join(several, "group"), percent), "links")))
     by_set = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

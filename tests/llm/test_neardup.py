@@ -78,3 +78,37 @@ def test_components_against_union_find(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame([*links, (None, 1), (5, 5)], "a long, b long")).collect()}
     assert got == {n: find(n) for a, b in links for n in (a, b) if a != b} | {n: find(n) for a, b in links if a != b for n in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_group_around_one_text_is_whole(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    base = [word() for _ in range(150)]
+    items = [" ".join(base)]
+    for edits in [3] * 2500 + [5] * 40:  # at 0.81 of the first text, and at 0.70 or, where edits are close, more
+        copy = list(base)
+        for at in r.sample(range(150), edits):
+            copy[at] = word()
+        items.append(" ".join(copy))
+    sets = [set(neardup.shingles(t).tolist()) for t in items]
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    assert all(linked(sets[0], s) for s in sets[:2501])  # so these are one group
+    want = {i for i in range(len(items)) if i <= 2500 or any(linked(sets[i], s) for s in sets[:2501])}
+    loose = [i for i in range(len(items)) if i not in want]
+    assert loose and not any(linked(sets[i], sets[j]) for i in loose for j in range(len(items)) if i != j and j not in want)
+    rows = neardup.cluster(docs_of(spark, items).repartition(3), region=256).collect()
+    assert {row.doc_id for row in rows if row.component_id == 0} == want
+
+
+def test_small_regions_lose_no_link(spark):
+    for seed in (2, 3):
+        items = corpus(seed)
+        got = [(r.n_shingles, r.component_id) for r in sorted(neardup.cluster(docs_of(spark, items).repartition(3), region=8).collect())]
+        assert got == brute(items)
+
+
+def test_shared_counts_against_sets():
+    r = random.Random(5)
+    draw = lambda n: [neardup.np.unique(neardup.np.array([r.randrange(400) if r.random() < 0.5 else r.randrange(40) for _ in range(r.randint(1, 60))], dtype="uint64")) for _ in range(n)]
+    x, y = draw(50), draw(70)
+    assert (neardup.overlaps(x, y) == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]).all()
