@@ -12,7 +12,7 @@ in varying slots stay, and where the wrapper knows a slot as constant, they go.
 knows (a host with few pages) stays if it isn't mostly links.
 
 A host with a third of all pages costs no more to learn: its sample is picked by a threshold on a hash
-from its page count, before pages meet by host. Wrappers are sent to all tasks only if they are small
+of the html from its count of distinct pages, before pages meet by host. Copies of a page count once. Wrappers are sent to all tasks only if they are small
 in total, and joined by host, which Spark splits where skewed, if not.
 
 Nulls, empties, ties: a null or empty html gives an empty text; a null or odd url belongs to the host
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE = 12
-SAMPLE_CHARS = 40_000
 LEAST_PAGES = 4
 BROADCAST_BYTES = 16_000_000
 
@@ -248,11 +247,12 @@ def host(url: str) -> F.Column:
 
 
 def induce(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host, wrapper: a row per host, from at most `sample` of its pages of at most SAMPLE_CHARS characters."""
-    short = pages.select(host("url").alias("host"), "html", F.xxhash64("url", F.length("html")).alias("order")).where(F.length("html").between(1, SAMPLE_CHARS))
-    sizes = short.groupBy("host").agg(F.count("*").alias("pages"))
+    """host, wrapper: a row per host, from at most `sample` of its distinct pages of any length."""
+    full = pages.select(host("url").alias("host"), "html", F.xxhash64("html").alias("order")).where(F.length("html") > 0)
+    sizes = full.select("host", "order").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     unit = F.pmod(F.col("order"), F.lit(1 << 40)) / float(1 << 40)
-    few = short.join(sizes, "host").where(unit < 4.0 * sample / F.col("pages"))  # some 4 * sample pages of each host
+    few = full.join(sizes, "host").where(unit < 4.0 * sample / F.col("pages"))  # some 4 * sample distinct pages of each host
+    few = few.select("host", "html", "order").dropDuplicates(["host", "html"])  # copies would make an article look like a template
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("order", "html"))).where(F.col("rank") <= sample)
 
     def run(pdf):

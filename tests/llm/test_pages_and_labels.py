@@ -59,6 +59,14 @@ def test_extraction_of_odd_tables(spark):
     assert wrappers.extract(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_copies_and_long_pages_teach_a_wrapper(spark):
+    page = lambda i, n=1: f"<body><div>Site of all</div><div class=x>{f'Story {i} is here. ' * n}</div></body>"
+    rows = [(i, f"http://twice/{i}", page(i)) for i in range(20)] * 2 + [(50 + i, f"http://long/{i}", page(i, 3000)) for i in range(6)]
+    rows += [(60, "http://one/", page(0))] * 300 + [(70 + i, f"http://one/{i}", page(i)) for i in range(1, 8)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 34 and all(t.startswith("Story") for t in got.values()), {k: v[:40] for k, v in got.items()}
+
+
 def test_ordinal_regression_recovers_ordered_grades():
     r = np.random.default_rng(0)
     x = r.poisson(1, (3000, 4)).astype(float)
