@@ -337,7 +337,7 @@ add(
     "remediate_by_policy", remediated,
     D + f"SELECT o_orderkey, round(greatest({_LO}, least({_HI}, spiky)), 6) AS spiky, CASE WHEN length(coalesce(priority, '')) > 3 THEN substr(priority, 1, 2) || '***' ELSE coalesce(priority, '') END AS priority FROM d",
 )
-add("iterative_remediation", lambda s, d: remediate.Remediator(max_epochs=2).run(dirty(s, d).select("o_orderkey", "price", "spiky", "priority"))[0])
+add("iterative_remediation", lambda s, d: remediate.Remediator().run(dirty(s, d).select("o_orderkey", "price", "spiky", "priority"))[0])
 add("monitor_report", lambda s, d: (lambda m: metrics.as_frame(s, m.evaluate_phase("ingestion")["field_metrics"]))(monitor.Monitor(dirty(s, d), ORDERS_POLICY, historical_score=90.0)))
 add("group_counts", lambda s, d: monitor.group_counts(dirty(s, d), "priority"), D + "SELECT priority, count(*) AS n FROM d WHERE priority IS NOT NULL GROUP BY priority")
 add("distinct_rows", lambda s, d: monitor.distinct_rows(table(s, d, "lineitem").select("l_returnflag", "l_linenumber")), "SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem")

@@ -236,3 +236,12 @@ def test_masks_and_codes(spark):
     assert [r[0] for r in df.select(text.encoded(F.col("x"))).collect()] == ["c2VjcmV0", None]
     key = F.lit("0123456789abcdef")
     assert df.select(F.aes_decrypt(F.unbase64(text.encrypted(F.col("x"), key)), key).cast("string")).first()[0] == "secret"
+
+
+def test_the_iterative_query_runs_the_default_epochs(spark, sf, monkeypatch):
+    from plumbline import queries
+
+    epochs = []
+    monkeypatch.setattr(remediate.Remediator, "run", lambda self, df: (epochs.append(self.max_epochs), (df, None))[1])
+    queries.QUERIES["iterative_remediation"](spark, sf)
+    assert epochs == [remediate.Remediator().max_epochs] == [5]
