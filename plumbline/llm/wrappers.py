@@ -1,34 +1,43 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host share a template. A bounded sample of each host's pages is parsed into DOM trees, and
-all are aligned with the first by simple tree matching (the largest top-down, order-keeping matching
-of nodes with equal labels). A slot is a path of labels; among aligned nodes it is constant if most
-pages have a text there that other pages have too, and varying otherwise. That is the host's wrapper.
-
-Each page is then read against its host's wrapper. Elements that are never main text are left out
-(menus, page headers and footers, sidebars, forms, scripts, and whatever its class, id or role calls an
-advert, notice, comment and so on); inside <article> or <main> all other blocks stay; elsewhere, blocks
-in varying slots stay, and where the wrapper knows a slot as constant, they go. A slot that no wrapper
-knows (a host with few pages) stays if it isn't mostly links.
-
-A host with a third of all pages costs no more to learn: its sample is picked by a threshold on a hash
-of the html from its count of distinct pages, before pages meet by host. Copies of a page count once. Wrappers are sent to all tasks only if they are small
-in total, and joined by host, which Spark splits where skewed, if not.
+Pages of one host share a template. A bounded sample of each host's distinct pages, of any length, is
+parsed into DOM trees, and all are aligned with the first by simple tree matching (the largest top-down,
+order-keeping matching of nodes with equal labels; neighbours of equal label count as one repeated node).
+A slot is the place of aligned nodes. What stands there is compared: a text that nearly all sampled pages
+have in a slot is template, and so is a slot in which nearly every text is one of several pages; the
+other slots vary and hold the content. That is the host's wrapper, and it decides page by page:
+
+* template texts and template slots go, within <article> and <main> too;
+* <article> and <main> bound the content only where they hold most of the host's varying text;
+* an element whose class, id or role sounds like a menu, header, sidebar or notice goes, unless it holds
+  most of the host's varying text (then the name is wrong).
+
+Elements that are never main text go by their tag or by a name that leaves no doubt (menus, page headers
+and footers, asides, forms, scripts, adverts, reader comments), since such texts vary too. Where a host
+has no wrapper, for want of distinct pages, tags and names decide alone, and a slot unknown to the wrapper
+stays if it isn't mostly links. If doubtful names would leave nothing of a page, they are passed over.
+
+A host with a third of all pages costs no more to learn: its sample is picked on hashes of its pages,
+and only picked pages are moved. Copies of a page count once, and near copies too, lest an article pass
+for a template. Wrappers are sent to all tasks only if they are small in total, and joined by host, which
+Spark splits where skewed, if not.
 
 Nulls, empties, ties: a null or empty html gives an empty text; a null or odd url belongs to the host
-""; unclosed and stray tags are read as browsers do, roughly; repeated rows give each their own row;
-other columns are ignored.
+""; unclosed and stray tags are read as browsers do, roughly; pages may be nested to any depth; repeated
+rows give each their own row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,30 +58,51 @@ NEVER = {"nav", "footer", "aside", "form", "script", "style", "textarea", "title
 #: A start tag of the key ends an open element of these.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "html", "main", "aside", "nav", "header", "footer", "form"}
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|promo|promoted|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
-    r"comment|comments|disqus|replies|respond|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|header|topbar|share|sharing|social|related|recommended|"
-    r"newsletter|subscribe|subscription|signup|login|widget|pagination|pager|skip|toolbar|copyright|legal|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+#: Names that leave no doubt, and names that the wrapper may overrule.
+SURE = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promoted cookie cookies consent gdpr comment comments disqus replies respond share sharing social newsletter subscribe subscription signup login".split())
+DOUBTFUL = set(
+    "banner notice notices alert popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead header topbar related recommended "
+    "widget pagination pager skip toolbar copyright legal complementary contentinfo search".split()
 )
+#: A name that begins so tells of a state, or of a part of the article.
+STATE, PART = {"has", "with", "without", "no", "is", "not", "js"}, {"article", "post", "entry", "story", "content", "headline", "title"}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 SPACE = re.compile(r"\s+")
 
 
+def name_kind(called: str) -> int:
+    """2: what is called so is never main text; 1: it probably isn't; 0: nothing is known."""
+    found = 0
+    for token in called.lower().split():
+        parts = [x for x in re.split(r"[-_]+", token) if x]
+        if not parts or parts[0] in STATE:
+            continue
+        ends = {parts[0], parts[-1]}
+        if ends & SURE:
+            return 2
+        if ends & DOUBTFUL and parts[0] not in PART:
+            found = 1
+    return found
+
+
 class Node:
-    __slots__ = ("tag", "label", "children", "never", "main", "link", "text")
+    """key: a hash of the labels from the root down, the node's slot. doubt: the nearest node, itself or
+    above, with a doubtful name."""
 
-    def __init__(self, tag: str, label: str, never: bool, main: bool, link: bool):
-        self.tag, self.label, self.never, self.main, self.link = tag, label, never, main, link
+    __slots__ = ("tag", "label", "key", "parent", "children", "never", "main", "link", "doubt")
+
+    def __init__(self, tag: str, label: str, parent: "Node | None", never: bool, main: bool, link: bool, doubtful: bool):
+        self.tag, self.label, self.parent, self.never, self.main, self.link = tag, label, parent, never, main, link
+        self.key = xxhash.xxh3_64_intdigest(f"{parent.key if parent else 0}/{label}")
         self.children: list[Node] = []
-        self.text: list[str] = []
+        self.doubt: Node | None = self if doubtful else parent.doubt if parent else None
 
 
 class Block:
-    __slots__ = ("path", "never", "main", "parts", "linked")
+    __slots__ = ("node", "never", "main", "doubt", "parts", "linked")
 
-    def __init__(self, path: str, never: bool, main: bool):
-        self.path, self.never, self.main, self.parts, self.linked = path, never, main, [], 0
+    def __init__(self, node: Node, top: Node):
+        self.node, self.never, self.main, self.doubt, self.parts, self.linked = node, top.never, top.main, top.doubt, [], 0
 
     def words(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
@@ -80,8 +110,8 @@ class Block:
 
 def parse(html: str | None) -> tuple[Node, list[Block]]:
     """The DOM tree and the text blocks in page order."""
-    root = Node("", "", False, False, False)
-    stack, paths, blocks = [root], [""], []
+    root = Node("", "", None, False, False, False, False)
+    stack, blocks = [root], []
     block: Block | None = None
     html = html or ""
     at, n = 0, len(html)
@@ -97,23 +127,22 @@ def parse(html: str | None) -> tuple[Node, list[Block]]:
             k = len(stack) - 1
             while k and stack[k].tag not in BLOCK:
                 k -= 1
-            block = Block(paths[k], top.never, top.main)
+            block = Block(stack[k], top)
             blocks.append(block)
         elif block.never != top.never:  # an inline advert or the like within a block
             if top.never or not piece.strip():
                 return
-            block = Block(block.path, top.never, top.main)
+            block = Block(block.node, top)
             blocks.append(block)
         block.parts.append(piece)
         if top.link:
             block.linked += len(piece)
-        top.text.append(piece)
 
     def close(k: int) -> None:
         nonlocal block
         if any(x.tag in BLOCK for x in stack[k:]):
             block = None
-        del stack[k:], paths[k:]
+        del stack[k:]
 
     while at < n:
         m = TAG.search(html, at)
@@ -159,8 +188,9 @@ def parse(html: str | None) -> tuple[Node, list[Block]]:
         called = " ".join(attributes[a] for a in ("class", "id", "role") if attributes.get(a))
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
         main = top.main or tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
-        never = top.never or tag in NEVER or hidden or (tag == "header" and not main) or (tag not in ("article", "main", "body", "html") and bool(called) and bool(NAMED.search(called)))
-        node = Node(tag, f"{tag}.{called.lower()}" if called else tag, never, main, top.link or tag == "a")
+        kind = name_kind(called) if called and tag not in ("article", "main", "body", "html") else 0
+        never = top.never or tag in NEVER or hidden or kind == 2 or (tag == "header" and not main)
+        node = Node(tag, f"{tag}.{called.lower()}" if called else tag, top, never, main, top.link or tag == "a", kind == 1)
         top.children.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
@@ -169,98 +199,212 @@ def parse(html: str | None) -> tuple[Node, list[Block]]:
             at = end.end() if end else n
             continue
         stack.append(node)
-        paths.append(f"{paths[-1]}/{node.label}")
     return root, blocks
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node, str]] | None = None, path: str = "") -> int:
-    """Simple tree matching: the size of the largest matching of two trees; pairs gets its node pairs."""
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    gain = [[0] * n for _ in range(m)]
-    for i, x in enumerate(a.children):
-        for j, y in enumerate(b.children):
-            gain[i][j] = match(x, y) if x.label == y.label else 0
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j])
-    if pairs is not None:
-        pairs.append((a, b, path))
+class Kind:
+    """Neighbouring nodes of one label under one parent, as one repeated node."""
+
+    __slots__ = ("label", "nodes", "children")
+
+    def __init__(self, label: str, nodes: list[Node]):
+        self.label, self.nodes, self.children = label, nodes, []
+
+
+def repeated(root: Node) -> Kind:
+    """The tree with neighbours of equal label as one node each; where still very many alternate, all of one label."""
+    top = Kind("", [root])
+    todo = [top]
+    while todo:
+        kind = todo.pop()
+        below = [c for n in kind.nodes for c in n.children]
+        runs: list[list[Node]] = []
+        for c in below:
+            if runs and runs[-1][0].label == c.label:
+                runs[-1].append(c)
+            else:
+                runs.append([c])
+        if len(runs) > 100:
+            by_label: dict[str, list[Node]] = {}
+            for c in below:
+                by_label.setdefault(c.label, []).append(c)
+            runs = list(by_label.values())
+        kind.children = [Kind(r[0].label, r) for r in runs]
+        todo += kind.children
+    return top
+
+
+def match(a: Kind, b: Kind) -> list[tuple[Kind, Kind]]:
+    """Simple tree matching: the node pairs of the largest top-down, order-keeping matching of two trees."""
+    pairs = [(a, b)]
+    below: list[dict[tuple[int, int], int]] = []  # for each pair, the numbers of the pairs of its children
+    for x, y in pairs:  # grows as it goes
+        own = {}
+        places = defaultdict(list)
+        for j, c in enumerate(y.children):
+            places[c.label].append(j)
+        for i, c in enumerate(x.children):
+            for j in places.get(c.label, ()):
+                own[i, j] = len(pairs)
+                pairs.append((c, y.children[j]))
+        below.append(own)
+    size = [1] * len(pairs)
+    chosen: list[list[int]] = [[] for _ in pairs]
+    for at in range(len(pairs) - 1, -1, -1):
+        x, y = pairs[at]
+        own, m, n = below[at], len(x.children), len(y.children)
+        if not own:
+            continue
+        best = [[0] * (n + 1) for _ in range(m + 1)]
+        for i in range(m):
+            row, last = best[i + 1], best[i]
+            for j in range(n):
+                row[j + 1] = max(last[j + 1], row[j], last[j] + (size[own[i, j]] if (i, j) in own else 0))
+        size[at] += best[m][n]
         i, j = m, n
         while i and j:
-            if gain[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + gain[i - 1][j - 1]:
+            pair = own.get((i - 1, j - 1))
+            if pair is not None and best[i][j] == best[i - 1][j - 1] + size[pair]:
                 i, j = i - 1, j - 1
-                x = a.children[i]
-                match(x, b.children[j], pairs, f"{path}/{x.label}")
+                chosen[at].append(pair)
             elif best[i][j] == best[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-    return 1 + best[m][n]
-
-
-def learn(pages: list[str]) -> dict[str, float]:
-    """For each slot that aligned nodes of LEAST_PAGES pages share: the share of its texts that other pages have too."""
-    trees = [parse(x)[0] for x in pages]
-    if len(trees) < LEAST_PAGES:
-        return {}
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for i, tree in enumerate(trees):
-        pairs: list[tuple[Node, Node, str]] = []
-        match(trees[0], tree, pairs)
-        for _, node, path in pairs:
-            words = SPACE.sub(" ", "".join(node.text)).strip()
-            if words:
-                texts.setdefault(path, []).append((i, words))
-    out = {}
-    for path, found in texts.items():
-        if len({i for i, _ in found}) >= LEAST_PAGES:
-            pages_of = Counter(w for _, w in {(i, w) for i, w in found})
-            out[path] = sum(pages_of[w] > 1 for _, w in found) / len(found)
+    out, todo = [], [0]
+    while todo:
+        at = todo.pop()
+        out.append(pairs[at])
+        todo += chosen[at]
+    return out
+
+
+#: A text in so large a share of the sampled pages is template, as is a slot with so large a share of texts that several pages have.
+SHARED = 0.8
+
+
+def text_key(slot: int, words: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{slot}/{words}")
+
+
+@dataclass
+class Wrapper:
+    """slots: those aligned; template: those of them that don't vary; texts: template texts by slot;
+    free: doubtfully named slots that hold most of the varying text; main: whether <article> and <main> do."""
+
+    slots: set[int] = field(default_factory=set)
+    template: set[int] = field(default_factory=set)
+    texts: set[int] = field(default_factory=set)
+    free: set[int] = field(default_factory=set)
+    main: bool = True
+
+    def dump(self) -> str:
+        return json.dumps([sorted(self.slots), sorted(self.template), sorted(self.texts), sorted(self.free), self.main])
+
+    @staticmethod
+    def load(text: str | None) -> "Wrapper | None":
+        if not text:
+            return None
+        *sets, main = json.loads(text)
+        return Wrapper(*map(set, sets), main)
+
+
+def learn(pages: list[str]) -> Wrapper | None:
+    """The wrapper of a host's pages; None if fewer than LEAST_PAGES of them differ in most of their text."""
+    parsed = []
+    for html in pages:
+        root, blocks = parse(html)
+        found = [(b, w) for b in blocks if not b.never and (w := b.words())]
+        own = Counter({w: len(w) for _, w in found})
+        if all(sum((own & other).values()) <= 0.5 * max(1, min(own.total(), other.total())) for _, _, other in parsed):
+            parsed.append((root, found, own))
+    if len(parsed) < LEAST_PAGES:
+        return None
+    first = repeated(parsed[0][0])
+    texts: dict[int, list[tuple[int, Block, str]]] = defaultdict(list)
+    for i, (root, found, _) in enumerate(parsed):
+        aligned = {id(n) for _, kind in match(first, repeated(root)) for n in kind.nodes}
+        for b, w in found:
+            if id(b.node) in aligned:
+                texts[b.node.key].append((i, b, w))
+    out = Wrapper(main=False)
+    varying: list[tuple[Block, int]] = []
+    for slot, found in texts.items():
+        out.slots.add(slot)
+        pages_of = Counter(w for _, w in {(i, w) for i, _, w in found})
+        common = {w for w, n in pages_of.items() if n >= max(LEAST_PAGES, SHARED * len(parsed))}
+        out.texts |= {text_key(slot, w) for w in common}
+        if len({i for i, _, _ in found}) >= LEAST_PAGES and sum(pages_of[w] > 1 for _, _, w in found) >= SHARED * len(found):
+            out.template.add(slot)
+        else:
+            varying += [(b, len(w)) for _, b, w in found if w not in common]
+    total = sum(n for _, n in varying)
+    doubtful: Counter = Counter()
+    for b, n in varying:
+        at = b.doubt
+        while at is not None:
+            doubtful[at.key] += n
+            at = at.parent.doubt if at.parent else None
+    out.free = {slot for slot, n in doubtful.items() if 2 * n > total}
+    kept = [(b, n) for b, n in varying if _named(b, out) is None]
+    out.main = 2 * sum(n for b, n in kept if b.main) >= sum(n for _, n in kept)
     return out
 
 
+def _named(b: Block, wrapper: Wrapper | None) -> Node | None:
+    """The nearest doubtfully named node over the block that the wrapper doesn't free."""
+    at = b.doubt
+    while at is not None and wrapper is not None and at.key in wrapper.free:
+        at = at.parent.doubt if at.parent else None
+    return at
+
+
 @lru_cache(maxsize=256)
-def _wrapper(text: str | None) -> dict[str, float]:
-    return json.loads(text) if text else {}
+def _wrapper(text: str | None) -> Wrapper | None:
+    return Wrapper.load(text)
 
 
-def main_text(html: str | None, wrapper: dict[str, float]) -> str:
+def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
     """The main text of a page, its blocks joined by newlines."""
-    _, blocks = parse(html)
-    inside = any(b.main and not b.never for b in blocks)
-    out = []
-    for b in blocks:
-        if b.never or (inside and not b.main):
-            continue
-        words = b.words()
-        if not words:
-            continue
-        if not b.main:
-            shared = wrapper.get(b.path)
-            if shared is not None and shared >= 0.5 or shared is None and 2 * b.linked > len(words):
-                continue
-        out.append(words)
-    return "\n".join(out)
+    found = [(b, w) for b in parse(html)[1] if not b.never and (w := b.words())]
+    named = [(b, w) for b, w in found if _named(b, wrapper) is None]
+    for rows in (named, found):  # the second only if doubtful names leave nothing
+        if wrapper is not None:
+            rows = [(b, w) for b, w in rows if b.node.key not in wrapper.template and text_key(b.node.key, w) not in wrapper.texts]
+        bound = any(b.main for b, _ in rows) and (wrapper is None or wrapper.main)
+        known = wrapper.slots if wrapper is not None else ()
+        out = [w for b, w in rows if b.main or not bound and (b.node.key in known or 2 * b.linked <= len(w))]
+        if out:
+            return "\n".join(out)
+    return ""
 
 
 def host(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)", 1)), F.lit(""))
 
 
-def induce(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def induce(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """host, wrapper: a row per host, from at most `sample` of its distinct pages of any length."""
-    full = pages.select(host("url").alias("host"), "html", F.xxhash64("html").alias("order")).where(F.length("html") > 0)
-    sizes = full.select("host", "order").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    full = pages.where(F.length("html") > 0).select(host("url").alias("host"), F.xxhash64("html").alias("order"), "html")
+    narrow = materialize(full.select("host", "order").distinct(), "page-keys")
+    most = 4 * sample
+    large = narrow.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") > most)
+    # some `most` pages of each large host by a threshold on the hash, so that no window meets all pages of a host
     unit = F.pmod(F.col("order"), F.lit(1 << 40)) / float(1 << 40)
-    few = full.join(sizes, "host").where(unit < 4.0 * sample / F.col("pages"))  # some 4 * sample distinct pages of each host
-    few = few.select("host", "html", "order").dropDuplicates(["host", "html"])  # copies would make an article look like a template
-    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("order", "html"))).where(F.col("rank") <= sample)
+    some = narrow.join(large, "host", "left").where(F.col("pages").isNull() | (unit < float(most) / F.col("pages")))
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("order"))).where(F.col("rank") <= sample)
+    picked = materialize(ranked.select("host", "order", "rank"), "picked-pages")
+    size = picked.agg(F.sum(F.octet_length("host") + 48)).first()[0] or 0
+    few = full.join(F.broadcast(picked) if size <= broadcast_bytes else picked.hint("merge"), ["host", "order"])
+    few = few.groupBy("host", "order").agg(F.first("rank").alias("rank"), F.first("html").alias("html"))
 
     def run(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [json.dumps(learn(pdf.sort_values("rank").html.tolist()), ensure_ascii=False)]})
+        found = learn(pdf.sort_values("rank").html.tolist())
+        return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [found.dump() if found else None]})
 
-    return few.select("host", "html", "rank").groupBy("host").applyInPandas(run, "host string, wrapper string")
+    return few.select("host", "html", "rank").groupBy("host").applyInPandas(run, "host string, wrapper string").where("wrapper is not null")
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -268,7 +412,7 @@ RESULT = "page_id long, url string, text string, n_chars long"
 
 def extract(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars for each page (page_id, url, html)."""
-    known = materialize(induce(pages, sample), "wrappers")
+    known = materialize(induce(pages, sample, broadcast_bytes), "wrappers")
     size = known.agg(F.sum(F.length("wrapper") + F.length("host") + 64)).first()[0] or 0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host("url").alias("host"))
     rows = rows.join(F.broadcast(known) if size <= broadcast_bytes else known, "host", "left")

@@ -12,19 +12,64 @@ from .test_simple import docs_of
 
 
 def test_simple_tree_matching_counts_shared_nodes():
-    tree = lambda s: wrappers.parse(s)[0]
+    tree = lambda s: wrappers.repeated(wrappers.parse(s)[0])
     a, b = tree("<div><p>1</p><ul><li>x</li><li>y</li></ul></div>"), tree("<div><h1>t</h1><p>2</p><ul><li>x</li></ul></div>")
-    assert wrappers.match(a, a) == 6 and wrappers.match(a, b) == 5 == wrappers.match(b, a)
-    pairs = []
-    wrappers.match(a, b, pairs)
-    assert len(pairs) == 5 and [p for _, _, p in pairs][1:] == ["/div", "/div/ul", "/div/ul/li", "/div/p"]
+    assert len(wrappers.match(a, a)) == 5 == len(wrappers.match(a, b)) == len(wrappers.match(b, a))  # root, div, p, ul and the repeated li
+    crossed = wrappers.match(tree("<h1>a</h1><p>b</p><ul><li>c<li>d</ul>"), tree("<ul><li>c</ul><h1>a</h1><p>b</p>"))
+    assert sorted(x.label for x, _ in crossed) == ["", "h1", "p"]  # order is kept: the list can't be matched as well
+
+
+def test_matching_is_the_largest_by_brute_force():
+    def largest(x, y):
+        if not x or not y:
+            return 0
+        both = 1 + largest(x[0].children, y[0].children) + largest(x[1:], y[1:]) if x[0].label == y[0].label else 0
+        return max(both, largest(x[1:], y), largest(x, y[1:]))
+
+    r = np.random.default_rng(3)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1)}</{t}>" for t in r.choice(["div", "span", "b"], r.integers(0, 4))) if depth else "x"
+
+    for _ in range(60):
+        a, b = (wrappers.repeated(wrappers.parse(page(3))[0]) for _ in range(2))
+        assert len(wrappers.match(a, b)) == 1 + largest(a.children, b.children)
 
 
 def test_learned_template_goes_and_varying_slots_stay():
     page = lambda i: f"<body><div>Site of all</div><div class=x>Story {i} is here. <b>Bold</b></div><span>part {i}</span><div>End of site</div></body>"
     wrapper = wrappers.learn([page(i) for i in range(6)])
     assert wrappers.main_text(page(77), wrapper) == "Story 77 is here. Bold\npart 77"
-    assert wrappers.learn([page(1)] * 3) == {}
+    assert wrappers.learn([page(1)] * 8) is None
+    assert wrappers.Wrapper.load(wrapper.dump()) == wrapper
+
+
+def test_the_wrapper_decides_within_articles_and_over_names():
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div class=box>Read our terms, friends.</div><p>Story {i} goes on and on, {i * i} times.</p></article></body>"
+    wrapper = wrappers.learn([page(i) for i in range(6)])
+    assert wrappers.main_text(page(9), wrapper) == "Title 9\nStory 9 goes on and on, 81 times."
+    assert "terms" in wrappers.main_text(page(9))  # without a wrapper nobody can know
+    teaser = lambda i: f"<body><article>See {i}</article><div class=story><p>The long story number {i} is told here, in {i} parts.</p></div></body>"
+    wrapper = wrappers.learn([teaser(i) for i in range(6)])
+    assert wrappers.main_text(teaser(9), wrapper) == "See 9\nThe long story number 9 is told here, in 9 parts."
+    named = lambda i: f"<body><div class=main-menu><p>In truth the text, the {i}th of all.</p></div><p class=by>By {i}</p></body>"
+    wrapper = wrappers.learn([named(i) for i in range(6)])
+    assert wrappers.main_text(named(9), wrapper) == "In truth the text, the 9th of all.\nBy 9"
+    assert wrappers.main_text(named(9)) == "By 9"
+
+
+def test_names_that_only_sound_like_furniture():
+    assert wrappers.main_text('<div class="content has-sidebar"><p>Real text</p></div>') == "Real text"
+    assert wrappers.main_text('<article><div class="article-header"><h1>Title</h1></div><p>x</p></article>') == "Title\nx"
+    assert wrappers.main_text('<div class="sidebar"><p>All there is</p></div>') == "All there is"
+    assert wrappers.main_text('<div class="site-header">no</div><div class="main-nav">no</div><div class="top ad">no</div><p>x</p>') == "x"
+
+
+def test_pages_of_any_depth_and_breadth_teach():
+    deep = [f"{'<div>' * 3000}deep {i} text {i * 7}" for i in range(5)]
+    assert wrappers.main_text(deep[0], wrappers.learn(deep)) == "deep 0 text 0"
+    wide = ["<body>" + "".join(f"<p>a {i} {j}</p><div>b {j} {i}</div>" for j in range(2000)) for i in range(5)]
+    assert wrappers.main_text(wide[0], wrappers.learn(wide)).count("\n") == 3999
 
 
 def test_marked_elements_entities_and_broken_markup():
@@ -33,10 +78,10 @@ def test_marked_elements_entities_and_broken_markup():
         '<article><header><h1>A &amp;amp; B</h1></header><p>one\n\n two<br>three&nbsp;<i>x</i>y<p class=lead>four <aside>no</aside><ul><li>l1<li>l2</ul>'
         '<div class="ad">ad</div><form>f<input></form><div id="comments"><p>reader</p></div><!-- <p>no</p> --><p title="a>b">a &lt; b</p></article><footer>&copy; x</footer>'
     )
-    assert wrappers.main_text(html, {}) == "A &amp; B\none two three xy\nfour\nl1\nl2\na < b"
+    assert wrappers.main_text(html) == "A &amp; B\none two three xy\nfour\nl1\nl2\na < b"
     for odd in (None, "", "   ", "<", "<p", "a < b", "</p></div>", "<p><!--", "<script>x", "<a title='x>y" * 50, "<div>" * 3000 + "deep", "<![CDATA[x]]>"):
-        assert isinstance(wrappers.main_text(odd, {}), str)
-    assert wrappers.main_text("a < b", {}) == "a < b" and wrappers.main_text("<div>" * 3000 + "deep", {}) == "deep"
+        assert isinstance(wrappers.main_text(odd), str)
+    assert wrappers.main_text("a < b") == "a < b" and wrappers.main_text("<div>" * 3000 + "deep") == "deep"
 
 
 def test_pages_give_their_articles(spark):
