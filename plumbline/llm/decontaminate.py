@@ -4,19 +4,22 @@ Text is normalised (A-Z lowered; words are runs of digits, a-z and everything ou
 space between words), scanned once, and each hit is mapped back to its place in the original text.
 A window is `width` consecutive words of an item; an item with fewer words, but some, is one window.
 
-The automaton is sent to each task. Its size is checked first: if the benchmark has more than
-`max_words` words, its items are dealt over several automata of bounded size, each scanned in a
-pass of its own, and the hits of a document are put together again. Documents are never shuffled
-in the usual single pass.
+The automaton is sent to each task, so its size is bounded: of more than `max_windows` windows, those
+of a share of the hashes go into an automaton of their own. The driver then reads one share at a time,
+documents get a row number in a written table, each pass writes the hits it finds by that number, and
+the hits of all passes are put together. Documents are never shuffled in the usual single pass.
 
 Nulls, empties, ties: a null or empty text has no words and is clean; a null or empty item has no
 window; an item_id of null is named "null"; rows that repeat are scanned and returned each by
-itself; items of equal text all count; columns other than those used are ignored.
+itself, however many passes there are; items of equal text all count; columns other than those used
+are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -30,9 +33,11 @@ from .common import free, materialize
 WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 TABLE = bytes(c if c in WORD_BYTES else 0x20 for c in bytes(range(256)).lower())
 WIDTH = 13
-MAX_WORDS = 2_000_000
+#: Some 3 KB of automaton each, so 300 MB in a task.
+MAX_WINDOWS = 100_000
 
-SCHEMA = "row_key long, doc_id long, n_words long, words array<int>, starts array<int>, ends array<int>, items array<string>"
+NAMES = ["doc_id", "n_words", "words", "starts", "ends", "items"]
+SCHEMA = "doc_id long, n_words long, words array<int>, starts array<int>, ends array<int>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,19 +49,18 @@ def joined(words: list[bytes]) -> str:
     return f" {b' '.join(words).decode('latin-1')} "
 
 
-def build(items: list[tuple[str, str | None]], width: int = WIDTH) -> ahocorasick.Automaton | None:
-    """The automaton of all windows; each keeps its word count and the items that have it."""
-    windows: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            part = words[i : i + width]
-            windows.setdefault(joined(part), (len(part), set()))[1].add(item)
+def windows_of(text: str | None, width: int = WIDTH) -> list[list[bytes]]:
+    words = words_of(text)
+    return [words[i : i + width] for i in range(max(1, len(words) - width + 1) if words else 0)]
+
+
+def build(windows: list[tuple[str, int, list[str]]]) -> ahocorasick.Automaton | None:
+    """The automaton of windows (text, number of words, items that have it)."""
     if not windows:
         return None
     automaton = ahocorasick.Automaton()
-    for key, (n, owners) in windows.items():
-        automaton.add_word(key, (n, tuple(sorted(owners))))
+    for text, n, owners in windows:
+        automaton.add_word(text, (n, tuple(owners)))
     automaton.make_automaton()
     return automaton
 
@@ -91,57 +95,83 @@ def spans(text: str, words: list[int]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def item_lists(benchmark: DataFrame, max_words: int) -> list[list[tuple[str, str | None]]]:
-    """The items in lists of at most about max_words words each. One list unless the benchmark is larger."""
+def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """window, n, items: the distinct windows of all items, each with the sorted items that have it."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(joined(w), len(w), item) for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in windows_of(text, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int32(), pa.string()))], ["window", "n", "item"])
+
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-total // (2 * max_words)))  # a word and its gap are two characters at least
-    if parts == 1:
-        return [[(r.item, r.text) for r in items.collect()]]
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
-    return [[(r.item, r.text) for r in dealt.where(F.col("part") == p).collect()] for p in range(parts)]
+    found = items.mapInArrow(run, "window string, n int, item string")
+    return found.groupBy("window", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_words: int = MAX_WORDS) -> DataFrame:
-    """A row per document: its word count, the hit words, their runs in the original text, the items.
+def window_shares(benchmark: DataFrame, width: int, max_windows: int) -> Iterator[tuple[int, list]]:
+    """(number of shares, windows) for each share of the windows, read by the driver one after the other."""
+    windows = materialize(item_windows(benchmark, width), "windows")
+    shares = max(1, -(-windows.count() // max_windows))
+    for share in range(shares):
+        own = windows if shares == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(shares)) == share)
+        yield shares, [tuple(r) for r in own.collect()]
 
-    docs: doc_id, text. The result also has row_key, which tells rows of one doc_id apart by text.
-    """
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """A row per document (doc_id, text): its word count, the hit words, their runs in the original text, the items."""
     spark = docs.sparkSession
-    out = None
-    for items in item_lists(benchmark, max_words):
-        sent = spark.sparkContext.broadcast(items)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    passes: list[DataFrame] = []
+    for shares, windows in window_shares(benchmark, width, max_windows):
+        sent = spark.sparkContext.broadcast(windows)
 
-        def run(batches, sent=sent):
-            automaton = build(sent.value, width)
+        def whole(batches):
+            automaton = build(sent.value)
             for batch in batches:
-                rows = []
-                for text in batch.column(2).to_pylist():
+                found = []
+                for text in batch.column(1).to_pylist():
                     n, words, owners = scan(automaton, text)
-                    starts, ends = spans(text, words) if words else ([], [])
-                    rows.append((n, words, starts, ends, sorted(owners)))
-                n, words, starts, ends, owners = zip(*rows) if rows else ([],) * 5
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (words, starts, ends)), pa.array(owners, pa.list_(pa.string()))],
-                    ["row_key", "doc_id", "n_words", "words", "starts", "ends", "items"],
-                )
-
-        keyed = docs.select(F.xxhash64("text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        found = keyed.mapInArrow(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-        several = out is not found
-    if several:  # each pass has a row for each document
-        flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        out = materialize(out, "hits").groupBy("row_key", "doc_id").agg(F.max("n_words").alias("n_words"), *(flat(c) for c in ("words", "starts", "ends", "items")))
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_words: int = MAX_WORDS) -> DataFrame:
+                    found.append((n, words, *(spans(text, words) if words else ([], [])), sorted(owners)))
+                yield _hits(batch.column(0), found)
+
+        if shares == 1:
+            return rows.mapInArrow(whole, SCHEMA)
+        if not passes:
+            rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+        def part(batches):
+            automaton = build(sent.value)
+            for batch in batches:
+                found = [(row, words, sorted(owners)) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for _, words, owners in [scan(automaton, text)] if words]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 3, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())))], ["row", "words", "items"])
+
+        passes.append(materialize(rows.select("row", "text").mapInArrow(part, "row long, words array<int>, items array<string>"), "hits"))
+        sent.destroy()
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    merged = reduce(DataFrame.unionByName, passes).groupBy("row").agg(flat("words"), flat("items"))
+
+    def finish(batches):
+        for batch in batches:
+            found = []
+            for text, words, items in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                words = words or []
+                found.append((len(words_of(text)), words, *(spans(text, words) if words else ([], [])), items or []))
+            yield _hits(batch.column(0), found)
+
+    return rows.join(merged, "row", "left").select("doc_id", "text", "words", "items").mapInArrow(finish, SCHEMA)
+
+
+def _hits(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    n, words, starts, ends, owners = zip(*found) if found else ([],) * 5
+    lists = (pa.array(x, pa.list_(pa.int32())) for x in (words, starts, ends))
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *lists, pa.array(owners, pa.list_(pa.string()))], NAMES)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """find_hits() with n_hit, n_items, items_sha256 and contaminated: a hit, and 5 % of the words hit."""
-    hits = find_hits(docs, benchmark, width, max_words)
+    hits = find_hits(docs, benchmark, width, max_windows)
     n_hit = F.size("words").cast("long")
     return hits.select(
-        "row_key",
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -153,24 +183,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_words: int = MAX_WORDS) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns, scanned in place without a shuffle
-    unless the benchmark needs several automata; then what is found is joined by the hash of the text."""
-    lists = item_lists(benchmark, max_words)
-    if len(lists) == 1:
-        sent = docs.sparkSession.sparkContext.broadcast(lists[0])
-        at = docs.columns.index("text")
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns, scanned in place without a shuffle. Where
+    several automata are needed, each pass adds the words it hits to a column of the table it writes."""
+    spark, names, at = docs.sparkSession, docs.columns, docs.columns.index("text")
+    words = free("hit_words", docs)
+    rows = docs.withColumn(words, F.array().cast("array<int>"))
+    for shares, windows in window_shares(benchmark, width, max_windows):
+        sent = spark.sparkContext.broadcast(windows)
 
         def run(batches):
-            automaton = build(sent.value, width)
+            automaton = build(sent.value)
             for batch in batches:
-                keep = []
-                for text in batch.column(at).to_pylist():
-                    n, words, _ = scan(automaton, text)
-                    keep.append(not (words and 20 * len(words) >= n))
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        return docs.mapInArrow(run, docs.schema)
-    key = free("row_key", docs)
-    bad = contamination(docs, benchmark, width, max_words).where("contaminated").select(F.col("row_key").alias(key)).distinct()
-    return docs.join(bad, F.xxhash64(docs["text"]) == F.col(key), "left_anti")
+                own = [sorted({*before, *scan(automaton, text)[1]}) for text, before in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.list_(pa.int32()))], [*batch.schema.names])
+
+        rows = rows.mapInArrow(run, rows.schema)
+        if shares > 1:
+            rows = materialize(rows, "scanned")
+            sent.destroy()
+
+    def judge(batches):
+        for batch in batches:
+            keep = [not hit or 20 * len(hit) < len(words_of(text)) for text, hit in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+    return rows.mapInArrow(judge, docs.schema)

@@ -39,14 +39,19 @@ def test_decontamination_against_brute_force(spark):
     rows = decontaminate.contamination(docs_of(spark, texts), bench).collect()
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows}
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
-    parted = decontaminate.contamination(docs_of(spark, texts), bench, max_words=10).collect()
+    parted = decontaminate.contamination(docs_of(spark, texts), bench, max_windows=3).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in parted} == got
     place = next(r for r in rows if r.doc_id == 3)
     assert [texts[3][a:b] for a, b in zip(place.hit_starts, place.hit_ends)] == ["AB, c D ab c d"]
     clean = decontaminate.clean(docs_of(spark, texts), bench)
     assert sorted(r.doc_id for r in clean.collect()) == [i for i in got if not got[i][4]] and clean.columns[-1] == "size"
-    parts = decontaminate.clean(docs_of(spark, texts).withColumn("row_key", F.lit("own")), bench, max_words=10)
+    parts = decontaminate.clean(docs_of(spark, texts).withColumn("row_key", F.lit("own")), bench, max_windows=3)
     assert sorted(r.doc_id for r in parts.collect()) == sorted(r.doc_id for r in clean.collect()) and {r.row_key for r in parts.collect()} == {"own"}
+    again = docs_of(spark, texts).union(docs_of(spark, texts)).union(docs_of(spark, texts).where("doc_id in (3, 4)"))
+    key = lambda r: (r.doc_id, r.n_words, r.n_hit, r.items_sha256, r.contaminated, r.hit_starts, r.hit_ends)
+    once, often = (sorted(map(key, decontaminate.contamination(again, bench, max_windows=n).collect())) for n in (100, 2))
+    assert once == often and len(once) == 2 * len(texts) + 2  # each repeated row, with its own runs, over any number of automata
+    assert decontaminate.clean(again, bench, max_windows=2).count() == 2 * clean.count()
     empty = spark.createDataFrame([], "item_id long, text string")
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs_of(spark, texts), empty).collect())
     assert decontaminate.contamination(docs_of(spark, []), bench).count() == 0
