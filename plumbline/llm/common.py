@@ -38,34 +38,67 @@ def free(name: str, df: DataFrame) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Shuffle files of queries that end inside are dropped at once, not at some later collection."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def configured(spark: SparkSession, settings: dict[str, str]):
+    """Settings of the session that hold inside."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of queries that end inside are dropped at once, not at some later collection."""
+    return configured(spark, {CLEANUP: "true"})
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of this application under the shared folder."""
+    return f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table under the shared folder and read it again: its lineage ends there, so a
     lost executor costs no more than a read, and its shuffle files can go."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     with shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found, files = _file(spark, path)
+    files.delete(found, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
-    """Remove what materialize() has written for this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove what this application has written under the shared folder. Results that still read it end."""
+    delete(spark, f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of text, if it is there."""
+    found, files = _file(spark, path)
+    return spark.read.text(path, wholetext=True).first()[0] if files.exists(found) else None
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    found, files = _file(spark, path)
+    out = files.create(found, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,20 +2,24 @@
 
 1. Each window elects an anchor: its least k-gram hash (the first of equals). Equal windows elect
    equal anchors, and neighbouring windows mostly the same one, so a document becomes a short list of
-   segments: (anchor, ctx, start, windows), where ctx is the hash of all tokens that the segment's
-   windows cover and of where the anchor lies in it.
+   segments: (anchor, c1, c2, start, windows), where c1 and c2 are a 128-bit digest of all that the
+   segment's windows cover.
 2. Anchors that occur once are dropped: no window there is repeated. This is most of the text.
-3. Segments of equal (anchor, ctx) form a class; all their windows are repeated. Its first segment, by
+3. Segments of equal (anchor, c1, c2) form a class; all their windows are repeated. Its first segment, by
    (doc_id, start), stands for the class from here on.
 4. Where an anchor has several classes, their first segments are compared window by window.
 
+Anchors only bring together what may be equal; what is equal is told by 128-bit digests of the bytes
+themselves, so anchors that collide cost time and no more.
+
 Hot keys: 2 and 3 are aggregations with partial sums before the shuffle, followed by joins that Spark
-splits where skewed; no task gathers a key. Equality is by 64-bit hashes under the anchor's 64 bits.
+splits where skewed; no task gathers a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,39 +27,62 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, Rolling, materialize, mix, ragged, sliding_min
+from .common import BYTES, Rolling, materialize, ragged, sliding_min
 
 POSITION = np.uint64((1 << 28) - 1)
-SEGMENT = "anchor long, ctx long, doc_id long, tkey long, start int, n int"
+KEY = ["anchor", "c1", "c2"]
+SEGMENT = "anchor long, c1 long, c2 long, doc_id long, tkey long, start int, n int"
+
+
+@dataclass
+class Tokens:
+    """A text as tokens: their hashes, and the bytes they stand in, from ends[i] on for token i; `gap` bytes
+    part a token from the next."""
 
+    hashes: np.ndarray
+    data: bytes
+    places: np.ndarray
+    gap: int
 
-def byte_tokens(text: str | None) -> np.ndarray:
-    return BYTES[np.frombuffer((text or "").encode(), dtype=np.uint8)]
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two 64-bit halves of a digest of the bytes of each span of tokens."""
+        lo, hi = self.places[start].tolist(), (self.places[end] - self.gap).tolist()
+        data, digest = self.data, xxhash.xxh3_128_digest
+        return np.frombuffer(b"".join([digest(data[x:y]) for x, y in zip(lo, hi)]), dtype=np.int64).reshape(-1, 2)
+
+
+def byte_tokens(text: str | None) -> Tokens:
+    data = (text or "").encode()
+    return Tokens(BYTES[np.frombuffer(data, dtype=np.uint8)], data, np.arange(len(data) + 1), 0)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def word_tokens(text: str | None) -> np.ndarray:
+def word_tokens(text: str | None) -> Tokens:
     """Words between ASCII white space, unchanged."""
-    return word_hashes(text.encode().split()) if text else np.zeros(0, dtype=np.uint64)
+    words = text.encode().split() if text else []
+    places = np.zeros(len(words) + 1, dtype=np.int64)
+    np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1, out=places[1:])
+    return Tokens(word_hashes(words), b" ".join(words), places, 1)
 
 
-def segments(tokens: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...] | None:
-    """(anchor, ctx, start, windows) of each segment; None if the text has no window."""
-    n = len(tokens) - width + 1
+def segments(tokens: Tokens, width: int, k: int, anchor_bits: int = 64) -> tuple[np.ndarray, ...] | None:
+    """(anchor, c1, c2, start, windows) of each segment; None if the text has no window. anchor_bits: fewer make
+    anchors collide, to test that nothing rests on them."""
+    n = len(tokens.hashes) - width + 1
     if n <= 0:
         return None
-    rolling = Rolling(tokens)
-    grams = rolling.grams(k)
+    grams = Rolling(tokens.hashes).grams(k)
+    if anchor_bits < 64:
+        grams = grams & np.uint64(((1 << anchor_bits) - 1) << (64 - anchor_bits))
     least = sliding_min((grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64), width - k + 1)
     place = (least & POSITION).astype(np.int64)
     start = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
     end = np.append(start[1:], n)
-    at = place[start]
-    ctx = mix(rolling.spans(start, end - 1 + width) + (at - start).astype(np.uint64))
-    return grams[at].view(np.int64), ctx.view(np.int64), start.astype(np.int32), (end - start).astype(np.int32)
+    digest = tokens.digests(start, end - 1 + width)
+    return grams[place[start]].view(np.int64), digest[:, 0], digest[:, 1], start.astype(np.int32), (end - start).astype(np.int32)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -63,18 +90,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
 
 
-def find_segments(docs: DataFrame, tokens_of: Callable, width: int, k: int) -> DataFrame:
+def find_segments(docs: DataFrame, tokens_of: Callable[[str | None], Tokens], width: int, k: int, anchor_bits: int = 64) -> DataFrame:
+    names = [*KEY, "doc_id", "tkey", "start", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             parts: list[tuple] = []
             for doc_id, tkey, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if doc_id is not None and (found := segments(tokens_of(text), width, k)):
+                if doc_id is not None and (found := segments(tokens_of(text), width, k, anchor_bits)):
                     parts.append((*found, doc_id, tkey))
             if parts:
                 sizes = [len(p[0]) for p in parts]
-                anchor, ctx, start, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-                ids = [np.repeat(np.array([p[i] for p in parts], dtype=np.int64), sizes) for i in (4, 5)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, ctx, *ids, start, n)], ["anchor", "ctx", "doc_id", "tkey", "start", "n"])
+                *key, start, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
+                ids = [np.repeat(np.array([p[i] for p in parts], dtype=np.int64), sizes) for i in (5, 6)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*key, *ids, start, n)], names)
 
     return keyed(docs).mapInArrow(run, SEGMENT)
 
@@ -85,7 +114,7 @@ def classify(segs: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     # sums are written before they are joined: Spark splits a skewed join only if both sides come straight from a shuffle
     often = materialize(segs.groupBy("anchor").agg(F.count("*").alias("total"), F.max("new").alias("any_new")).where("total > 1 and any_new").drop("any_new"), "often")
     some = materialize(segs.join(often, "anchor"), "segments")
-    by = ["anchor", "ctx"]
+    by = KEY
     classes = materialize(some.groupBy(*by).agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "start")).alias("first")), "classes")
     mixed = materialize(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"), "mixed")
     joined = some.join(classes.where("same > 1"), by, "left")
@@ -106,22 +135,23 @@ def with_text(docs: DataFrame, refine: DataFrame) -> DataFrame:
     return keyed(docs).join(lists, ["doc_id", "tkey"])
 
 
-WINDOW_ROW = "h long, doc_id long, tkey long, start int, new boolean"
+WINDOW = ["h1", "h2"]
+WINDOW_ROW = "h1 long, h2 long, doc_id long, tkey long, start int, new boolean"
+WINDOW_NAMES = [*WINDOW, "doc_id", "tkey", "start", "new"]
 
 
-def window_rows(found: DataFrame, tokens_of: Callable, width: int) -> DataFrame:
-    """A row per window of the listed segments, with the hash of anchor and window. found: with_text()."""
+def window_rows(found: DataFrame, tokens_of: Callable[[str | None], Tokens], width: int) -> DataFrame:
+    """A row per window of the listed segments, with the digest of what it covers. found: with_text()."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for doc_id, tkey, text, segs in zip(*(c.to_pylist() for c in batch.columns)):
                 start, n = (np.array([s[c] for s in segs], dtype=np.int64) for c in ("start", "n"))
-                anchor = np.repeat(np.array([s["anchor"] for s in segs], dtype=np.int64).view(np.uint64), n)
                 new = np.repeat(np.array([s["new"] for s in segs], dtype=bool), n)
                 at = ragged(start, n)
-                h = mix(Rolling(tokens_of(text)).spans(at, at + width) ^ anchor).view(np.int64)
+                h = tokens_of(text).digests(at, at + width)
                 same = np.full(len(at), 1, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, same * doc_id, same * tkey, at.astype(np.int32), new)], ["h", "doc_id", "tkey", "start", "new"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[:, 0], h[:, 1], same * doc_id, same * tkey, at.astype(np.int32), new)], WINDOW_NAMES)
 
     return found.select("doc_id", "tkey", "text", "segs").mapInArrow(run, WINDOW_ROW)
 
@@ -129,9 +159,9 @@ def window_rows(found: DataFrame, tokens_of: Callable, width: int) -> DataFrame:
 def repeated_windows(rows: DataFrame, keep_first: bool) -> DataFrame:
     """The new rows of WINDOW_ROW whose window stands elsewhere too, or (keep_first) earlier."""
     rows = materialize(rows, "windows")
-    groups = rows.groupBy("h").agg(F.count("*").alias("times"), *([F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else [])).where("times > 1")
+    groups = rows.groupBy(*WINDOW).agg(F.count("*").alias("times"), *([F.min(F.struct("doc_id", "start")).alias("first")] if keep_first else [])).where("times > 1")
     groups = materialize(groups, "groups")
-    out = rows.where("new").join(groups, "h")
+    out = rows.where("new").join(groups, WINDOW)
     if keep_first:
         out = out.where(F.struct("doc_id", "start") > F.col("first"))
     return out.select("doc_id", "tkey", "start", F.lit(1).alias("n"))

@@ -1,14 +1,16 @@
 """Suffix-array dedup: repeated byte strings by longest-previous-factor arrays.
 
-lpf(data) is the classic array: for each position the longest match that starts earlier, from the
-previous and next smaller positions in suffix order. At scale no single suffix array holds the corpus,
-so positions that may match are brought together first: anchors elected by each `length`-byte window
-(see repeats) decide where windows can be equal at all. Groups of equal context are settled by their
-hashes; what stands around the ends of shared passages is sent, as short contexts, to the task of its
-anchor, where the suffixes of all contexts are sorted to depth `length`, and a position has an earlier
-(or any other) match of that length if a smaller (or any other) position stands in its interval of the
-suffix order. An anchor with more than `most` contexts would be an unbounded group: its windows are
-counted by hash in a partial aggregation instead, to the same result.
+A position of the corpus has an earlier match of `length` bytes if its longest previous factor is that
+long: if, in suffix order, the previous or the next smaller position shares so many bytes with it. A match
+that comes later is told by the previous and next larger one. factors() takes both from the suffix order.
+
+At scale no single suffix array holds the corpus, so positions that may match are brought together first:
+anchors elected by each `length`-byte window (see repeats) decide where windows can be equal at all.
+Contexts that are equal as a whole, by 128-bit digests, are reduced to one. What stands around the ends of
+shared passages is sent, as short contexts, to the task of its anchor, where the suffixes of all contexts
+are sorted to depth `length`, byte by byte, and the factor arrays read off. An anchor with more than `most`
+contexts would be an unbounded group for one suffix array: its windows are counted by their 128-bit digests
+in a partial aggregation instead, to the same result.
 
 With keep_first, only later copies are removed (a previous factor of `length` bytes); without it,
 every copy is, the first too (a previous or next factor). Matches never cross documents, overlaps
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,45 +88,22 @@ def _spread(rank: np.ndarray) -> np.ndarray:
     return (np.cumsum(counts) - counts)[rank]
 
 
-def lpf(data: bytes) -> np.ndarray:
-    """Longest previous factor of each position of one text, by its suffix array and the lengths of
-    the common prefixes with the previous and the next smaller position in suffix order."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    own = np.frombuffer(data, dtype=np.uint8)
-    order = np.argsort(ranks(own, np.zeros(n, dtype=np.int64), n + 1), kind="stable").tolist()
-
-    def common(a: int, b: int) -> int:
-        k = 0
-        while b + k < n and data[a + k] == data[b + k]:
-            k += 1
-        return k
-
-    out = [0] * n
-    for walk in (order, order[::-1]):  # the previous, then the next smaller position
-        stack: list[int] = []
-        for at in walk:
-            while stack and stack[-1] > at:
-                stack.pop()
-            if stack:
-                out[at] = max(out[at], common(stack[-1], at))
-            stack.append(at)
-    return np.array(out)
-
-
-def matched(rank: np.ndarray, order_key: np.ndarray, keep_first: bool) -> np.ndarray:
-    """Which positions have another of equal rank (keep_first: one with a smaller key)."""
-    if not keep_first:
-        return np.bincount(rank)[rank] > 1
-    order = np.lexsort((order_key, rank))
-    least = np.ones(len(rank), dtype=bool)
-    r = rank[order]
-    least[1:] = r[1:] != r[:-1]
-    first = order_key[order][np.maximum.accumulate(np.where(least, np.arange(len(rank)), 0))]
-    out = np.empty(len(rank), dtype=bool)
-    out[order] = order_key[order] > first
-    return out
+def factors(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(previous, next): whether a smaller, a larger position has the same `length` bytes. rank: ranks() to that depth;
+    place: where each suffix stands in the corpus, copies of a row in one place.
+
+    Suffixes that agree to the depth are neighbours in suffix order, and there in the order of their places; so the
+    longest factor reaches the depth if the previous smaller position, the nearest before with a smaller place, has the
+    same rank; the next smaller one never has. Larger positions are the same from the other side."""
+    order = np.lexsort((place, rank))
+    r, p = rank[order], place[order]
+    at = np.arange(len(r))
+    new = np.concatenate([[True], r[1:] != r[:-1]])[: len(r)]
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    last = len(r) - 1 - np.maximum.accumulate(np.where(np.concatenate([new[1:], [True]])[: len(r)][::-1], at, 0))[::-1] if len(r) else at
+    previous, following = np.empty(len(r), dtype=bool), np.empty(len(r), dtype=bool)
+    previous[order], following[order] = p[first] < p, p[last] > p
+    return previous, following
 
 
 CONTEXT = "anchor long, doc_id long, tkey long, start int, n int, new boolean, classes long, context binary"
@@ -165,11 +145,15 @@ def sorted_runs(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         start = np.array([r["start"] for r in part], dtype=np.int64)[owner] + offset
         doc = np.array([r["doc_id"] for r in part], dtype=np.int64)[owner]
         by_place = np.lexsort((start, doc))
-        key = np.empty(len(owner), dtype=np.int64)
-        steps = np.ones(len(owner), dtype=np.int64)
-        steps[1:] = (np.diff(doc[by_place]) != 0) | (np.diff(start[by_place]) != 0)
-        key[by_place] = np.cumsum(steps)  # equal places, equal keys
-        hit = matched(rank[begin[owner] + offset], key, keep_first) & np.array([r["new"] for r in part])[owner]
+        place = np.empty(len(owner), dtype=np.int64)
+        if keep_first:  # copies of a row are in one place
+            steps = np.ones(len(owner), dtype=np.int64)
+            steps[1:] = (np.diff(doc[by_place]) != 0) | (np.diff(start[by_place]) != 0)
+            place[by_place] = np.cumsum(steps)
+        else:
+            place[by_place] = np.arange(len(owner))
+        previous, following = factors(rank[begin[owner] + offset], place)
+        hit = previous if keep_first else previous | following
         # runs end where a segment does
         firsts = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (owner[1:] == owner[:-1])]))
         lasts = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (owner[1:] == owner[:-1]), [False]]))
@@ -202,11 +186,11 @@ def context_windows(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for r in batch.to_pylist():
-                at = np.arange(r["n"], dtype=np.int64)
-                tokens = repeats.BYTES[np.frombuffer(r["context"], dtype=np.uint8)]
-                h = repeats.mix(repeats.Rolling(tokens).spans(at, at + length) ^ np.int64(r["anchor"]).view(np.uint64)).view(np.int64)
+                at, context = np.arange(r["n"], dtype=np.int64), r["context"]
+                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(context[i : i + length]) for i in range(r["n"])]), dtype=np.int64).reshape(-1, 2)
                 same = np.ones(len(at), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, same * r["doc_id"], same * r["tkey"], (at + r["start"]).astype(np.int32), np.full(len(at), r["new"]))], ["h", "doc_id", "tkey", "start", "new"])
+                columns = (h[:, 0], h[:, 1], same * r["doc_id"], same * r["tkey"], (at + r["start"]).astype(np.int32), np.full(len(at), r["new"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], repeats.WINDOW_NAMES)
 
     return rows.mapInArrow(run, repeats.WINDOW_ROW)
 

@@ -63,15 +63,18 @@ def test_substrings_against_brute_force(spark, seed, batches, width):
     assert [(r.n_words, r.n_removed, r.kept_sha256) for r in sorted(rows)] == brute_words(items, width)
 
 
-def test_index_is_incremental_and_compacts(spark):
+def test_index_is_incremental_and_compacts(spark, tmp_path):
     items = texts(4)
     docs = docs_of(spark, items)
-    index = substrings.FingerprintIndex(spark, docs, max_runs=1)
-    got = {}
-    for lo in range(0, len(items), 20):
-        for r in index.add(docs.where(f"doc_id >= {lo} and doc_id < {lo + 20}")).collect():
+    got, runs = {}, []
+    for lo in range(0, len(items), 14):
+        index = substrings.FingerprintIndex(spark, docs, max_runs=2, path=str(tmp_path / "index"))  # reopened from its folder
+        for r in index.add(docs.where(f"doc_id >= {lo} and doc_id < {lo + 14}")).collect():
             got[r.doc_id] = r.runs
-        assert len(index.runs) == 1
+        runs.append(len(index.runs))
+        for name in index.runs:
+            spark.sql(f"drop table `{name}`")  # another session knows no table
+    assert runs == [1, 2, 2, 2, 2] and len(list((tmp_path / "index").iterdir())) <= 2 + 2  # runs, the manifest and its sum
     split = [t.encode().split() if t else [] for t in items]
     for i, (n, gone, _) in enumerate(brute_words(items, 20)):
         assert int(repeats.covered(len(split[i]), got.get(i), 20).sum()) == gone
@@ -84,6 +87,40 @@ def test_index_is_incremental_and_compacts(spark):
     assert substrings.dedup(docs_of(spark, [])).count() == 0
 
 
+def test_old_runs_are_merged_where_they_lie(spark, tmp_path):
+    docs = docs_of(spark, texts(4))
+    index = substrings.FingerprintIndex(spark, docs, path=str(tmp_path / "index"))
+    index.add(docs.where("doc_id < 20"))
+    index.add(docs.where("doc_id >= 20"))
+    with substrings.configured(spark, substrings.SORTED):
+        old, own = map(index.run, index.runs)
+        plan = index.merged(old, own)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
+
+
+def test_colliding_anchors_cost_no_words(spark, tmp_path):
+    items = texts(6)
+    docs = docs_of(spark, items)
+    got = {}
+    for lo, hi in ((0, 30), (30, 99)):
+        index = substrings.FingerprintIndex(spark, docs, path=str(tmp_path / "index"), anchor_bits=2)
+        got |= {r.doc_id: r.runs for r in index.add(docs.where(f"doc_id >= {lo} and doc_id < {hi}")).collect()}
+    split = [t.encode().split() if t else [] for t in items]
+    for i, (n, gone, _) in enumerate(brute_words(items, 20)):
+        assert int(repeats.covered(len(split[i]), got.get(i), 20).sum()) == gone
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    passage = " ".join(f"w{i}" for i in range(450))
+    rows = [(None, passage), (None, passage), (1, passage), (1, passage), (2, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_removed) for r in substrings.dedup(df).collect())
+    assert got == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 450)]
+    size = len(passage)
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffixes.dedup(df).collect()) == [(0, 0), (0, 0), (1, size), (1, size), (2, size)]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffixes.dedup(df, keep_first=True).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, size)]
+
+
 @pytest.mark.parametrize("seed,length,keep_first,most", [(5, 60, False, 256), (6, 60, True, 256), (7, 60, False, 2), (8, 60, True, 2), (9, 400, False, 256)])
 def test_suffixes_against_brute_force(spark, seed, length, keep_first, most):
     items = texts(seed)
@@ -96,10 +133,16 @@ def test_suffix_ranks_and_longest_previous_factors():
     for _ in range(30):
         data = bytes(r.choice(b"ab") for _ in range(r.randint(1, 60)))
         n = len(data)
-        rank = suffixes.ranks(np.frombuffer(data, dtype=np.uint8), np.zeros(n, dtype=np.int64), n + 1)
+        own, none = np.frombuffer(data, dtype=np.uint8), np.zeros(n, dtype=np.int64)
+        rank = suffixes.ranks(own, none, n + 1)
         assert sorted(range(n), key=lambda i: data[i:]) == np.argsort(rank).tolist()
-        want = [max([0, *(k for j in range(i) for k in range(1, n - i + 1) if data[j : j + k] == data[i : i + k])]) for i in range(n)]
-        assert suffixes.lpf(data).tolist() == want
+        longest = lambda i, others: max([0, *(k for j in others for k in range(1, n - max(i, j) + 1) if data[j : j + k] == data[i : i + k])])
+        place = np.arange(n)
+        for depth in (1, 3, 9):
+            previous, following = suffixes.factors(suffixes.ranks(own, none, depth), place)
+            assert previous.tolist() == [longest(i, range(i)) >= depth for i in range(n)]
+            assert following.tolist() == [longest(i, range(i + 1, n)) >= depth for i in range(n)]
+    assert [x.tolist() for x in suffixes.factors(np.array([5, 5, 5]), np.array([1, 1, 2]))] == [[False, False, True], [True, True, False]]
     assert suffixes.dedup.__defaults__[0] == 400
 
 
