@@ -1,126 +1,151 @@
 """Language ID by prediction by partial matching.
 
 Each language has a variable-order byte context tree: counts of the byte that follows each context of
-0 to `order` bytes. A byte costs -log2 P bits, where P blends the orders with escape probabilities
+0 to ORDER bytes. A byte costs -log2 P bits, where P blends the orders with escape probabilities
 (method C: a context with n followers of u kinds escapes with u / (n + u)) and leaves out, after an
 escape, what the longer context has already ruled out, so that P sums to one over all 256 bytes. The
-statistics are frozen, so each context's code lengths are worked out once; a text is then scored by
-table look-ups, whole, in a stream. The language with the least code length wins.
+statistics are frozen, so code lengths are worked out once. The language with the least code length wins.
+
+The trees are sparse: sorted keys of the contexts seen (what an escape from there costs) and of the
+contexts and bytes seen (what coding the byte there saves against escaping), each with the languages that
+have it. A text's code length is the sum of those entries over its substrings of up to ORDER + 1 bytes,
+looked up in sorted order, whole. Their size is that of the training sample, whatever the alphabets.
 
 Training takes a bounded sample: at most `per_lang` documents of each language, those with the
-smallest hashes of doc_id, of at most `max_bytes` bytes each. Prediction sees the text alone. The tables
-have a bound in bytes; where alphabets or languages are so many that they would exceed it, the order of
-the trees is lowered.
+smallest hashes of doc_id, of at most `max_bytes` bytes each. Prediction sees the text alone.
 
-Nulls, empties, ties: a null text, or one without a letter, is `und` with score 0; without training
-rows all is `und`; of equal code lengths the first language by name wins; documents whose language is
-null never train; repeated rows are scored each by itself; other columns are ignored.
+Nulls, empties, ties: a null text, or one without a letter (Unicode category L), is `und` with score 0;
+without training rows all is `und`; of equal code lengths the first language by name wins; documents whose
+language is null never train; repeated rows are scored each by itself; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free
+from .common import free, ragged
 
+#: A context and its next byte are 32 bits.
 ORDER = 3
 PER_LANG = 250
 MAX_BYTES = 20_000
-MAX_LANGS = 200
-#: The tables are sent to each executor, so their size has a bound.
-MODEL_BYTES = 256_000_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+
+
+@dataclass
+class Entries:
+    """Sorted keys, and for each the languages that have it, with a number of bits."""
+
+    keys: np.ndarray
+    ends: np.ndarray
+    lang: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> "Entries":
+        """parts: (keys, bits) of each language."""
+        keys = np.concatenate([np.zeros(0, dtype=np.uint32), *(k for k, _ in parts)])
+        lang = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        bits = np.concatenate([np.zeros(0), *(b for _, b in parts)])
+        order = np.argsort(keys, kind="stable")
+        known, start = np.unique(keys[order], return_index=True)
+        return Entries(known, np.append(start, len(keys)), lang[order].astype(np.int32), bits[order])
+
+    def total(self, found: np.ndarray, times: np.ndarray, langs: int) -> np.ndarray:
+        """The bits of each language over the found keys (sorted), each so many times."""
+        if not len(self.keys):
+            return np.zeros(langs)
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        hit = self.keys[at] == found
+        at, times = at[hit], times[hit]
+        n = self.ends[at + 1] - self.ends[at]
+        rows = ragged(self.ends[at], n)
+        return np.bincount(self.lang[rows], weights=self.bits[rows] * np.repeat(times, n), minlength=langs)
 
 
 @dataclass
 class Model:
-    """symbols[byte]: its class; 0 is any byte that training hasn't seen. rows: where the code lengths
-    of a context start; bits: code lengths, a row of `size` for each context, for each language."""
+    """For each order the costs of escapes by context and the savings by context and byte."""
 
     langs: list[str]
-    symbols: np.ndarray
-    size: int
-    order: int
-    rows: list[np.ndarray]
-    bits: list[np.ndarray]
-
-
-def _contexts(codes: np.ndarray, order: int, size: int) -> np.ndarray:
-    """For each position the number that the `order` symbols before it make; 0 stands before the text."""
-    out = np.zeros(len(codes), dtype=np.int64)
-    for back in range(order, 0, -1):
-        out *= size
-        out[back:] += codes[:-back]
+    escapes: list[Entries]
+    savings: list[Entries]
+
+    @property
+    def order(self) -> int:
+        return len(self.savings) - 1
+
+
+def grams(data: np.ndarray, n: int) -> np.ndarray:
+    """All substrings of n bytes (4 at most) as numbers."""
+    out = np.zeros(max(0, len(data) - n + 1), dtype=np.uint32)
+    for i in range(n):
+        out = (out << np.uint32(8)) | data[i : len(data) - n + 1 + i]
     return out
 
 
-def fit(texts: dict[str, list[bytes]], order: int = ORDER, model_bytes: int = MODEL_BYTES) -> Model:
-    """A model of at most model_bytes: its order is lowered until the tables of all languages fit."""
-    langs = sorted(texts)
-    seen = np.zeros(256, dtype=bool)
-    for own in texts.values():
-        for text in own:
-            seen[np.frombuffer(text, dtype=np.uint8)] = True
-    symbols = np.zeros(256, dtype=np.int64)
-    symbols[seen] = np.arange(1, seen.sum() + 1)
-    size = int(seen.sum()) + 1
-    found = {lang: _counts([symbols[np.frombuffer(x, dtype=np.uint8)] for x in texts[lang]], order, size) for lang in langs}
-    while order and 4 * sum(size**order + size * sum(len(rows) for rows in own[: order + 1]) for own in found.values()) > model_bytes:
-        order -= 1
-    model = Model(langs, symbols, size, order, [], [])
-    # the code of a byte that no training text has: its class, then one of the class
-    unseen = max(256 - int(seen.sum()), 1)
-    flat = np.ones(size)
-    flat[0] = unseen
-    base = flat / flat.sum()
-    for lang in langs:
-        probs: list[np.ndarray] = []
-        rows = np.zeros(1, dtype=np.int32)
-        for o in range(order + 1):
-            # a context that this order hasn't seen is coded in the next shorter one
-            rows = np.tile(rows, size) if o else rows
-            for context, symbol, amount in found[lang][o]:
-                shorter = probs[rows[context]] if o else base
-                row = np.zeros(size)
-                row[symbol] = amount
-                has = row > 0
-                n, u = row.sum(), has.sum()
-                rest = shorter[~has].sum()
-                rows[context] = len(probs)
-                probs.append(np.where(has, row / (n + u), shorter * (u / (n + u)) / rest) if rest > 0 else row / n)
-        bits = -np.log2(np.maximum(np.array(probs) if probs else base[None, :], 1e-12)).astype(np.float32)
-        bits[:, 0] += np.log2(unseen)
-        model.rows.append(rows)
-        model.bits.append(bits.ravel())
-    return model
-
-
-def _counts(texts: list[np.ndarray], order: int, size: int) -> list[list[tuple]]:
-    """For each order the contexts seen, each with the symbols that follow it and how often."""
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _tree(texts: list[bytes], order: int) -> list[tuple[np.ndarray, ...]]:
+    """For each order: contexts, escape bits, context and byte, savings of one language."""
+    own = [np.frombuffer(x, dtype=np.uint8) for x in texts]
     out = []
+    before, shorter = np.zeros(0, dtype=np.uint32), np.zeros(0)
     for o in range(order + 1):
-        keys = np.concatenate([np.zeros(0, dtype=np.int64), *(_contexts(x, o, size) * size + x for x in texts)])
-        pairs, n = np.unique(keys, return_counts=True)
-        cuts = np.flatnonzero(np.diff(pairs // size)) + 1
-        out.append([(int(p[0] // size), p % size, m) for p, m in zip(np.split(pairs, cuts), np.split(n, cuts)) if len(p)])
+        pairs, n = counted(np.concatenate([np.zeros(0, dtype=np.uint32), *(grams(x, o + 1) for x in own)]))
+        context, start, kinds = np.unique(pairs >> np.uint32(8), return_index=True, return_counts=True)
+        if not len(pairs):
+            out.append((context, np.zeros(0), pairs, np.zeros(0)))
+            before, shorter = pairs, np.zeros(0)
+            continue
+        group = np.repeat(np.arange(len(context)), kinds)
+        total = np.add.reduceat(n, start)
+        # the same byte after the context without its first byte; where there is none, each of 256 bytes alike
+        less = shorter[np.searchsorted(before, pairs & np.uint32((1 << 8 * o) - 1))] if o else np.full(len(pairs), 1 / 256)
+        rest = 1 - np.add.reduceat(less, start)
+        whole = (kinds == 256) | (rest < 1e-12)  # nothing is left to escape to
+        escape = np.where(whole, 0.0, -np.log2(kinds / (total + kinds) / np.where(whole, 1.0, rest)))
+        p = n / np.where(whole, total, total + kinds)[group]
+        out.append((context, escape, pairs, -np.log2(p) - escape[group] + np.log2(less)))
+        before, shorter = pairs, p
     return out
 
 
+def fit(texts: dict[str, list[bytes]], order: int = ORDER) -> Model:
+    langs = sorted(texts)
+    trees = [_tree(texts[lang], order) for lang in langs]
+    escapes, savings = ([Entries.of([(t[o][i], t[o][i + 1]) for t in trees]) for o in range(order + 1)] for i in (0, 2))
+    return Model(langs, escapes, savings)
+
+
 def score(model: Model, text: bytes) -> np.ndarray:
     """Code length of the text in bits, for each language."""
-    codes = model.symbols[np.frombuffer(text, dtype=np.uint8)]
-    contexts = _contexts(codes, model.order, model.size)
-    return np.array([float(bits[rows[contexts] * model.size + codes].sum(dtype=np.float64)) for rows, bits in zip(model.rows, model.bits)])
+    data = np.frombuffer(text, dtype=np.uint8)
+    out = np.full(len(model.langs), 8.0 * len(data))  # of 256 bytes alike
+    for o, (escapes, savings) in enumerate(zip(model.escapes, model.savings)):
+        if len(data) <= o:
+            break
+        pairs, n = counted(grams(data, o + 1))
+        out += savings.total(pairs, n, len(out))
+        context = pairs >> np.uint32(8)
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        out += escapes.total(context[start], np.add.reduceat(n, start), len(out))
+    return out
 
 
 def predict(model: Model, text: str | None) -> tuple[str, float]:
-    """(language, score): the share of the best language if each byte counted for a tenth of a bit."""
+    """(language, score): the share of the best language if code lengths counted by the root of the text's length."""
     if not model.langs or text is None or not LETTER.search(text):
         return "und", 0.0
     data = text.encode()
@@ -131,11 +156,11 @@ def predict(model: Model, text: str | None) -> tuple[str, float]:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES, order: int = ORDER) -> Model:
-    """Fit on a bounded sample of docs (doc_id, text, lang): at most per_lang rows of at most MAX_LANGS languages."""
+    """Fit on a bounded sample of docs (doc_id, text, lang): at most per_lang rows of each language."""
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and octet_length(text) between 1 and %d" % max_bytes)
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not sizes:
-        return Model([], np.zeros(256, dtype=np.int64), 1, order, [], [])
+        return Model([], [], [])
     unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * per_lang / n))))
     few = rows.withColumn("unit", unit).where(F.col("unit") < F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))

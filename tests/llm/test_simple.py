@@ -71,17 +71,52 @@ def test_language_model_is_a_probability_and_handles_odd_texts(spark):
     for lang in range(2):
         for context in (b"", b"a", b"ab", b"xy", b"zz", b"\xff"):
             total = sum(2 ** -(langid.score(model, context + bytes([c]))[lang] - langid.score(model, context)[lang]) for c in range(256))
-            assert total == pytest.approx(1, abs=1e-4)
+            assert total == pytest.approx(1, abs=1e-9)
     assert langid.predict(model, None) == ("und", 0.0) == langid.predict(model, "12 !") == langid.predict(model, "")
     assert langid.predict(model, "abab")[0] == "a" and langid.predict(model, "xyé" * 20000)[0] == "b"
+    r = np.random.default_rng(1)  # bytes against a plain tree of counts
+    words = bytes(r.integers(97, 101, 3000).astype(np.uint8))
+    own = langid.fit({"x": [words[:2000], words[2000:]], "y": [b"zzz"]}, order=3)
+
+    def plain(parts, context, byte, order):
+        if order < 0:
+            return {c: 1 / 256 for c in range(256)}[byte]
+        context = context[len(context) - order :] if order else b""
+        after = [p[i + order] for p in parts for i in range(len(p) - order) if p[i : i + order] == context]
+        kinds, n = set(after), len(after)
+        if not n:
+            return plain(parts, context, byte, order - 1)
+        if byte in kinds:
+            return after.count(byte) / (n + len(kinds))
+        rest = 1 - sum(plain(parts, context, c, order - 1) for c in kinds)
+        return len(kinds) / (n + len(kinds)) * plain(parts, context, byte, order - 1) / rest
+
+    for text in (b"abcdabdc", b"azb!", bytes(r.integers(97, 101, 40).astype(np.uint8))):
+        want = -sum(np.log2(plain([words[:2000], words[2000:]], text[:i], text[i], min(i, 3))) for i in range(len(text)))
+        assert langid.score(own, text)[0] == pytest.approx(want, rel=1e-9)
     none = langid.train(docs_of(spark, ["abc"]).selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert langid.predict(none, "abc") == ("und", 0.0)
-    small = langid.fit({"a": [b"abab abc"], "b": [b"xyxy xyz"]}, order=3, model_bytes=4000)
-    assert small.order < 3 and sum(x.nbytes for x in (*small.rows, *small.bits)) <= 4000 and langid.predict(small, "xyxy")[0] == "b"
+    assert langid.predict(model, "½ ² Ⅷ ①") == ("und", 0.0) and langid.predict(model, "ª")[0] != "und"
     found = langid.identify(docs_of(spark, ["abab", None]), model)
     assert found.columns[-2:] == ["lang_pred", "score"] and found.count() == 2
 
 
+def test_forty_languages_of_all_scripts_keep_their_order():
+    import pickle
+
+    r = np.random.default_rng(0)
+    texts = {}
+    for i in range(40):  # alphabets of their own in blocks all over Unicode
+        block = [c for c in map(chr, range(0x400 * (i % 20) + 0x100, 0x400 * (i % 20) + 0x500)) if c.isalpha()] or [*"abcdefghij"]
+        letters = r.choice(block, 30)
+        words = ["".join(r.choice(letters, r.integers(2, 9))) for _ in range(2000)]
+        texts[f"l{i:02}"] = [" ".join(r.choice(words, 250)).encode() for _ in range(40)]
+    model = langid.fit({k: v[:30] for k, v in texts.items()})
+    assert model.order == 3 and len(model.langs) == 40 and len(pickle.dumps(model)) < 128_000_000
+    held = [(k, x.decode()) for k, v in texts.items() for x in v[30:]]
+    assert all(langid.predict(model, x)[0] == k for k, x in held)
+
+
 def test_packing_keeps_every_id_once_and_pads_nothing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
