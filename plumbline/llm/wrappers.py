@@ -45,6 +45,7 @@ from .common import materialize
 
 SAMPLE = 12
 LEAST_PAGES = 4
+SHARES = 64
 BROADCAST_BYTES = 16_000_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>""", re.S)
@@ -387,12 +388,10 @@ def induce(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROADC
     """host, wrapper: a row per host, from at most `sample` of its distinct pages of any length."""
     full = pages.where(F.length("html") > 0).select(host("url").alias("host"), F.xxhash64("html").alias("order"), "html")
     narrow = materialize(full.select("host", "order").distinct(), "page-keys")
-    most = 4 * sample
-    large = narrow.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") > most)
-    # some `most` pages of each large host by a threshold on the hash, so that no window meets all pages of a host
-    unit = F.pmod(F.col("order"), F.lit(1 << 40)) / float(1 << 40)
-    some = narrow.join(large, "host", "left").where(F.col("pages").isNull() | (unit < float(most) / F.col("pages")))
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("order"))).where(F.col("rank") <= sample)
+    # the first of each share of a host's pages, then of those: no task meets all pages of a host
+    ranked = narrow.withColumn("share", F.pmod(F.col("order"), F.lit(SHARES)))
+    for by in (["host", "share"], ["host"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("order"))).where(F.col("rank") <= sample)
     picked = materialize(ranked.select("host", "order", "rank"), "picked-pages")
     size = picked.agg(F.sum(F.octet_length("host") + 48)).first()[0] or 0
     few = full.join(F.broadcast(picked) if size <= broadcast_bytes else picked.hint("merge"), ["host", "order"])
