@@ -4,8 +4,11 @@ Grades 0 .. K-1 are ordered; P(grade <= k) = sigmoid(theta_k - w.x) with one wei
 thresholds theta_0 < theta_1 < ...; the result is the expected grade, the severity. Features are
 log(1 + count) of the words and beginnings of words that tell toxic from clean documents best.
 
-The labels have no severity, only toxic 0 or 1, so grades are made from them: clean is 0; toxic is 1,
-or 2 where telling words stand more often than in the median toxic training document.
+Labels of more than two grades are learnt as they are. Labels of 0 and 1 say nothing of severity, so two
+grades of toxic documents are made, by cross-fitting: training documents are dealt to two folds, each fold
+fits toxic against clean, and a toxic document has grade 1 or 2 as the *other* fold's fit scores it under
+or over the median of its fold. The upper threshold is thus learnt from a rule, not from human grades; only
+toxic or clean can be held against the labels.
 
 Training takes a bounded sample of labelled rows: at most `max_rows` documents, half of them toxic, by
 the smallest hash of doc_id, weighted to the shares among all labels. All documents are scored, whole.
@@ -88,49 +91,56 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features
     """docs: doc_id, text; labels: doc_id, toxic."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("order", F.xxhash64(F.col("doc_id").cast("string")))
-    total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not (total.get(0) and total.get(1)):
+    total = known.agg(F.expr("count_if(toxic <= 0)"), F.expr("count_if(toxic > 0)")).first()
+    if not (total[0] and total[1]):
         return Model()
-    picked = known.where("toxic = 1").orderBy("order", "doc_id").limit(max_rows // 2).union(known.where("toxic = 0").orderBy("order", "doc_id").limit(max_rows // 2))
+    fold = F.pmod(F.xxhash64("order"), F.lit(2)).cast("int").alias("fold")
+    side = lambda c: known.where(c).orderBy("order", "doc_id").limit(max_rows // 2)
+    picked = side("toxic > 0").union(side("toxic <= 0")).select("doc_id", F.greatest("toxic", F.lit(0)).alias("grade"), fold)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # max_rows rows at most
 
     def words(batches):
         for batch in batches:
-            rows = [(doc_id, toxic, w, n) for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))) for w, n in counts(text).items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.int32()))], ["doc_id", "toxic", "word", "n"])
-
-    found = chosen.mapInArrow(words, "doc_id long, toxic int, word binary, n int")
-    size = {r.toxic: r.n for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
-    score = F.log(bad / (size[1] + 1)) - F.log(good / (size[0] + 1))
-    per_word = found.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where(F.col("bad") + F.col("good") >= LEAST_DOCS)
-    ranked = per_word.withColumn("score", score).orderBy(F.desc(F.abs("score") * F.sqrt(F.col("bad") + F.col("good"))), "word").limit(features).collect()
+            rows = [(grade > 0, w) for text, grade in zip(*(batch.column(c).to_pylist() for c in ("text", "grade"))) for w in counts(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 2, (pa.bool_(), pa.binary()))], ["toxic", "word"])
+
+    found = chosen.mapInArrow(words, "toxic boolean, word binary")
+    n_bad, n_good = picked.agg(F.expr("count_if(grade > 0)"), F.expr("count_if(grade = 0)")).first()
+    per_word = found.groupBy("word").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good")).where(F.col("bad") + F.col("good") >= LEAST_DOCS)
+    telling = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
+    ranked = per_word.orderBy(F.desc(F.abs(telling) * F.sqrt(F.col("bad") + F.col("good"))), "word").limit(features).collect()
     if not ranked:
         return Model()
     vocabulary = {bytes(r.word): i for i, r in enumerate(ranked)}
-    telling = [i for i, r in enumerate(ranked) if r.score > 2]
 
     def vectors(batches):
         for batch in batches:
             rows = []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                own = counts(text, vocabulary)
-                rows.append((toxic, [vocabulary[w] for w in own], list(own.values())))
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, kinds)], ["toxic", "at", "n"])
+            for text, grade, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "grade", "fold"))):
+                found = counts(text, vocabulary)
+                rows.append((grade, fold, [vocabulary[w] for w in found], list(found.values())))
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["grade", "fold", "at", "n"])
 
-    rows = chosen.mapInArrow(vectors, "toxic int, at array<int>, n array<int>").collect()  # max_rows sparse rows
+    rows = chosen.mapInArrow(vectors, "grade int, fold int, at array<int>, n array<int>").collect()  # max_rows sparse rows
     x = np.zeros((len(rows), len(vocabulary)))
     for i, r in enumerate(rows):
         x[i, r["at"]] = np.log1p(r["n"])
-    toxic = np.array([r.toxic for r in rows])
-    if not len(rows) or toxic.min() == toxic.max():
+    label, folds = np.array([r.grade for r in rows], dtype=np.int64), np.array([r.fold for r in rows])
+    toxic = label > 0
+    if not len(rows) or toxic.all() or not toxic.any():
         return Model()
-    often = x[:, telling].sum(axis=1)
-    grade = np.where(toxic == 1, 1 + (often > np.median(often[toxic == 1])), 0)
-    if grade.max() == 1 or not (grade == 1).any():
-        grade = toxic
-    weight = np.where(toxic == 1, total[1] / size[1], total[0] / size[0])
+    weight = np.where(toxic, total[1] / toxic.sum(), total[0] / (~toxic).sum())
+    grades = np.unique(label)
+    grade = np.searchsorted(grades, label)
+    if len(grades) == 2:
+        for f in (0, 1):
+            mine, other = toxic & (folds == f), folds != f
+            if mine.any() and 0 < toxic[other].sum() < other.sum():
+                seen = x[mine] @ fit(x[other], toxic[other].astype(np.int64), weight[other])[0]
+                grade[mine] = 1 + (seen > np.median(seen))
+        if not (grade == 1).any():
+            grade = toxic.astype(np.int64)
     weights, thresholds = fit(x, grade, weight)
     return Model(vocabulary, weights, thresholds)
 

@@ -137,6 +137,30 @@ def F_toxic(labels):
     return (labels["toxic"] == 1).alias("truth")
 
 
+def test_severity_follows_grades_that_labels_have(spark):
+    r = np.random.default_rng(4)
+    bad, good = [f"bad{i}" for i in range(12)], [f"fine{i}" for i in range(300)]
+    rows = []
+    for i in range(1200):
+        grade = int(r.integers(0, 4))
+        rows.append((i, " ".join(r.permutation([*r.choice(good, 60), *r.choice(bad, 2 * grade + int(r.integers(0, 2)))])), grade))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = ordinal.train(df, df.where("doc_id < 800"))
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    got = [(x.severity, rows[x.doc_id][2]) for x in ordinal.grade(df, model).where("doc_id >= 800").collect()]
+    means = [np.mean([s for s, g in got if g == k]) for k in range(4)]
+    assert np.corrcoef(*zip(*got))[0, 1] > 0.9 and all(abs(m - k) < 0.5 for k, m in enumerate(means)), means
+
+
+def test_more_toxic_words_are_more_severe_and_long_texts_count_whole(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = ordinal.train(docs, labels, max_rows=2000)
+    texts = ["the " * 400 + " ".join(["idiot", "moron", "scum", "trash"][:n]) for n in range(5)] + ["the " * 500_000 + "idiot moron scum trash"]
+    got = [x.severity for x in sorted(ordinal.grade(docs_of(spark, texts), model).collect(), key=lambda x: x.doc_id)]
+    assert got[:5] == sorted(got[:5]) and got[0] < 0.5 < got[4] and got[5] > got[0]
+
+
 def test_grading_odd_tables(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (3, None), (3, 1)], "doc_id long, toxic int")
     texts = [("idiot moron fine " if i % 2 else "fine good day ") * (i % 3 + 1) for i in range(20)] + [None, "", "IDIOT! moron, idiot; MORON"]
