@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,22 +55,34 @@ def is_masked(c: Column) -> Column:
     return F.coalesce((F.length(c) <= 3) | c.endswith("***"), F.lit(False))
 
 
-def _penalty(value, weight: float, over: float = 0.0) -> Column:
-    return F.greatest(F.coalesce(value, F.lit(0.0)) - over, F.lit(0.0)) * weight
-
-
-def field_score(kind: str, nulls: Column, duplicates: Column, outliers=None, skewness=None, temporal=None, cardinality=None, type_ok=None, secure=None, temporal_weight: float = 10.0) -> Column:
-    """0 to 100: what nulls, repeats and what is odd for the type take away. With type_ok and secure it
-    is the score against a policy; without them that of a profile (temporal_weight 5)."""
-    lost = _penalty(nulls, 0.5) + _penalty(duplicates, 0.2)
+def penalties(kind: str, m: dict, temporal_weight: float = 10.0, most: Callable = max, size: Callable = abs, zero=0.0) -> dict:
+    """What each metric takes away from 100. The only place that knows: m holds numbers, or Columns with F.greatest
+    and F.abs for `most` and `size`."""
+    over = lambda value, bound, weight: weight * most(value - bound, zero)
+    out = {"null_percentage": 0.5 * m["null_percentage"], "duplicate_percentage": 0.2 * m["duplicate_percentage"]}
     if kind in ("integer", "float"):
-        lost += _penalty(outliers, 0.5) + _penalty(F.abs(skewness), 10.0, 1.0)
+        out["outlier_percentage"] = 0.5 * m["outlier_percentage"]
+        out["skewness"] = over(size(m["skewness"]), 1, 10.0)
     if kind == "datetime":
-        lost += _penalty(temporal, temporal_weight)
+        out["temporal_anomaly"] = temporal_weight * m["temporal_anomaly"]
     if kind == "string":
-        lost += _penalty(cardinality, 50.0, 0.8)
-    if type_ok is not None:
-        lost += F.when(F.coalesce(type_ok, F.lit(False)), 0.0).otherwise(20.0)
-    if secure is not None:
-        lost += F.when(secure == F.lit(False), 15.0).otherwise(0.0)
-    return F.greatest(F.lit(100.0) - lost, F.lit(0.0))
+        out["cardinality_ratio"] = over(m["cardinality_ratio"], 0.8, 50.0)
+    return out
+
+
+METRICS = ("null_percentage", "duplicate_percentage", "outlier_percentage", "skewness", "temporal_anomaly", "cardinality_ratio")
+
+
+def profile_score(kind: str, **m: Column) -> Column:
+    """The score of a profile, 0 to 100, from Columns by metric; one that is missing or null takes nothing away."""
+    known = {k: F.coalesce(m[k], F.lit(0.0)) if k in m else F.lit(0.0) for k in METRICS}
+    lost = penalties(kind, known, 5.0, F.greatest, F.abs, F.lit(0.0)).values()
+    return F.greatest(F.lit(100.0) - reduce(lambda x, y: x + y, lost), F.lit(0.0))
+
+
+def place(c: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are at most c, by halving: the number of the range that c lies in."""
+    if not bounds:
+        return F.lit(0)
+    table, halves = F.array(*map(F.lit, bounds)), F.array(*(F.lit(1 << d) for d in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(halves, F.lit(0), lambda low, step: F.when((low + step <= len(bounds)) & (F.get(table, low + step - 1) <= c), low + step).otherwise(low))

@@ -1,7 +1,7 @@
 """Metrics of the fields of a policy, and the scores made from them.
 
-All fields share two aggregations (the second needs the quartiles); only gaps between times take a job of
-their own per field. What comes to the driver is a row of numbers.
+All fields share three aggregations (the second is over distinct values, the third needs the quartiles); only
+gaps between times, and metrics of the caller's own, take jobs of their own. What comes to the driver is a row of numbers.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..types import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, clean, distinct_key, is_missing, logical, num, quoted
+from ..types import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, clean, is_missing, logical, num, quoted
 from . import profile
 
 PHASES = ("ingestion", "cleaning", "indexing", "continuous_monitoring")
@@ -40,17 +40,16 @@ def _number(value) -> float:
     return 0.0 if value is None or (isinstance(value, float) and math.isnan(value)) else float(value)
 
 
+def as_number(value) -> float | None:
+    try:
+        return None if value is None else float(value)
+    except (TypeError, ValueError):
+        return None
+
+
 def penalties(kind: str, m: dict, temporal_weight: float = 10.0) -> dict[str, float]:
     """What each metric takes away from 100."""
-    out = {"null_percentage": 0.5 * _number(m.get("null_percentage")), "duplicate_percentage": 0.2 * _number(m.get("duplicate_percentage"))}
-    if kind in (INTEGER, FLOAT):
-        out["outlier_percentage"] = 0.5 * _number(m.get("outlier_percentage"))
-        out["skewness"] = 10 * max(0.0, abs(_number(m.get("skewness"))) - 1)
-    if kind == DATETIME:
-        out["temporal_anomaly"] = temporal_weight * _number(m.get("temporal_anomaly"))
-    if kind == STRING:
-        out["cardinality_ratio"] = 50 * max(0.0, _number(m.get("cardinality_ratio")) - 0.8)
-    return out
+    return stats.penalties(kind, {k: _number(m.get(k)) for k in stats.METRICS}, temporal_weight)
 
 
 def policy_score(kind: str, m: dict) -> float:
@@ -73,37 +72,61 @@ def security_compliant(c: Column, kind: str, security: str) -> Column:
     return F.when(F.count("*") > 0, F.lit(True))
 
 
+def custom(df: DataFrame, cells: dict[Any, Callable[[], Column]]) -> dict[Any, Any]:
+    """Values of metrics of one's own, all in one aggregation. Where that fails, each is worked out by itself, and
+    those that fail, when made or when run, are None."""
+    if not cells:
+        return {}
+    try:
+        row = df.agg(*(make().alias(f"c{i}") for i, make in enumerate(cells.values()))).first()
+        return {k: row[f"c{i}"] for i, k in enumerate(cells)}
+    except Exception:  # whatever a function of the caller's may raise
+        if len(cells) == 1:
+            return dict.fromkeys(cells)
+    return {k: v for key, make in cells.items() for k, v in custom(df, {key: make}).items()}
+
+
 def field_metrics(df: DataFrame, policy: dict, registry: Registry | None = None, phase: str = "ingestion") -> dict[str, dict]:
     """Metrics by field, and under `global` their average score. Fields that aren't there have the status missing.
-    Nulls count as repeats in duplicate_percentage here."""
+    Nulls count as repeats in duplicate_percentage here; a custom metric that fails is None."""
     out: dict[str, dict] = {}
     cells: list[tuple[str, str, Column]] = []
     known = {f["field_name"]: f for f in policy.get("fields", []) if f["field_name"] in df.columns}
+    own: dict[tuple[str, str], Callable[[], Column]] = {}
     for n, f in known.items():
         c, kind = clean(df, n), f.get("type", STRING)
-        distinct = F.count_distinct(distinct_key(df, n))
-        cells += [(n, "null_percentage", stats.percent(is_missing(df, n))), (n, "duplicate_percentage", profile.repeats_percent(df, n, False)), (n, "uniqueness_rate", F.try_divide(distinct.cast("double"), F.count("*")))]
+        cells.append((n, "null_percentage", stats.percent(is_missing(df, n))))
         if kind in (INTEGER, FLOAT):
             x = num(c)
-            cells += [(n, "mean", F.avg(x)), (n, "std", F.stddev_samp(x)), (n, "min", F.min(x)), (n, "max", F.max(x)), (n, "quartiles", stats.quantiles(x, [0.25, 0.5, 0.75])), (n, "skewness", F.abs(stats.skew(x)))]
+            cells += [(n, "mean", F.avg(x)), (n, "std", F.stddev_samp(x)), (n, "min", F.min(x)), (n, "max", F.max(x)), (n, "skewness", F.abs(stats.skew(x)))]
         elif kind == STRING:
-            cells.append((n, "cardinality_ratio", F.try_divide(distinct.cast("double"), F.count(c))))
+            cells.append((n, "values", F.count(c)))
         elif kind == BOOLEAN:
             cells.append((n, "true_percentage", 100 * F.avg(c.try_cast("boolean").cast("int"))))
         cells.append((n, "security_compliant", security_compliant(c, kind, f.get("security", "none"))))
         for name, (func, phases) in (registry.fields if registry else {}).items():
             if phase in phases:
-                cells.append((n, f"custom_{name}", func(f, c)))
+                own[n, f"custom_{name}"] = lambda func=func, f=f, c=c: func(f, c)
     if known:
-        row = df.agg(*(agg.alias(f"c{i}") for i, (_, _, agg) in enumerate(cells))).first()
+        row = df.agg(F.count("*").alias("rows"), *(agg.alias(f"c{i}") for i, (_, _, agg) in enumerate(cells))).first()
         for i, (n, m, _) in enumerate(cells):
             out.setdefault(n, {})[m] = row[f"c{i}"]
-        numbers = [n for n in known if "quartiles" in out[n]]
+        numbers = [n for n, f in known.items() if f.get("type", STRING) in (INTEGER, FLOAT)]
+        kinds, quartiles = profile.by_value(df, {n: clean(df, n) for n in known}, [n in numbers for n in known])
+        for n, f in known.items():
+            distinct = kinds.get(n, 0)
+            out[n]["duplicate_percentage"] = 100.0 * (row.rows - distinct) / row.rows if row.rows else None
+            out[n]["uniqueness_rate"] = distinct / row.rows if row.rows else None
+            if "values" in out[n]:
+                values = out[n].pop("values")
+                out[n]["cardinality_ratio"] = distinct / values if values else None
         if numbers:
-            shares = df.agg(*(stats.percent(stats.outside(num(quoted(n)), *_ends(out[n]["quartiles"]), guard=False)).alias(f"c{i}") for i, n in enumerate(numbers))).first()
+            shares = df.agg(*(stats.percent(stats.outside(num(quoted(n)), *_ends(quartiles.get(n)), guard=False)).alias(f"c{i}") for i, n in enumerate(numbers))).first()
             for i, n in enumerate(numbers):
-                q = out[n].pop("quartiles") or [None] * 3
+                q = quartiles.get(n) or [None] * 3
                 out[n] |= {"outlier_percentage": _number(shares[f"c{i}"]), "percentile_25": q[0], "median": q[1], "percentile_75": q[2]}
+        for (n, m), value in custom(df, own).items():
+            out[n][m] = value
         for n, f in known.items():
             kind = f.get("type", STRING)
             if kind == DATETIME:
@@ -138,23 +161,26 @@ def column_scores(df: DataFrame, wanted: dict[Any, tuple[str, Column]]) -> dict[
     if not keys:
         return {}
     cells: dict[tuple[int, str], Column] = {}
+    numbers = [i for i, k in enumerate(keys) if wanted[k][0] in (INTEGER, FLOAT)]
     for i, k in enumerate(keys):
-        kind, c = wanted[k]
-        kinds = F.count_distinct(c)
-        cells[i, "null_percentage"] = stats.percent(c.isNull())
-        cells[i, "duplicate_percentage"] = F.try_divide(100.0 * (F.count("*") - kinds - F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))), F.count("*"))
-        if kind in (INTEGER, FLOAT):
-            cells[i, "q"] = stats.quantiles(num(c), [0.25, 0.75])
+        c = wanted[k][1]
+        cells[i, "nulls"] = F.count_if(c.isNull())
+        if i in numbers:
             cells[i, "skewness"] = stats.skew(num(c))
-        elif kind == STRING:
-            cells[i, "cardinality_ratio"] = F.try_divide(kinds.cast("double"), F.count(c))
-    row = df.agg(*(agg.alias(f"c{j}") for j, agg in enumerate(cells.values()))).first()
+    row = df.agg(F.count("*").alias("rows"), *(agg.alias(f"c{j}") for j, agg in enumerate(cells.values()))).first()
     found: list[dict] = [{} for _ in keys]
     for j, (i, m) in enumerate(cells):
         found[i][m] = row[f"c{j}"]
-    numbers = [i for i in range(len(keys)) if found[i].get("q")]
+    kinds, quartiles = profile.by_value(df, {i: wanted[k][1] for i, k in enumerate(keys)}, [i in numbers for i in range(len(keys))])
+    for i, k in enumerate(keys):
+        nulls, distinct = found[i].pop("nulls"), kinds.get(i, 0)
+        if row.rows:
+            found[i] |= {"null_percentage": 100.0 * nulls / row.rows, "duplicate_percentage": 100.0 * (row.rows - distinct - (nulls > 0)) / row.rows}
+            if wanted[k][0] == STRING and row.rows > nulls:
+                found[i]["cardinality_ratio"] = distinct / (row.rows - nulls)
+    numbers = [i for i in numbers if quartiles.get(i)]
     if numbers:
-        shares = df.agg(*(stats.percent(stats.outside(num(wanted[keys[i]][1]), *found[i]["q"])).alias(f"c{i}") for i in numbers)).first()
+        shares = df.agg(*(stats.percent(stats.outside(num(wanted[keys[i]][1]), quartiles[i][0], quartiles[i][2])).alias(f"c{i}") for i in numbers)).first()
         for i in numbers:
             found[i]["outlier_percentage"] = shares[f"c{i}"]
     for i, k in enumerate(keys):

@@ -1,7 +1,9 @@
-"""Column profiles: a constant number of fused aggregations, whatever the number of columns.
+"""Column profiles in a few aggregations, whatever the number of columns.
 
-The first aggregation has all moments, counts and quantiles of all columns; the second, which needs the
-quartiles, the outliers. Results are long frames (field, metric, value) or one row per field.
+One aggregation has all moments and counts of all columns; one over the distinct values of all columns, each
+with its count, has distinct counts, quantiles, modes and entropies; one, which needs the quartiles, the
+outliers. Only gaps between times are worked out column by column. Results are long frames (field, metric,
+value) or one row per field.
 """
 
 from __future__ import annotations
@@ -9,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats
 from ..types import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, clean, distinct_key, is_missing, logical_types, num, quoted
@@ -33,69 +37,96 @@ def repeats_percent(df: DataFrame, name: str, null_is_value: bool = True) -> Col
     return F.try_divide(100.0 * (F.count("*") - kinds), F.count("*"))
 
 
+def value_counts(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """i, v, s, n: how often each value of each column occurs, in one shuffle for all; v is a floating-point value, s
+    any other as text, and both are null for null."""
+    kinds = [f.dataType for f in df.select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).schema]
+    parts = []
+    for i, (c, kind) in enumerate(zip(columns, kinds)):
+        real = isinstance(kind, (T.FloatType, T.DoubleType))
+        nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+        key = F.to_json(F.array_sort(F.map_entries(c)) if isinstance(kind, T.MapType) else c) if nested else c.cast("string")
+        v = F.nanvl(c.cast("double"), F.lit(None).cast("double")) + F.lit(0.0) if real else F.lit(None).cast("double")  # -0.0 is 0.0
+        parts.append(F.struct(F.lit(i).alias("i"), v.alias("v"), (F.lit(None).cast("string") if real else key).alias("s")))
+    return df.select(F.explode(F.array(*parts)).alias("x")).groupBy("x.i", "x.v", "x.s").agg(F.count("*").alias("n"))
+
+
+def by_value(df: DataFrame, columns: dict[Any, Column], with_quartiles: list[bool], exact: bool = True) -> tuple[dict[Any, int], dict[Any, list[float]]]:
+    """(distinct non-null values, quartiles) by column; quartiles of those asked for, as far as values are numbers."""
+    keys = list(columns)
+    per = value_counts(df, list(columns.values()))
+    number = F.when(F.col("i").isin([i for i, q in enumerate(with_quartiles) if q]), F.coalesce("v", num(F.col("s"))))
+    distinct = F.count_if(F.col("v").isNotNull() | F.col("s").isNotNull()).alias("kinds")
+    found: dict[Any, list[float]] = {}
+    if exact:
+        rows = per.groupBy("i").agg(distinct, F.percentile(number, F.array(*map(F.lit, SHARES)), F.col("n")).alias("q")).collect()  # a row per column
+        found = {keys[r.i]: r.q for r in rows if r.q}
+    else:
+        rows = per.groupBy("i").agg(distinct).collect()
+        asked = [i for i, q in enumerate(with_quartiles) if q]
+        if asked:
+            q = df.agg(*(F.percentile_approx(num(columns[keys[i]]), SHARES, 10_000).alias(f"q{i}") for i in asked)).first()
+            found = {keys[i]: q[f"q{i}"] for i in asked if q[f"q{i}"]}
+    return {keys[r.i]: r.kinds for r in rows}, found
+
+
+SHARES = [0.25, 0.5, 0.75]
+
+
 def numeric(df: DataFrame, names: list[str], exact: bool = True) -> DataFrame:
     """field, metric, value for numeric columns."""
     first = []
     for i, n in enumerate(names):
         c = num(quoted(n))
         first += [
+            F.count_if(is_missing(df, n)).alias(f"nulls_{i}"),
             stats.percent(c.isNull()).alias(f"null_percentage_{i}"),
-            repeats_percent(df, n).alias(f"duplicate_percentage_{i}"),
-            F.count_distinct(c).alias(f"unique_count_{i}"),
             F.avg(c).alias(f"mean_{i}"),
             F.stddev_samp(c).alias(f"std_{i}"),
             F.min(c).alias(f"min_{i}"),
             F.max(c).alias(f"max_{i}"),
-            stats.quantiles(c, [0.25, 0.5, 0.75], exact).alias(f"q_{i}"),
             stats.skew(c).alias(f"skewness_{i}"),
             stats.kurt(c).alias(f"kurtosis_{i}"),
             stats.variation(c).alias(f"coefficient_of_variation_{i}"),
         ]
-    row = df.agg(*first).first()
+    row = df.agg(F.count("*").alias("rows"), *first).first()
+    text = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]  # numbers in text: 1 and 1.0 are one number, but two texts
+    kinds, quartiles = by_value(df, {n: clean(df, n) for n in names} | {("number", n): num(quoted(n)) for n in text}, [True] * len(names) + [False] * len(text), exact)
     second, cells = [], {}
-    plain = ("null_percentage", "duplicate_percentage", "unique_count", "mean", "std", "min", "max", "skewness", "kurtosis", "coefficient_of_variation")
+    plain = ("null_percentage", "mean", "std", "min", "max", "skewness", "kurtosis", "coefficient_of_variation")
     for i, n in enumerate(names):
-        q = row[f"q_{i}"] or [None] * 3
+        q = quartiles.get(n) or [None] * 3
+        own = {m: row[f"{m}_{i}"] for m in plain} | {"p25": q[0], "median": q[1], "p75": q[2], "unique_count": float(kinds.get(("number", n) if n in text else n, 0))}
+        own["duplicate_percentage"] = 100.0 * (row.rows - kinds.get(n, 0) - (row[f"nulls_{i}"] > 0)) / row.rows if row.rows else None
         second.append(F.coalesce(stats.percent(stats.outside(num(quoted(n)), q[0], q[2])), F.lit(0.0)).alias(f"outlier_percentage_{i}"))
-        for m in plain:
-            second.append(F.lit(row[f"{m}_{i}"]).cast("double").alias(f"{m}_{i}"))
-        for m, value in zip(("p25", "median", "p75"), q):
-            second.append(F.lit(value).cast("double").alias(f"{m}_{i}"))
-        for m in (*plain, "p25", "median", "p75", "outlier_percentage"):
-            cells[n, m] = f"{m}_{i}"
+        second += [F.lit(value).cast("double").alias(f"{m}_{i}") for m, value in own.items()]
+        cells |= {(n, m): f"{m}_{i}" for m in (*own, "outlier_percentage")}
     wide = df.agg(*second)
     for i, n in enumerate(names):
         wide = wide.withColumn(f"flag_{i}", stats.bias_flag(F.col(f"skewness_{i}"), F.col(f"kurtosis_{i}")).cast("int"))
-        wide = wide.withColumn(f"score_{i}", stats.field_score(FLOAT, F.col(f"null_percentage_{i}"), F.col(f"duplicate_percentage_{i}"), F.col(f"outlier_percentage_{i}"), F.col(f"skewness_{i}")))
+        wide = wide.withColumn(f"score_{i}", stats.profile_score(FLOAT, **{m: F.col(f"{m}_{i}") for m in ("null_percentage", "duplicate_percentage", "outlier_percentage", "skewness")}))
         cells[n, "bias_flag"], cells[n, "quality_score"] = f"flag_{i}", f"score_{i}"
     return long_form(wide, cells)
 
 
-def counts(df: DataFrame, name: str) -> DataFrame:
-    """value, n for the non-null values of a column."""
-    return df.where(~is_missing(df, name)).groupBy(distinct_key(df, name).alias("value")).agg(F.count("*").alias("n"))
-
-
 def strings(df: DataFrame, names: list[str]) -> DataFrame:
     """field, unique_values, total_values, null_percentage, duplicate_percentage, cardinality_ratio, avg_length, mode,
     mode_frequency, bias_flag, quality_score for text columns. The mode is the smallest of the most frequent."""
-    out = []
-    for n in names:
-        c = quoted(n).cast("string")
-        base = df.agg(F.count("*").alias("rows"), stats.percent(c.isNull()).alias("null_percentage"), repeats_percent(df, n).alias("duplicate_percentage"), F.avg(F.length(c)).alias("avg_length"))
-        per = counts(df, n).agg(F.count("*").alias("unique_values"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_values"), F.max(F.struct("n", F.lit(0))).alias("top"))
-        mode = counts(df, n).orderBy(F.desc("n"), "value").limit(1).select(F.col("value").cast("string").alias("mode"), F.col("n").alias("top_n"))
-        rows = (base.withColumn("k", F.lit(1))).join(per.drop("top").withColumn("k", F.lit(1)), "k").join(mode.withColumn("k", F.lit(1)), "k", "left")
-        ratio = F.try_divide(F.col("unique_values").cast("double"), F.col("total_values"))
-        share = F.try_divide(F.col("top_n").cast("double"), F.col("total_values"))
-        out.append(
-            rows.select(
-                F.lit(n).alias("field"), "unique_values", "total_values", "null_percentage", "duplicate_percentage", ratio.alias("cardinality_ratio"), "avg_length", "mode", (100 * share).alias("mode_frequency"),
-                F.coalesce(share > 0.8, F.lit(False)).alias("bias_flag"),
-                stats.field_score(STRING, F.col("null_percentage"), F.col("duplicate_percentage"), cardinality=ratio).alias("quality_score"),
-            )
-        )
-    return reduce(DataFrame.unionByName, out)
+    per = value_counts(df, [clean(df, n).cast("string") for n in names])
+    n, s, rows = F.col("n"), F.col("s"), F.col("rows")
+    out = per.groupBy("i").agg(
+        F.sum("n").alias("rows"), F.count("s").alias("unique_values"), F.coalesce(F.sum(F.when(s.isNotNull(), n)), F.lit(0)).alias("total_values"), F.count_if(s.isNull()).alias("null_kinds"),
+        F.sum(F.length(s) * n).alias("chars"), F.min(F.when(s.isNotNull(), F.struct((-n).alias("n"), s.alias("s")))).alias("top"),
+    )
+    empty = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, field string")
+    out = F.broadcast(empty).join(out, "i", "left").na.fill(0, ["rows", "unique_values", "total_values", "null_kinds"])  # a row per column, without rows too
+    total = F.col("total_values")
+    ratio, share = F.try_divide(F.col("unique_values").cast("double"), total), F.try_divide(-F.col("top.n").cast("double"), total)
+    out = out.select(
+        "field", "unique_values", "total_values", F.try_divide(100.0 * (rows - total), rows).alias("null_percentage"), F.try_divide(100.0 * (rows - F.col("unique_values") - F.col("null_kinds")), rows).alias("duplicate_percentage"),
+        ratio.alias("cardinality_ratio"), F.try_divide(F.col("chars").cast("double"), total).alias("avg_length"), F.col("top.s").alias("mode"), (100 * share).alias("mode_frequency"), F.coalesce(share > 0.8, F.lit(False)).alias("bias_flag"),
+    )
+    return out.withColumn("quality_score", stats.profile_score(STRING, **{m: F.col(m) for m in ("null_percentage", "duplicate_percentage", "cardinality_ratio")}))
 
 
 def booleans(df: DataFrame, names: list[str]) -> DataFrame:
@@ -104,28 +135,60 @@ def booleans(df: DataFrame, names: list[str]) -> DataFrame:
     return long_form(row, {(n, m): f"{m[0]}_{i}" for i, n in enumerate(names) for m in ("true_percentage", "false_percentage")})
 
 
+def dealt(per: DataFrame, value: str) -> DataFrame:
+    """per, a row per distinct value, with `part`: the range of the value, between quantiles of the distinct values,
+    so that no outlier leaves most of them in one range."""
+    parts = max(1, int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = per.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
+    return per.withColumn("part", stats.place(F.col(value), sorted(set(bounds or []))))
+
+
+def below(per: DataFrame) -> DataFrame:
+    """part, size, below for counts by value: how many rows a range has, and how many the ranges before it."""
+    sizes = per.groupBy("part").agg(F.sum("n").alias("size"))  # a row per range
+    return sizes.withColumn("below", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def median(per: DataFrame, value: str) -> float | None:
+    """The exact median of counts by value (value, n), from the ranges that hold the middle alone: no task orders all."""
+    ranged = dealt(per.select(F.col(value).alias("v"), "n").where("v is not null").groupBy("v").agg(F.sum("n").alias("n")), "v").persist()
+    try:
+        sizes = below(ranged).collect()  # a row per range
+        total = sum(r.size for r in sizes)
+        if not total:
+            return None
+        middle = {(total - 1) // 2, total // 2}
+        holding = {r.part: r.below for r in sizes if any(r.below <= k < r.below + r.size for k in middle)}
+        own = ranged.where(F.col("part").isin(list(holding)))
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        start = F.create_map(*(F.lit(x) for k, v in holding.items() for x in (k, v)))[F.col("part")]
+        placed = own.withColumn("end", upto + start).withColumn("begin", F.col("end") - F.col("n"))
+        hit = [placed.where((F.col("begin") <= k) & (F.lit(k) < F.col("end"))).select("v") for k in sorted(middle)]
+        found = [r.v for r in reduce(DataFrame.unionByName, hit).collect()]  # two at most
+        return sum(found) / len(found)
+    finally:
+        ranged.unpersist()
+
+
 def time_gaps(df: DataFrame, name: str) -> DataFrame:
     """gap_seconds, n: the gaps between neighbouring times and how often each occurs. Equal times are counted
-    first, and the few that are left of each range are ordered in that range; a range passes its last time on,
-    so no single task orders all."""
-    spark = df.sparkSession
+    first, and the others of each range are ordered in that range; a range passes its last time on, so no single
+    task orders all."""
     times = df.select(F.unix_micros(quoted(name).try_cast("timestamp")).alias("t")).where("t is not null").groupBy("t").agg(F.count("*").alias("n"))
-    bound = df.agg(F.min(F.unix_micros(quoted(name).try_cast("timestamp"))), F.max(F.unix_micros(quoted(name).try_cast("timestamp")))).first()
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    width = max(1, -(-((bound[1] or 0) - (bound[0] or 0) + 1) // parts))
-    dealt = times.withColumn("part", F.floor((F.col("t") - F.lit(bound[0] or 0)) / width))
-    ends = dealt.groupBy("part").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))  # a row per range
+    ranged = dealt(times, "t")
+    ends = ranged.groupBy("part").agg(F.max("t").alias("hi"))  # a row per range
     before = ends.withColumn("prev", F.lag("hi").over(Window.orderBy("part"))).select("part", "prev")
-    inside = dealt.withColumn("lag", F.lag("t").over(Window.partitionBy("part").orderBy("t")))
+    inside = ranged.withColumn("lag", F.lag("t").over(Window.partitionBy("part").orderBy("t")))
     between = inside.join(F.broadcast(before), "part").select(((F.col("t") - F.coalesce("lag", "prev")) / 1e6).alias("gap_seconds"), F.lit(1).cast("long").alias("n")).where("gap_seconds is not null")
-    same = dealt.where("n > 1").select(F.lit(0.0).alias("gap_seconds"), (F.col("n") - 1).alias("n"))
+    same = ranged.where("n > 1").select(F.lit(0.0).alias("gap_seconds"), (F.col("n") - 1).alias("n"))
     return between.unionByName(same).groupBy("gap_seconds").agg(F.sum("n").alias("n"))
 
 
 def temporal(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
-    """One row: field, median_gap, max_gap (seconds), temporal_anomaly (max over median less 2, if over 2)."""
+    """One row: field, median_gap, max_gap (seconds), temporal_anomaly (max over median less 2, if over 2). Either way the
+    median is exact; with exact=False no task holds all distinct gaps, at the price of more jobs."""
     gaps = time_gaps(df, name)
-    middle = F.percentile(F.col("gap_seconds"), F.lit(0.5), F.col("n")) if exact else F.percentile_approx("gap_seconds", 0.5)
+    middle = F.percentile(F.col("gap_seconds"), F.lit(0.5), F.col("n")) if exact else F.lit(median(gaps, "gap_seconds")).cast("double")
     row = gaps.agg(middle.alias("median_gap"), F.max("gap_seconds").alias("max_gap"))
     ratio = F.try_divide("max_gap", "median_gap")
     return row.select(F.lit(name).alias("field"), "median_gap", "max_gap", F.when(ratio > 2, ratio - 2).otherwise(0.0).alias("temporal_anomaly"))
@@ -133,27 +196,22 @@ def temporal(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
 
 def entropy(df: DataFrame, names: list[str]) -> DataFrame:
     """field, entropy (nats), gini_impurity over the shares of non-null values."""
-    out = []
-    for n in names:
-        per = counts(df, n)
-        total = per.agg(F.sum("n").cast("double")).first()[0] or 1.0
-        p = F.col("n") / total
-        out.append(per.agg(F.lit(n).alias("field"), F.coalesce(-F.sum(p * F.log(p)), F.lit(0.0)).alias("entropy"), F.coalesce(1 - F.sum(p * p), F.lit(0.0)).alias("gini_impurity")))
-    return reduce(DataFrame.unionByName, out)
+    per = value_counts(df, [clean(df, n) for n in names]).where("v is not null or s is not null")
+    n = F.col("n").cast("double")
+    sums = per.groupBy("i").agg(F.sum(n).alias("total"), F.sum(n * F.log(n)).alias("logs"), F.sum(n * n).alias("squares"))
+    fields = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, field string")
+    total = F.col("total")
+    out = F.broadcast(fields).join(sums, "i", "left")
+    return out.select("field", F.coalesce(F.log(total) - F.col("logs") / total, F.lit(0.0)).alias("entropy"), F.coalesce(1 - F.col("squares") / (total * total), F.lit(0.0)).alias("gini_impurity"))
 
 
 def gini(df: DataFrame, name: str) -> DataFrame:
     """field, gini of a numeric column: rank-weighted sums over its distinct values; 0 without values or total.
 
     Ranks come from counts by value, dealt into ranges whose sizes are summed up first, so no task orders all."""
-    per = df.select(num(quoted(name)).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    lo, hi = per.agg(F.min("v"), F.max("v")).first()
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    width = ((hi - lo) / parts if lo is not None else 1.0) or 1.0
-    per = per.withColumn("part", F.floor((F.col("v") - F.lit(lo)) / width))
-    sizes = per.groupBy("part").agg(F.sum("n").alias("size")).withColumn("below", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    per = dealt(df.select(num(quoted(name)).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")), "v")
     prev = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("inside", prev).join(F.broadcast(sizes), "part").withColumn("prev", F.col("inside") + F.col("below"))
+    ranked = per.withColumn("inside", prev).join(F.broadcast(below(per)), "part").withColumn("prev", F.col("inside") + F.col("below"))
     n = F.col("n").cast("double")
     row = ranked.agg(F.sum(F.col("v") * (n * F.col("prev") + n * (n + 1) / 2)).alias("w"), F.sum(F.col("v") * n).alias("s"), F.sum(n).alias("m"))
     value = F.when(F.coalesce("s", F.lit(0.0)) != 0, (2 * F.col("w") - (F.col("m") + 1) * F.col("s")) / (F.col("m") * F.col("s"))).otherwise(0.0)
@@ -196,7 +254,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 @dataclass
 class Profiler:
     """Profiles all columns by type, with metrics of one's own: register(type, name, func), where func
-    takes a Column and returns an aggregate Column."""
+    takes a Column and returns an aggregate Column. One that fails is null, and the others stand."""
 
     custom: dict[str, dict[str, Callable[[Column], Column]]] = field(default_factory=dict)
 
@@ -218,12 +276,12 @@ class Profiler:
             parts.append(booleans(df, of(BOOLEAN)))
         for n in of(DATETIME):
             base = df.agg(stats.percent(is_missing(df, n)).alias("null_percentage"), repeats_percent(df, n).alias("duplicate_percentage")).withColumn("k", F.lit(1)).join(temporal(df, n).withColumn("k", F.lit(1)), "k")
-            base = base.withColumn("quality_score", stats.field_score(DATETIME, F.col("null_percentage"), F.col("duplicate_percentage"), temporal=F.col("temporal_anomaly"), temporal_weight=5.0))
+            base = base.withColumn("quality_score", stats.profile_score(DATETIME, **{m: F.col(m) for m in ("null_percentage", "duplicate_percentage", "temporal_anomaly")}))
             parts.append(long_form(base, {(n, m): m for m in ("null_percentage", "duplicate_percentage", "median_gap", "max_gap", "temporal_anomaly", "quality_score")}))
-        own = [(n, m, f(clean(df, n))) for n, t in kinds.items() for m, f in self.custom.get(t, {}).items()]
+        own = {(n, m): lambda f=f, n=n: f(clean(df, n)) for n, t in kinds.items() for m, f in self.custom.get(t, {}).items()}
         if own:
-            row = df.agg(*(c.cast("double").alias(f"c{i}") for i, (_, _, c) in enumerate(own)))
-            parts.append(long_form(row, {(n, m): f"c{i}" for i, (n, m, _) in enumerate(own)}))
-        return reduce(DataFrame.unionByName, parts)
-
+            from .metrics import as_number, custom
 
+            rows = [(n, m, as_number(v)) for (n, m), v in custom(df, own).items()]
+            parts.append(df.sparkSession.createDataFrame(rows, "field string, metric string, value double"))
+        return reduce(DataFrame.unionByName, parts)

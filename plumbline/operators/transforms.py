@@ -31,14 +31,20 @@ class Transform:
     family: str
     kinds: tuple[str, ...]
     apply: Callable[[Column, Params], Column]
-    stages: tuple[Callable[[Column, Params], dict[str, Column]], ...] = ()
+    stages: tuple["Callable[[Column, Params], dict[str, Column]] | Search", ...] = ()
 
 
 def fit(df: DataFrame, wanted: list[tuple[str, Transform]]) -> dict[tuple[str, str], Params]:
     """Parameters by (field, transform name)."""
     params: dict[tuple[str, str], Params] = {(f, t.name): {} for f, t in wanted}
     for step in range(max((len(t.stages) for _, t in wanted), default=0)):
-        cells = [((f, t.name), key, agg) for f, t in wanted if step < len(t.stages) for key, agg in t.stages[step](clean(df, f), params[f, t.name]).items()]
+        now = [(f, t, t.stages[step]) for f, t in wanted if step < len(t.stages)]
+        searches = [(params[f, t.name], clean(df, f), stage) for f, t, stage in now if isinstance(stage, Search)]
+        if searches:
+            search(df, searches)
+        cells = [((f, t.name), key, agg) for f, t, stage in now if not isinstance(stage, Search) for key, agg in stage(clean(df, f), params[f, t.name]).items()]
+        if not cells:
+            continue
         row = df.agg(*(agg.alias(f"c{i}") for i, (_, _, agg) in enumerate(cells))).first()
         for i, (own, key, _) in enumerate(cells):
             params[own][key] = row[f"c{i}"]
@@ -70,7 +76,7 @@ def _filled(key: str) -> Callable[[Column, Params], Column]:
 
 impute_median = Transform("impute_median", "impute", NUMBER, _filled("median"), (lambda c, p: {"median": F.median(num(c))},))
 impute_mean = Transform("impute_mean", "impute", NUMBER, _filled("mean"), (lambda c, p: {"mean": F.avg(num(c))},))
-impute_mode = Transform("impute_mode", "impute", (*NUMBER, STRING, BOOLEAN), lambda c, p: F.coalesce(c.cast("string"), F.lit(p["mode"])), (lambda c, p: {"mode": F.mode(c.cast("string"), True)},))
+impute_mode = Transform("impute_mode", "impute", (*NUMBER, STRING, BOOLEAN), lambda c, p: F.coalesce(c, F.lit(p["mode"])), (lambda c, p: {"mode": F.mode(c, True)},))
 impute_empty_string = Transform("impute_empty_string", "impute", (STRING,), lambda c, p: F.coalesce(c.cast("string"), F.lit("")))
 impute_false = Transform("impute_false", "impute", (BOOLEAN,), lambda c, p: F.coalesce(c.cast("boolean"), F.lit(False)))
 impute_true = Transform("impute_true", "impute", (BOOLEAN,), lambda c, p: F.coalesce(c.cast("boolean"), F.lit(True)))
@@ -116,7 +122,14 @@ def _minmax(c: Column, p: Params) -> Column:
 
 minmax = Transform("normalize_minmax", "normalize", NUMBER, _minmax, (lambda c, p: {"lo": F.min(num(c)), "hi": F.max(num(c))},))
 zscore = Transform("normalize_zscore", "normalize", NUMBER, lambda c, p: (num(c) - p["mean"]) / p["std"] if p["std"] else num(c), (lambda c, p: {"mean": F.avg(num(c)), "std": F.stddev_samp(num(c))},))
-clean_text = Transform("normalize_text", "normalize", (STRING,), lambda c, p: text.cleaned(c.cast("string")))
+
+
+def text_cleaner(words: list[str] | None = None, keep_marks: bool = False) -> Transform:
+    """words: those to drop, by default the Spanish stop words that Spark brings along."""
+    return Transform("normalize_text", "normalize", (STRING,), lambda c, p: text.cleaned(c.cast("string"), words, keep_marks))
+
+
+clean_text = text_cleaner()
 
 
 # skewness
@@ -133,17 +146,17 @@ def _shifted(c: Column, p: Params) -> Column:
 log_shift = Transform("bias_log", "bias", NUMBER, lambda c, p: F.log1p(_shifted(c, p)), (_least,))
 
 
-def _near_zero(lam: float) -> bool:
-    return abs(lam) < 1e-9
+def _near_zero(lam: Column) -> Column:
+    return F.abs(lam) < 1e-9
 
 
-def box_cox(x: Column, lam: float) -> Column:
-    return F.log(x) if _near_zero(lam) else (F.pow(x, F.lit(lam)) - 1) / lam
+def box_cox(x: Column, lam: Column) -> Column:
+    return F.when(_near_zero(lam), F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    up = F.log1p(x) if _near_zero(lam) else (F.pow(x + 1, F.lit(lam)) - 1) / lam
-    down = -F.log1p(-x) if _near_zero(2 - lam) else -(F.pow(1 - x, F.lit(2 - lam)) - 1) / (2 - lam)
+def yeo_johnson(x: Column, lam: Column) -> Column:
+    up = F.when(_near_zero(lam), F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    down = F.when(_near_zero(2 - lam), -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
     return F.when(x >= 0, up).otherwise(down)
 
 
@@ -165,24 +178,38 @@ def _best(p: Params, step: int) -> float:
     return max(known)[2] if known else 1.0
 
 
-def _likelihood(power: Callable[[Column, float], Column], value: Callable[[Column, Params], Column], slope: Callable[[Column], Column]) -> tuple:
-    def stage(step: int):
-        def run(c: Column, p: Params) -> dict[str, Column]:
-            x = value(c, p)
-            n, logs = F.count(x).cast("double"), F.sum(slope(x))
-            llf = [(lam - 1) * logs - n / 2 * F.log(F.nullif(F.var_pop(power(x, lam)), F.lit(0.0))) for lam in _grid(p, step)]
-            return {f"llf{step}": F.array(*llf)}
-
-        return run
-
-    return tuple(stage(i) for i in range(FINER))
+@dataclass(frozen=True)
+class Search:
+    """A stage that looks for the power of greatest likelihood: value is transformed by power(x, lambda), whose slope's
+    logarithm at lambda = 2 is that of x."""
+
+    power: Callable[[Column, float], Column]
+    value: Callable[[Column, Params], Column]
+    slope: Callable[[Column], Column]
+
+
+def search(df: DataFrame, items: list[tuple[Params, Column, Search]]) -> None:
+    """llf0, llf1 .. of each item: the log-likelihoods on its grids. A pass a grid for all items: each value meets each
+    power of its item, and their variances are a partial aggregation."""
+    values = [s.value(c, p) for p, c, s in items]
+    each = lambda extra: df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("x"), *extra(k)) for k, v in enumerate(values)))).alias("i")).select("i.*").where("x is not null")
+    pick = lambda make: reduce(lambda out, k: F.when(F.col("k") == k, make(items[k][2])).otherwise(out), range(len(items)), F.lit(None).cast("double"))
+    sums = {r.k: (r.n, r.logs) for r in each(lambda k: ()).groupBy("k").agg(F.count("*").alias("n"), F.sum(pick(lambda s: s.slope(F.col("x")))).alias("logs")).collect()}
+    for step in range(FINER):
+        grids = [_grid(p, step) for p, _, _ in items]
+        tried = each(lambda k: (F.array(*map(F.lit, grids[k])).alias("grid"),)).select("k", "x", F.posexplode("grid").alias("at", "power"))
+        found = {(r.k, r.at): r.v for r in tried.groupBy("k", "at").agg(F.var_pop(pick(lambda s: s.power(F.col("x"), F.col("power")))).alias("v")).collect()}
+        for k, (p, _, _) in enumerate(items):
+            n, logs = sums.get(k, (0, None))
+            usable = lambda v: v is not None and v > 0 and not math.isinf(v)
+            p[f"llf{step}"] = [(lam - 1) * logs - n / 2 * math.log(found[k, i]) if usable(found.get((k, i))) and logs is not None else None for i, lam in enumerate(grids[k])]
 
 
 def _number(c: Column, p: Params) -> Column:
     return num(c)
 
 
-boxcox = Transform("bias_boxcox", "bias", NUMBER, lambda c, p: box_cox(_shifted(c, p), _best(p, FINER - 1)), (_least, *_likelihood(box_cox, _shifted, F.log)))
+boxcox = Transform("bias_boxcox", "bias", NUMBER, lambda c, p: box_cox(_shifted(c, p), F.lit(_best(p, FINER - 1))), (_least, Search(box_cox, _shifted, F.log)))
 
 
 def _sign_log(x: Column) -> Column:
@@ -190,16 +217,16 @@ def _sign_log(x: Column) -> Column:
 
 
 def _standard(c: Column, p: Params) -> dict[str, Column]:
-    y = yeo_johnson(num(c), _best(p, FINER - 1))
+    y = yeo_johnson(num(c), F.lit(_best(p, FINER - 1)))
     return {"mean": F.avg(y), "std": F.stddev_pop(y)}
 
 
 def _yeojohnson(c: Column, p: Params) -> Column:
-    y = yeo_johnson(num(c), _best(p, FINER - 1))
+    y = yeo_johnson(num(c), F.lit(_best(p, FINER - 1)))
     return y if p["mean"] is None else (y - p["mean"]) / (p["std"] or 1.0)
 
 
-yeojohnson = Transform("bias_yeojohnson", "bias", NUMBER, _yeojohnson, (*_likelihood(yeo_johnson, _number, _sign_log), _standard))
+yeojohnson = Transform("bias_yeojohnson", "bias", NUMBER, _yeojohnson, (Search(yeo_johnson, _number, _sign_log), _standard))
 
 LANDMARKS = 1000
 

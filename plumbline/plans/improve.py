@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..operators import metrics, rules
+from ..types import FLOAT
 
 
 def potential(kind: str, m: dict) -> dict[str, float]:
@@ -70,14 +72,14 @@ class Improver:
             overall += [f"The relational rule '{r.field}' doesn't hold." for r in relational(df, self.policy).where("not ok").collect()]
         return {"global": overall, "fields": by_field}
 
-    def chart(self) -> list[tuple[str, float, float]]:
-        """(field, current score, score to reach)."""
+    def chart(self, spark: SparkSession) -> DataFrame:
+        """field, current_score, potential_score: what there is and what could be reached."""
         out = []
         for n, kind, m in self.fields():
             if "field_quality_score" in m:
                 now = metrics.policy_score(kind, m)
-                out.append((n, now, now + min(sum(potential(kind, m).values()), 100 - now)))
-        return out
+                out.append((n, float(now), float(now + min(sum(potential(kind, m).values()), 100 - now))))
+        return spark.createDataFrame(out, "field string, current_score double, potential_score double")
 
 
 def relational(df: DataFrame, policy: dict) -> DataFrame:
@@ -92,5 +94,9 @@ def relational(df: DataFrame, policy: dict) -> DataFrame:
 
 def potentials(profile: DataFrame) -> DataFrame:
     """field, metric, potential from a long frame (field, metric, value) of numeric fields."""
-    weight = F.when(F.col("metric") == "duplicate_percentage", 0.2 * F.col("value")).when(F.col("metric").isin("null_percentage", "outlier_percentage"), 0.5 * F.col("value")).when(F.col("metric") == "skewness", 10 * F.greatest(F.abs("value") - 1, F.lit(0.0)))
-    return profile.select("field", "metric", weight.alias("potential")).where("potential is not null")
+    zero = dict.fromkeys(stats.METRICS, F.lit(0.0))
+    worth = F.lit(None).cast("double")
+    for m in ("null_percentage", "duplicate_percentage", "outlier_percentage", "skewness"):
+        own = stats.penalties(FLOAT, zero | {m: F.col("value")}, most=F.greatest, size=F.abs, zero=F.lit(0.0))[m]
+        worth = F.when(F.col("metric") == m, own).otherwise(worth)
+    return profile.select("field", "metric", worth.alias("potential")).where("potential is not null")

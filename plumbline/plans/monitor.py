@@ -88,18 +88,19 @@ class Monitor:
             raise ValueError(f"no phase is called {phase}; there are {phases}")
         return getattr(self, phase)()
 
-    def explain_scores(self) -> dict:
-        out = {}
-        for n, m in self.metrics("ingestion").items():
-            if n != "global":
-                own = {k: v for k, v in m.items() if k.startswith("custom_")}
-                out[n] = {"base_metrics": {k: v for k, v in m.items() if k not in own and k != "field_quality_score"}, "custom_metrics": own, "final_field_quality_score": m.get("field_quality_score")}
-        return out
+    def explain_scores(self) -> DataFrame:
+        """field, part, metric, value: what each score is made of. part: base, custom, or score for the score itself."""
+        rows = metrics.as_frame(self.df.sparkSession, {n: m for n, m in self.metrics("ingestion").items() if n != "global"})
+        part = F.when(F.col("metric") == "field_quality_score", "score").when(F.col("metric").startswith("custom_"), "custom").otherwise("base")
+        return rows.select("field", part.alias("part"), "metric", "value")
 
     def report(self) -> dict:
         out = {p: self.evaluate_phase(p) for p in ("ingestion", "disaggregation", "cleaning", "indexing", "continuous_monitoring")}
         out["custom_pipeline_measures"] = {}
         for name, (func, phases) in self.registry.pipeline.items():
             if "report" in phases:
-                out["custom_pipeline_measures"][name] = func(self, out)
+                try:
+                    out["custom_pipeline_measures"][name] = func(self, out)
+                except Exception:  # a metric of the caller's that fails is None, and the others stand
+                    out["custom_pipeline_measures"][name] = None
         return out | {"timestamp": time.strftime("%Y-%m-%d %H:%M:%S")}

@@ -73,6 +73,7 @@ class Remediator:
     mandatory: dict[str, list[X.Transform]] = field(default_factory=lambda: {STRING: [X.impute_empty_string, X.clean_text]})
     knowledge: dict[str, dict] = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
+    _tables: list[DataFrame] = field(default_factory=list, repr=False)
 
     def register_rule(self, transform: X.Transform) -> None:
         self.candidates.append(transform)
@@ -90,7 +91,7 @@ class Remediator:
         """The best table and its scores by column."""
         kinds = content_types(df)
         df = X.cast_by_type(df, {n: k for n, k in kinds.items() if k == DATETIME and logical_types(df)[n] != DATETIME})
-        df = X.transformed(df, {n: self.mandatory[k] for n, k in kinds.items() if k in self.mandatory and self._open(n)})
+        df = self._kept(X.transformed(df, {n: self.mandatory[k] for n, k in kinds.items() if k in self.mandatory and self._open(n)}))
         score = self.scores(df, kinds)
         best, best_score = df, dict(score)
         mean = lambda s: sum(s.values()) / max(1, len(s))
@@ -104,8 +105,17 @@ class Remediator:
                 best, best_score = df, dict(score)
             if mean(score) - before < self.gain:
                 break
+        for table in self._tables:
+            if table is not best:
+                table.unpersist()
+        self._tables = []
         return best, best_score
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """The table of an accepted step, kept so that the next ones don't go back to the source through all before."""
+        self._tables.append(df.persist())
+        return df
+
     def _family(self, df: DataFrame, kinds: dict, score: dict, family: str, accepted: dict) -> tuple[DataFrame, dict]:
         wanted = [(n, t) for n in df.columns if n in score and score[n] < self.gate for t in self.candidates if t.family == family and kinds[n] in t.kinds]
         if not wanted:
@@ -122,7 +132,9 @@ class Remediator:
         for n, name in take.items():
             accepted.setdefault(n, []).append(name)
             self.knowledge.setdefault(n, {}).setdefault(f"variants_{family}", []).append({"name": name, "gain": gained[n] - score[n]})
-        return df.select(*(made[n, take[n]].alias(n) if n in take else quoted(n) for n in df.columns)), score | {n: gained[n] for n in take}
+        if not take:
+            return df, score
+        return self._kept(df.select(*(made[n, take[n]].alias(n) if n in take else quoted(n) for n in df.columns))), score | {n: gained[n] for n in take}
 
     def _rank(self, df: DataFrame, made: dict, family: str) -> dict:
         """How bad each candidate is by its family's evaluator; all in one aggregation."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from xml.etree import ElementTree
 
@@ -11,9 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def fetched(spark: SparkSession, url: str) -> str:
+    """A copy of what http(s) serves there, in the folder that all executors share, streamed and never held whole."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{base}/fetched-{uuid.uuid4().hex}")
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.net.URI(url).toURL().openStream(), path.getFileSystem(conf).create(path), conf, True)
+    return path.toString()
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", schema: str | None = None) -> DataFrame:
-    """A header line, and types from a schema or, at the cost of another pass, from the data."""
+    """A header line, and types from a schema or, at the cost of another pass, from the data. path: of any file system
+    that Spark knows, or http(s)."""
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
+    path = fetched(spark, path) if path.lower().startswith(("http://", "https://")) else path
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 

@@ -17,7 +17,7 @@ from plumbline.functions import text
 from plumbline.operators import flatten, metrics, profile, rules, sampling
 from plumbline.operators import transforms as X
 from plumbline.plans import improve, monitor, policy, remediate
-from plumbline.sources import audit, files, rest
+from plumbline.sources import audit, files, loader, rest
 from plumbline.streaming import live
 from plumbline.types import content_types, logical_types, parse_time
 
@@ -216,7 +216,105 @@ def test_engines_run_and_scores_do_not_fall(spark):
     with pytest.raises(ValueError):
         monitor.Monitor(df, p).evaluate_phase("other")
     found = improve.Improver(report["ingestion"]["field_metrics"], p, [{"field_improvements": {"a": i}, "quality_score_improvement": 2.0 * i + 1} for i in range(5)])
-    assert found.predict({"a": 10}) == pytest.approx(21) and found.recommendations(df)["global"] and all(b >= a for _, a, b in found.chart())
+    assert found.predict({"a": 10}) == pytest.approx(21) and found.recommendations(df)["global"] and all(r.potential_score >= r.current_score for r in found.chart(spark).collect())
+
+
+def test_metrics_that_fail_leave_the_others_alone(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
+    registry = metrics.Registry()
+
+    def broken(f, c):
+        raise KeyError("no")
+
+    for name, func in (("good", lambda f, c: F.max(c)), ("raises", broken), ("unresolved", lambda f, c: F.max("nothing")), ("fails", lambda f, c: F.max(F.raise_error(F.lit("no"))))):
+        registry.register_field_metric(name, func)
+    registry.register_pipeline_metric("bad", broken)
+    registry.register_pipeline_metric("fine", lambda m, r: 7)
+    p = {"fields": [{"field_name": "x", "type": "float"}]}
+    report = monitor.Monitor(df, p, registry).report()
+    own = report["ingestion"]["field_metrics"]["x"]
+    assert [own[f"custom_{n}"] for n in ("good", "raises", "unresolved", "fails")] == [2.0, None, None, None] and own["mean"] == 1.5
+    assert report["custom_pipeline_measures"] == {"bad": None, "fine": 7}
+    profiler = profile.Profiler()
+    profiler.register("float", "top", F.max)
+    profiler.register("float", "bad", lambda c: F.max("nothing"))
+    got = {(r.field, r.metric): r.value for r in profiler.report(df).collect()}
+    assert got["x", "top"] == 2.0 and got["x", "bad"] is None and got["s", "unique_values"] == 2
+    parts = {(r.field, r.metric): r.part for r in monitor.Monitor(df, p, registry).explain_scores().collect()}
+    assert parts["x", "mean"] == "base" and parts["x", "custom_good"] == "custom" and parts["x", "field_quality_score"] == "score"
+
+
+def test_one_outlier_leaves_the_ranges_even(spark):
+    rows = [(i, float(i % 977), f"2020-01-01 00:{i % 60:02}:{i // 60 % 60:02}") for i in range(3000)] + [(3000, 1e15, "1970-01-01 00:00:00"), (3001, None, None)]
+    df = spark.createDataFrame(rows, "i int, x double, t string").withColumn("t", F.col("t").cast("timestamp"))
+    per = df.where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    sizes = [r["count"] for r in profile.dealt(per, "x").groupBy("part").count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * sum(sizes) / len(sizes)
+    a, b = (profile.temporal(df, "t", exact).first() for exact in (True, False))
+    assert a == b and a.median_gap == 1.0 and a.max_gap > 1e9
+    weighted = spark.createDataFrame([(0.0, 100), (5.0, 3), (9.0, 2)], "v double, n long")
+    assert profile.median(weighted, "v") == 0.0 and profile.median(weighted.where("v > 0"), "v") == 5.0 and profile.median(weighted.where("v > 9"), "v") is None
+    assert profile.median(spark.createDataFrame([(1.0, 2), (3.0, 2)], "v double, n long"), "v") == 2.0
+    v = sorted(r[1] for r in rows if r[1] is not None)
+    want = (2 * sum((i + 1) * x for i, x in enumerate(v)) - (len(v) + 1) * sum(v)) / (len(v) * sum(v))
+    assert profile.gini(df, "x").first().gini == pytest.approx(want)
+
+
+def test_modes_fill_in_the_type_of_the_column(spark):
+    df = spark.createDataFrame([(1, 2, 1.5, True, "a"), (2, 2, 1.5, True, "a"), (3, None, None, None, None)], "i int, n long, x double, b boolean, s string")
+    done = X.transformed(df, {c: [X.impute_mode] for c in "nxbs"})
+    assert done.schema == df.schema or [f.dataType for f in done.schema] == [f.dataType for f in df.schema]
+    assert tuple(done.where("i = 3").first()) == (3, 2, 1.5, True, "a")
+
+
+def test_text_is_cleaned_in_full(spark):
+    rows = ["No Definido", "definido", "SIN DESCRIPCION", "no aplica", "Bien :-) ;( x", "a,b-c. d", "El Camión", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+    assert out(df, X.text_cleaner(["el"])) == ["no definido", "no definido", "sin descripcion", "no aplica", "bien x", "abc d", "camion", None]
+    assert out(df, X.text_cleaner(["el"], True))[5] == "abc. d"
+
+
+def test_json_text_at_any_depth_and_its_errors(spark):
+    rows = [('{"a": {"b": "{\\"c\\": [1, 2]}"}, "n": "12"}', "x"), ("{broken", "y"), (None, "z")]
+    df = spark.createDataFrame(rows, "j string, k string")
+    logged = flatten.flatten(df, json_text=True, errors="log")
+    assert sorted(logged.columns) == ["j_a_b_c_0", "j_a_b_c_1", "j_error", "j_n", "k"] and dict(logged.dtypes)["j_n"] == "bigint"
+    assert [(r.j_a_b_c_1, r.j_error) for r in logged.orderBy("k").collect()] == [(2, None), (None, "{broken"), (None, None)]
+    assert flatten.flatten(df, json_text=True, errors="skip").count() == 2
+    with pytest.raises(Exception):
+        flatten.flatten(df, json_text=True, errors="raise").collect()
+    with pytest.raises(ValueError):
+        flatten.flatten(df, json_text=True, errors="other")
+
+
+def test_loaders_tell_what_they_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    own = loader.loader(spark, "csv")
+    assert own.load(path=str(tmp_path / "a.csv")).columns == ["k", "v"] and own.row_count() == 2
+    assert own.metadata["status"] == "success" and own.metadata["path"].endswith("a.csv") and own.mismatches({"fields": {"k": {"type": "string"}}}) == {"k": {"expected": "string", "actual": "integer"}}
+    with pytest.raises(Exception):
+        loader.loader(spark, "parquet").load(path=str(tmp_path / "none"))
+    quiet = loader.loader(spark, "parquet", "empty")
+    assert quiet.load(path=str(tmp_path / "none")).count() == 0 and quiet.metadata["status"] == "failed" and quiet.metadata["error"]
+    with pytest.raises(ValueError):
+        loader.loader(spark, "fax")
+
+
+def test_csv_comes_from_the_web(spark):
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'k,v\n1,"a\nb"\n2,c\n'.replace(b'"a\nb"', b"a"))
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    df = files.read_csv(spark, f"http://127.0.0.1:{server.server_port}/a.csv")
+    server.shutdown()
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "a"), (2, "c")]
 
 
 def test_stream_is_profiled_by_batch(spark, tmp_path):
