@@ -6,6 +6,8 @@ arrays together. No row passes through Python.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,3 +93,9 @@ def flatten(df: DataFrame, separator: str = "_", max_depth: int | None = None, c
 def explode_positions(df: DataFrame, name: str, n: int) -> DataFrame:
     """The first n elements of an array column as columns name_0 .. in its place, null where it is shorter."""
     return df.select(*(x for c in df.columns for x in ([F.get(quoted(c), F.lit(i)).alias(f"{c}_{i}") for i in range(n)] if c == name else [quoted(c)])))
+
+
+def process(*tables: DataFrame, separator: str = "_", json_text: bool = False, errors: str = "log") -> DataFrame:
+    """All tables flat, as one: the union of their columns, null where a table has none."""
+    flat = [flatten(t, separator, json_text=json_text, errors=errors) for t in tables]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), flat)

@@ -226,4 +226,25 @@ def rule_report(df: DataFrame, policy: dict) -> DataFrame:
     return rules.evaluate(df, checks)
 
 
+ROLE = "field string, role string, lo double, hi double, kinds long, violations long"
+#: A number of fewer kinds is a code.
+FEW_KINDS = 20
+
+
+def roles(df: DataFrame) -> DataFrame:
+    """ROLE: whether a field is a fact (a number of many kinds that isn't a key) or a dimension, the range of a fact (three
+    deviations about its mean), and how many rows leave it. Two aggregations and one over distinct values."""
+    from ..operators import profile
+
+    types = logical_types(df)
+    kinds, _ = profile.by_value(df, {n: clean(df, n) for n in df.columns}, [False] * len(df.columns))
+    numbers = [n for n, k in types.items() if k in (INTEGER, FLOAT)]
+    row = df.agg(F.count("*").alias("rows"), *(x for i, n in enumerate(numbers) for x in (F.avg(num(quoted(n))).alias(f"m{i}"), F.stddev_samp(num(quoted(n))).alias(f"s{i}")))).first()
+    bounds = {n: (row[f"m{i}"] - 3 * row[f"s{i}"], row[f"m{i}"] + 3 * row[f"s{i}"]) for i, n in enumerate(numbers) if FEW_KINDS <= kinds.get(n, 0) < row.rows and row[f"s{i}"] is not None}
+    odd = rules.evaluate(df, [rules.in_range(df, n, *b) for n, b in bounds.items()]).collect() if bounds else []  # a row per fact
+    odd = {r.field: r.violations for r in odd}
+    out = [(n, "fact" if n in bounds else "dimension", *bounds.get(n, (None, None)), kinds.get(n, 0), odd.get(n, 0)) for n in df.columns]
+    return df.sparkSession.createDataFrame(out, ROLE)
+
+
 __all__ = ["generate", "get_or_create", "load", "save", "violations", "rule_report", "validate_compliance", "metrics"]

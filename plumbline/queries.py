@@ -12,7 +12,7 @@ from .operators import transforms as X
 from .plans import improve, monitor, policy, remediate
 from .sources import rest
 from .streaming import live
-from .types import clean, num, parse_time, quoted, type_mismatches
+from .types import parse_time, quoted, type_mismatches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,8 +27,9 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(quoted(n), 6) + F.lit(0.0)).alias(n) if t in ("double", "float") else quoted(n) for n, t in df.dtypes))
 
 
-def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, d: rounded(run(spark, d))
+def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, whole: bool = False) -> None:
+    """whole: doubles as they are; a mean of hundredths may lie half-way between two roundings."""
+    QUERIES[name] = lambda spark, d: run(spark, d) if whole else rounded(run(spark, d))
     if sql:
         ORACLE[name] = sql
 
@@ -63,7 +64,7 @@ def numeric_sql(source: str, fields: list[str]) -> str:
             "p25": "q1", "median": "q2", "p75": "q3", "outlier_percentage": "op", "bias_flag": "CASE WHEN abs(sk) > 1 OR ku > 3 THEN 1 ELSE 0 END",
             "quality_score": "greatest(100 - 0.5 * np - 0.2 * dp - 0.5 * op - 10 * greatest(abs(sk) - 1, 0), 0)",
         }
-        rows = " UNION ALL ".join(f"SELECT '{c}' AS field, '{k}' AS metric, round(CAST({v} AS DOUBLE), 6) AS value FROM x" for k, v in values.items())
+        rows = " UNION ALL ".join(f"SELECT '{c}' AS field, '{k}' AS metric, CAST({v} AS DOUBLE) AS value FROM x" for k, v in values.items())
         parts.append(
             f"SELECT * FROM (WITH s AS (SELECT * FROM {source}), b AS (SELECT count(*) AS n, count({c}) AS k, count(DISTINCT {c}) AS u, avg({c}) AS m, stddev_samp({c}) AS s, min({c}) AS lo, max({c}) AS hi, "
             f"quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3, skewness({c}) AS sk, kurtosis({c}) AS ku FROM s), "
@@ -72,19 +73,21 @@ def numeric_sql(source: str, fields: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+# the moments are those of the values, so both engines sum the same doubles; no rounding hides or makes a difference
 LINE = ["l_quantity", "l_extendedprice", "l_discount"]
-add("profile_lineitem", lambda s, d: profile.numeric(table(s, d, "lineitem"), LINE), numeric_sql("lineitem", LINE))
+add("profile_lineitem", lambda s, d: profile.numeric(table(s, d, "lineitem"), LINE), numeric_sql("lineitem", LINE), whole=True)
 DIRTY_NUMBERS = ["price", "spiky", "shifted"]
-add("profile_orders_dirty", lambda s, d: profile.numeric(dirty(s, d), DIRTY_NUMBERS), numeric_sql(f"(SELECT {', '.join(DIRTY)} FROM orders)", DIRTY_NUMBERS))
+add("profile_orders_dirty", lambda s, d: profile.numeric(dirty(s, d), DIRTY_NUMBERS), numeric_sql(f"(SELECT {', '.join(DIRTY)} FROM orders)", DIRTY_NUMBERS), whole=True)
 
 
-def strings_sql(source: str, fields: list[str]) -> str:
+def strings_sql(source: str, fields: list[str], whole: bool = False) -> str:
     one = (
         "SELECT '{c}' AS field, u AS unique_values, k AS total_values, round(np, 6) AS null_percentage, round(dp, 6) AS duplicate_percentage, round(u / k, 6) AS cardinality_ratio, round(al, 6) AS avg_length, mode, "
         "round(100.0 * top / k, 6) AS mode_frequency, top / k > 0.8 AS bias_flag, round(greatest(100 - 0.5 * np - 0.2 * dp - 50 * greatest(u / k - 0.8, 0), 0), 6) AS quality_score FROM ("
         "SELECT count(DISTINCT {c}) AS u, count({c}) AS k, 100.0 * (count(*) - count({c})) / count(*) AS np, 100.0 * (count(*) - count(DISTINCT {c}) - (CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END)) / count(*) AS dp, "
         "avg(length({c})) AS al FROM {t}), (SELECT {c} AS mode, count(*) AS top FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY 2 DESC, 1 LIMIT 1)"
     )
+    one = one.replace("round(", "if(true, ") if whole else one
     return " UNION ALL ".join(one.format(c=c, t=source) for c in fields)
 
 
@@ -205,9 +208,7 @@ _TRANSFORMS: dict[str, tuple[str, str | None]] = {
     "bias_log": ("shifted", "round(ln(1 + shifted + (SELECT CASE WHEN min(shifted) <= 0 THEN abs(min(shifted)) + 1 ELSE 0 END FROM d)), 6)"),
     "encrypt_base64": ("priority", "base64(encode(priority))"),
     "mask": ("priority", "CASE WHEN length(priority) > 3 THEN substr(priority, 1, 2) || '***' ELSE priority END"),
-    "bias_boxcox": ("spiky", None),
-    "bias_yeojohnson": ("shifted", None),
-    "bias_quantile": ("price", None),
+    "bias_none": ("priority", "priority"),
 }
 
 
@@ -219,16 +220,16 @@ def transform(s: SparkSession, d: str, name: str, field: str) -> DataFrame:
 
 for _name, (_field, _sql) in _TRANSFORMS.items():
     add(f"transform_{_name}", lambda s, d, n=_name, f=_field: transform(s, d, n, f), _sql and D + f"SELECT o_orderkey, {_sql} AS value FROM d")
-_DATES = "FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)"
 add(
-    "transform_cyclical_month", lambda s, d: X.transformed(table(s, d, "orders").where("not (month(o_orderdate) = 2 and day(o_orderdate) = 29)").select("o_orderkey", "o_orderdate"), {"o_orderdate": [X.cyclical]}).select("o_orderkey", F.unix_micros("o_orderdate").alias("value")),
-    f"WITH o AS (SELECT * {_DATES}), y AS (SELECT year(o_orderdate) AS y FROM o GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT o_orderkey, epoch_us(make_timestamp((SELECT y FROM y), month(o_orderdate), day(o_orderdate), hour(o_orderdate), minute(o_orderdate), second(o_orderdate)::DOUBLE)) AS value FROM o",
+    "transform_cyclical_month", lambda s, d: X.transformed(table(s, d, "orders").select("o_orderkey", "o_orderdate"), {"o_orderdate": [X.cyclical]}).select("o_orderkey", F.unix_micros("o_orderdate").alias("value")),
+    "WITH y AS (SELECT year(o_orderdate) AS y FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), l AS (SELECT count(*) FILTER (WHERE month(o_orderdate) = 2 AND day(o_orderdate) = 29) > 0 AND NOT ((SELECT y FROM y) % 4 = 0 AND ((SELECT y FROM y) % 100 <> 0 OR (SELECT y FROM y) % 400 = 0)) AS stays FROM orders) "
+    "SELECT o_orderkey, epoch_us(CASE WHEN stays THEN o_orderdate ELSE make_timestamp((SELECT y FROM y), month(o_orderdate), CASE WHEN stays THEN 1 ELSE day(o_orderdate) END, hour(o_orderdate), minute(o_orderdate), second(o_orderdate)::DOUBLE) END) AS value FROM orders, l",
 )
-_MONTH = "date_trunc('month', o_orderdate) = (SELECT min(date_trunc('month', o_orderdate)) FROM orders)"
+#: Every order's time of day, on a day of one month.
 add(
     "transform_cyclical_weekday",
-    lambda s, d: (lambda t: X.transformed(t.where(F.date_trunc("month", "o_orderdate") == F.lit(t.agg(F.date_trunc("month", F.min("o_orderdate"))).first()[0])).select("o_orderkey", "o_orderdate"), {"o_orderdate": [X.cyclical]}).select("o_orderkey", F.unix_micros("o_orderdate").alias("value")))(table(s, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))),
-    f"WITH o AS (SELECT * FROM orders WHERE {_MONTH}), f AS (SELECT min(o_orderdate) AS f FROM o) SELECT o_orderkey, epoch_us(f) + (isodow(o_orderdate) - isodow(f)) * 86400000000 AS value FROM o, f",
+    lambda s, d: X.transformed(table(s, d, "orders").selectExpr("o_orderkey", "timestamp_micros(825638400000000 + (o_orderkey % 31) * 86400000000 + (o_custkey % 86400) * 1000000) AS placed"), {"placed": [X.cyclical]}).select("o_orderkey", F.unix_micros("placed").alias("value")),
+    "WITH o AS (SELECT o_orderkey, make_timestamp(825638400000000 + (o_orderkey % 31) * 86400000000 + (o_custkey % 86400) * 1000000) AS placed FROM orders), f AS (SELECT min(placed) AS f FROM o) SELECT o_orderkey, epoch_us(f) + (isodow(placed) - isodow(f)) * 86400000000 AS value FROM o, f",
 )
 add(
     "transform_temporal_log", lambda s, d: X.transformed(table(s, d, "orders").select("o_orderkey", "o_orderdate"), {"o_orderdate": [X.temporal_log]}).select("o_orderkey", F.round(F.unix_micros("o_orderdate") / 1e6, 1).alias("value")),
@@ -239,8 +240,6 @@ add(
     "transform_group_rare", lambda s, d: X.group_rare(table(s, d, "part").select("p_partkey", "p_type"), "p_type"),
     "WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) SELECT p_partkey, CASE WHEN n < (SELECT quantile_cont(n, 0.25) FROM c) THEN 'Other' ELSE p_type END AS p_type FROM part JOIN c USING (p_type)",
 )
-add("transform_merge_similar", lambda s, d: X.merge_similar(table(s, d, "part").select("p_partkey", "p_brand"), "p_brand"))
-add("transform_clean_text", lambda s, d: X.transformed(table(s, d, "documents").select("doc_id", "text"), {"text": [X.clean_text]}))
 add("fill_values", lambda s, d: X.fill_values(dirty(s, d).select("o_orderkey", "price", "priority"), {"price": 0.0, "priority": "none"}), D + "SELECT o_orderkey, round(coalesce(price, 0), 6) AS price, coalesce(priority, 'none') AS priority FROM d")
 add("cast_coerce", lambda s, d: X.cast_by_type(dirty(s, d).select("o_orderkey", "code"), {"code": "integer"}), D + "SELECT o_orderkey, TRY_CAST(code AS BIGINT) AS code FROM d")
 add("parse_time_seconds", lambda s, d: (lambda t: t.select("event_id", F.unix_micros(parse_time(t, "sec")).alias("us")))(table(s, d, "events").select("event_id", F.expr("event_id * 3600").alias("sec"))), "SELECT event_id, event_id * 3600 * 1000000 AS us FROM events")
@@ -325,7 +324,6 @@ add(
     "improvement_potential", lambda s, d: improve.potentials(profile.numeric(table(s, d, "lineitem"), LINE)),
     f"SELECT field, metric, round(CASE metric WHEN 'duplicate_percentage' THEN 0.2 * value WHEN 'skewness' THEN 10 * greatest(abs(value) - 1, 0) ELSE 0.5 * value END, 6) AS potential FROM ({numeric_sql('lineitem', LINE)}) WHERE metric IN ('duplicate_percentage', 'null_percentage', 'outlier_percentage', 'skewness')",
 )
-add("drift", lambda s, d: table(s, d, "orders").agg(F.avg("o_totalprice").alias("now")).select(((F.col("now") - 100000.0) / 100000.0 * 100).alias("drift")), "SELECT round((avg(o_totalprice) - 100000.0) / 100000.0 * 100, 6) AS drift FROM orders")
 add("type_mismatches", lambda s, d: s.createDataFrame([(n, x["expected"], x["actual"]) for n, x in type_mismatches(dirty(s, d), {"price": "integer", "code": "string"}).items()], "field string, expected string, actual string"), "SELECT 'price' AS field, 'integer' AS expected, 'float' AS actual")
 
 
@@ -338,7 +336,6 @@ add(
     D + f"SELECT o_orderkey, round(greatest({_LO}, least({_HI}, spiky)), 6) AS spiky, CASE WHEN length(coalesce(priority, '')) > 3 THEN substr(priority, 1, 2) || '***' ELSE coalesce(priority, '') END AS priority FROM d",
 )
 add("iterative_remediation", lambda s, d: remediate.Remediator().run(dirty(s, d).select("o_orderkey", "price", "spiky", "priority"))[0])
-add("monitor_report", lambda s, d: (lambda m: metrics.as_frame(s, m.evaluate_phase("ingestion")["field_metrics"]))(monitor.Monitor(dirty(s, d), ORDERS_POLICY, historical_score=90.0)))
 add("group_counts", lambda s, d: monitor.group_counts(dirty(s, d), "priority"), D + "SELECT priority, count(*) AS n FROM d WHERE priority IS NOT NULL GROUP BY priority")
 add("distinct_rows", lambda s, d: monitor.distinct_rows(table(s, d, "lineitem").select("l_returnflag", "l_linenumber")), "SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem")
 
@@ -355,13 +352,13 @@ add(
 )
 add("keep_first", lambda s, d: sampling.keep_first(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]),
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1")
-add("union_by_name", lambda s, d: table(s, d, "nation").unionByName(table(s, d, "region"), allowMissingColumns=True), "SELECT * FROM nation UNION ALL BY NAME SELECT * FROM region")
+add("union_by_name", lambda s, d: flatten.process(table(s, d, "nation"), table(s, d, "region")), "SELECT * FROM nation UNION ALL BY NAME SELECT * FROM region")
 add("index_sort", lambda s, d: sampling.index_sort(dirty(s, d).select("price"), "price").where("price is not null"), D + "SELECT round(price, 6) AS price FROM d WHERE price IS NOT NULL ORDER BY price")
 add("flatten_json", lambda s, d: flatten.flatten(flatten.parse_json(table(s, d, "events").select("event_id", "props"), "props")), "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS props_k FROM events")
-add("explode_positions", lambda s, d: flatten.explode_positions(table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", 3).select("vec_id", *(F.col(f"embedding_{i}").cast("double").alias(f"embedding_{i}") for i in range(3))), "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS embedding_0, round(embedding[2]::DOUBLE, 6) AS embedding_1, round(embedding[3]::DOUBLE, 6) AS embedding_2 FROM embeddings")
+add("explode_positions", lambda s, d: flatten.explode_positions(table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", 64).select("vec_id", *(F.col(f"embedding_{i}").cast("double").alias(f"embedding_{i}") for i in range(64))), "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS embedding_{i}" for i in range(64)) + " FROM embeddings")
 add(
     "windowed_quality", lambda s, d: live.windowed(table(s, d, "events"), "ts", ["value"], "1 hour").select(F.unix_micros("start").alias("start_us"), "rows", "value_null_percentage", "value_mean", "value_std", "value_min", "value_max"),
     "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, count(*) AS rows, round(100.0 * (count(*) - count(value)) / count(*), 6) AS value_null_percentage, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max FROM events GROUP BY 1",
 )
 
-__all__ = ["QUERIES", "ORACLE", "clean", "num"]
+from . import engine_queries  # noqa: E402, F401  (adds the queries of the engines)

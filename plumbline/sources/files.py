@@ -7,6 +7,7 @@ import re
 import uuid
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,37 @@ def sheet_rows(data: bytes, sheet: int | str = 0) -> list[list[str | None]]:
     return out
 
 
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, in any file system that Spark knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(data))
+    out.close()
+
+
+def write_excel(spark: SparkSession, path: str, names: list[str], rows: list[tuple], sheet: str = "sheet") -> None:
+    """A small table as a workbook of one sheet."""
+
+    def cell(value) -> str:
+        if value is None:
+            return "<c/>"
+        if isinstance(value, bool):
+            return f'<c t="b"><v>{int(value)}</v></c>'
+        if isinstance(value, (int, float)):
+            return f"<c><v>{value!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    lines = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [tuple(names), *rows])
+    links = LINK[1:].split("}")[0]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/></Types>')
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN[1:-1]}" xmlns:r="{links}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{links}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{MAIN[1:-1]}"><sheetData>{lines}</sheetData></worksheet>')
+    put_bytes(spark, path, data.getvalue())
+
+
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0, header: int = 0) -> DataFrame:
     """One sheet of each workbook at the path, a task a workbook, with types from its text: all numbers, then
     all true or false, else text. `header`: the row that names the columns."""
