@@ -35,8 +35,8 @@ SIZE = 64
 PER_BUCKET = 5_000
 #: Quantiles at each of the two levels of buckets.
 LEVEL = 1_000
-#: Scripts that write without spaces between words.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Blocks of scripts that write without spaces between words: Thai and Lao, Burmese, Khmer, Japanese, Chinese.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 
 
 def let(x: Column, f) -> Column:
@@ -51,7 +51,8 @@ def mers(hashes: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """The anchors of a text as an array of hashes, null for tokens where none begins."""
-    tokens = F.filter(F.split(F.regexp_replace(F.lower(text), f"({UNSPACED})", " $1 "), r"\s+"), lambda w: w != "")
+    parted = let(F.lower(text), lambda low: F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low))
+    tokens = F.filter(F.split(parted, r"\s+"), lambda w: w != "")
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
 
     def all_of(words: Column) -> Column:
@@ -67,12 +68,12 @@ def sketch(text: Column, size: int = SIZE) -> Column:
     """The `size` anchors of least hash as structs (position, anchor), each at its first place, in the order of the text."""
 
     def least(own: Column) -> Column:
-        bound = lambda known: F.get(F.slice(F.sort_array(known), size, 1), F.lit(0))
-        kinds = lambda known: let(bound(known), lambda top: F.filter(known, lambda x: top.isNull() | (x <= top)))
-        chosen = let(F.array_distinct(F.array_compact(own)), kinds)
-        return F.transform(chosen, lambda x: F.struct(F.array_position(own, x).cast("int").alias("position"), x.alias("anchor")))
+        bound = F.get(F.sort_array(F.array_distinct(F.array_compact(own))), F.lit(size - 1))
+        places = lambda top: F.array_compact(F.transform(own, lambda x, i: F.when(x.isNotNull() & (top.isNull() | (x <= top)), F.struct(i.alias("position"), x.alias("anchor")))))
+        first = lambda found, all_: F.filter(found, lambda s, i: F.array_position(all_, s["anchor"]) == i + 1)
+        return let(let(bound, places), lambda found: let(found.getField("anchor"), lambda all_: first(found, all_)))
 
-    return F.array_sort(let(anchors(text), least))
+    return let(anchors(text), least)
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
