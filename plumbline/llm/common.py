@@ -63,13 +63,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that materialize() writes inside are deleted at the end, but for those it writes with keep=True."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as a table under the shared folder and read it again: its lineage ends there, so a
-    lost executor costs no more than a read, and its shuffle files can go."""
+    lost executor costs no more than a read, and its shuffle files can go. keep: beyond the innermost temporary()."""
     spark = df.sparkSession
     path = scratch(spark, name)
     with shuffles_dropped(spark):
         df.write.parquet(path)
+    for scope in _scopes[-2:-1] if keep else _scopes[-1:]:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,6 +99,12 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(found, True)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete the files of a table that materialize() wrote."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        delete(table.sparkSession, path)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Remove what this application has written under the shared folder. Results that still read it end."""
     delete(spark, f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}")

@@ -129,9 +129,9 @@ def classify(segs: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     return runs, refine
 
 
-def with_text(docs: DataFrame, refine: DataFrame) -> DataFrame:
+def with_text(docs: DataFrame, refine: DataFrame, names: tuple[str, ...] = ("start", "n", "new")) -> DataFrame:
     """The documents that have segments to refine, each with the list of them."""
-    lists = refine.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "start", "n", "classes", "new")).alias("segs"))
+    lists = refine.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct(*names)).alias("segs"))
     return keyed(docs).join(lists, ["doc_id", "tkey"])
 
 
@@ -140,18 +140,35 @@ WINDOW_ROW = "h1 long, h2 long, doc_id long, tkey long, start int, new boolean"
 WINDOW_NAMES = [*WINDOW, "doc_id", "tkey", "start", "new"]
 
 
+def lists_of(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """Where the list of each row begins in the arrays of its structs' fields, with one end more; then those arrays."""
+    values = column.values
+    return column.offsets.to_numpy(), *(values.field(n).to_numpy(zero_copy_only=False) for n in names)
+
+
+#: Rows of windows that are handed over at a time.
+WINDOWS_AT_ONCE = 200_000
+
+
 def window_rows(found: DataFrame, tokens_of: Callable[[str | None], Tokens], width: int) -> DataFrame:
     """A row per window of the listed segments, with the digest of what it covers. found: with_text()."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for doc_id, tkey, text, segs in zip(*(c.to_pylist() for c in batch.columns)):
-                start, n = (np.array([s[c] for s in segs], dtype=np.int64) for c in ("start", "n"))
-                new = np.repeat(np.array([s["new"] for s in segs], dtype=bool), n)
+            ends, starts, sizes, news = lists_of(batch.column(3), "start", "n", "new")
+            parts: list[tuple] = []
+            held = 0
+            for i, (doc_id, tkey, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                start, n = starts[ends[i] : ends[i + 1]].astype(np.int64), sizes[ends[i] : ends[i + 1]]
                 at = ragged(start, n)
                 h = tokens_of(text).digests(at, at + width)
-                same = np.full(len(at), 1, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[:, 0], h[:, 1], same * doc_id, same * tkey, at.astype(np.int32), new)], WINDOW_NAMES)
+                parts.append((h[:, 0], h[:, 1], np.full(len(at), doc_id), np.full(len(at), tkey), at.astype(np.int32), np.repeat(news[ends[i] : ends[i + 1]], n)))
+                held += len(at)
+                if held > WINDOWS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], WINDOW_NAMES)
+                    parts, held = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], WINDOW_NAMES)
 
     return found.select("doc_id", "tkey", "text", "segs").mapInArrow(run, WINDOW_ROW)
 
@@ -175,11 +192,18 @@ def run_lists(*runs: DataFrame) -> DataFrame:
     return out.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
-def covered(n: int, runs: list | None, width: int) -> np.ndarray:
-    """Which of n tokens the windows of the runs cover."""
+def covered(n: int, runs: list | tuple[np.ndarray, np.ndarray] | None, width: int) -> np.ndarray:
+    """Which of n tokens the windows of the runs cover; runs: (start, n) each, or the arrays of both."""
     edge = np.zeros(n + 1, dtype=np.int64)
     if runs is not None and len(runs):
-        start, size = (np.array([r[c] for r in runs], dtype=np.int64) for c in ("start", "n"))
+        start, size = runs if isinstance(runs, tuple) else (np.array([r[c] for r in runs], dtype=np.int64) for c in ("start", "n"))
         np.add.at(edge, start, 1)
         np.add.at(edge, start + size - 1 + width, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def run_arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """The runs of each row, as covered() takes them; None where there are none."""
+    ends, start, n = lists_of(column, "start", "n")
+    for lo, hi in zip(ends[:-1], ends[1:]):
+        yield (start[lo:hi], n[lo:hi]) if hi > lo else None

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import configured, delete, free, materialize, read_text, scratch, shuffles_dropped, write_text
+from .common import configured, delete, free, materialize, read_text, scratch, shuffles_dropped, temporary, write_text
 
 WIDTH = 20
-GRAM = 4
+GRAM = 6
 
 
 #: For the scans of runs: each bucket is one sorted file, and Spark may rely on that.
@@ -89,6 +89,10 @@ class FingerprintIndex:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index the batch (doc_id, text); the runs of its windows that stand earlier, by document."""
+        with temporary(self.spark):
+            return self._add(batch)
+
+    def _add(self, batch: DataFrame) -> DataFrame:
         width, k = self.state["width"], self.state["k"]
         if len(self.runs) >= self.max_runs:
             self.compact()
@@ -105,12 +109,12 @@ class FingerprintIndex:
         marks = repeated.where("same > 1").select(*repeats.KEY, "seen", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"))
         often = places.join(marks, repeats.KEY).where("seen or doc_id <> first_doc or start <> first_start").select("doc_id", "tkey", "start", "n")
         # groups of one anchor, not equal as a whole, are compared by window
-        refine = groups.where("mixed and not seen").select("anchor", "doc_id", "tkey", "start", "n", F.lit(True).alias("new"))
+        refine = groups.where("mixed and not seen").select("doc_id", "tkey", "start", "n", F.lit(True).alias("new"))
         if met is not None:
-            refine = refine.unionByName(met.select("anchor", "doc_id", "tkey", "start", "n", F.lit(False).alias("new")))
-        found = repeats.with_text(self.texts, refine.withColumn("classes", F.lit(0).cast("long")))
+            refine = refine.unionByName(met.select("doc_id", "tkey", "start", "n", F.lit(False).alias("new")))
+        found = repeats.with_text(self.texts, refine)
         single = repeats.repeated_windows(repeats.window_rows(found, repeats.word_tokens, width), keep_first=True)
-        lists = materialize(repeats.run_lists(once, often, single), "lists")
+        lists = materialize(repeats.run_lists(once, often, single), "lists", keep=True)
         self.commit([*self.runs, own])
         return lists
 
@@ -182,10 +186,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, k: int = GRAM, batches: int = 3)
     def run(batches_: Iterator[pa.RecordBatch]):
         for batch in batches_:
             rows = []
-            for doc_id, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), repeats.run_arrays(batch.column(2))):
                 words = text.encode().split() if text else []
-                gone = repeats.covered(len(words), runs, width)
-                kept = [w for w, g in zip(words, gone) if not g] if gone.any() else words
+                kept = [w for w, g in zip(words, repeats.covered(len(words), runs, width).tolist()) if not g] if runs else words
                 rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             ids, n, r, sha = zip(*rows) if rows else ([],) * 4
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -199,10 +202,10 @@ def cut(docs: DataFrame, width: int = WIDTH, k: int = GRAM, batches: int = 3) ->
     def run(batches_: Iterator[pa.RecordBatch]):
         for batch in batches_:
             texts = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for text, own in zip(batch.column("text").to_pylist(), repeats.run_arrays(batch.column(batch.num_columns - 1))):
                 if text and own:
                     words = text.encode().split()
-                    gone = repeats.covered(len(words), own, width)
+                    gone = repeats.covered(len(words), own, width).tolist()
                     text = b" ".join(w for w, g in zip(words, gone) if not g).decode()
                 texts.append(text)
             at = batch.schema.get_field_index("text")

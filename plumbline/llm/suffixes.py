@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import materialize
+from .common import materialize, temporary
 
 LENGTH = 400
 GRAM = 32
@@ -198,12 +198,13 @@ def context_windows(rows: DataFrame, length: int) -> DataFrame:
 def removed(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, k: int = GRAM, most: int = MOST) -> DataFrame:
     """doc_id, tkey, runs of windows to remove."""
     k = min(k, length)
-    segs = materialize(repeats.find_segments(docs, repeats.byte_tokens, length, k).sortWithinPartitions("anchor"), "anchors")
-    whole, refine = repeats.classify(segs.withColumn("new", F.lit(True)), keep_first)
-    shown = materialize(contexts(repeats.with_text(docs, refine), length), "contexts")
-    few = sorted_runs(shown.where(F.col("classes") <= most), length, keep_first)
-    many = repeats.repeated_windows(context_windows(shown.where(F.col("classes") > most), length), keep_first)
-    return materialize(repeats.run_lists(whole, few, many), "lists")
+    with temporary(docs.sparkSession):
+        segs = materialize(repeats.find_segments(docs, repeats.byte_tokens, length, k), "anchors")
+        whole, refine = repeats.classify(segs.withColumn("new", F.lit(True)), keep_first)
+        shown = materialize(contexts(repeats.with_text(docs, refine, ("anchor", "start", "n", "classes", "new")), length), "contexts")
+        few = sorted_runs(shown.where(F.col("classes") <= most), length, keep_first)
+        many = repeats.repeated_windows(context_windows(shown.where(F.col("classes") > most), length), keep_first)
+        return materialize(repeats.run_lists(whole, few, many), "lists", keep=True)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -215,7 +216,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, k: in
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             rows = []
-            for doc_id, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), repeats.run_arrays(batch.column(2))):
                 data = (text or "").encode()
                 gone = repeats.covered(len(data), runs, length) if runs else np.zeros(0, dtype=bool)
                 spans = int((np.diff(gone.view(np.int8), prepend=0) == 1).sum())
