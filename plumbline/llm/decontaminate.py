@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, materialize
+from .common import drop, free, materialize
 
 #: Fixed by the contract: A-Z is lowered, then words are what these ASCII characters separate. On UTF-8
 #: bytes, where all of a character outside ASCII is 0x80 or more and so belongs to a word.
@@ -114,7 +114,10 @@ def window_shares(benchmark: DataFrame, width: int, max_windows: int) -> Iterato
     shares = max(1, -(-windows.count() // max_windows))
     for share in range(shares):
         own = windows if shares == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(shares)) == share)
-        yield shares, [tuple(r) for r in own.collect()]
+        rows = [tuple(r) for r in own.collect()]  # max_windows windows or so
+        if share == shares - 1:
+            drop(windows)
+        yield shares, rows
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:

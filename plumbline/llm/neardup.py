@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Rolling, materialize, mix, ragged
+from .common import BASE, Rolling, materialize, mix, ragged, temporary
 from .components import components
 from .repeats import word_hashes
 
@@ -100,6 +100,8 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 PREFIX = 5  # of a key: the tree and its first value
+#: Rows of an order that a task holds before it works off whole runs of them.
+AT_ONCE = 20_000
 PAIR = "a long, b long"
 
 
@@ -189,14 +191,27 @@ def candidates(reps: DataFrame, region: int, floor: float, labelled: bool = Fals
     order = order.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        parts, grams = [], []
-        for b in batches:
-            parts.append((_fixed(b.column(0)), b.column(1).to_numpy(), b.column(2).to_numpy()))
-            grams += [b.column(3)] if labelled else []
-        if not parts:
-            return
-        sets = pa.chunked_array(grams) if labelled else None
-        keys, ids, labels = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        """Documents that share a tree's first value are neighbours: such runs are worked off as they come."""
+        parts: list[tuple] = []
+        rows = 0
+        for batch in batches:
+            parts.append((_fixed(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3) if labelled else None))
+            rows += batch.num_rows
+            if rows < AT_ONCE:
+                continue
+            keys = np.concatenate([p[0][:, : PREFIX] for p in parts])
+            cut = int(np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)[-1])  # where the last run begins
+            if cut:
+                yield from links(parts, cut)
+                whole = _joined(parts)
+                parts = [tuple(None if c is None else c[cut:] if isinstance(c, np.ndarray) else c.slice(cut) for c in whole)]
+                rows -= cut
+        if parts:
+            yield from links(parts, rows)
+
+    def links(parts: list[tuple], hi: int) -> Iterator[pa.RecordBatch]:
+        keys, ids, labels, sets = _joined(parts)
+        keys, ids, labels = keys[:hi], ids[:hi], labels[:hi]
         if len(ids) < 2:
             return
         lcp = np.empty(len(ids) - 1, dtype=np.int64)
@@ -336,6 +351,12 @@ def exact(docs: DataFrame, members: DataFrame, percent: int, block: int = BLOCK)
     return sides.select("x", "y", "side", "rep", "label", "grams").groupBy("x", "y").applyInPandas(run, PAIR)
 
 
+def _joined(parts: list[tuple]) -> tuple:
+    arrays = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    grams = [p[3] for p in parts if p[3] is not None]
+    return *arrays, pa.chunked_array([c for g in grams for c in (g.chunks if isinstance(g, pa.ChunkedArray) else [g])]) if grams else None
+
+
 def _fixed(column: pa.Array) -> np.ndarray:
     """A binary column of equal lengths as a matrix of bytes."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, PREFIX + VALUES), dtype=np.uint8)
@@ -371,6 +392,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = LIKENESS) -> DataF
 
 def cluster(docs: DataFrame, percent: int = LIKENESS, region: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per document. docs: doc_id, text."""
+    with temporary(docs.sparkSession):
+        return materialize(_cluster(docs, percent, region), "clusters", keep=True)
+
+
+def _cluster(docs: DataFrame, percent: int, region: int) -> DataFrame:
     signed = materialize(sign(docs), "signatures")
     own = signed.where("k1 is not null and doc_id is not null")
     reps = own.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "firsts", "rest", "n_shingles")).alias("s")).select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.firsts", "s.rest", "s.n_shingles")

@@ -4,10 +4,11 @@ Each dimension is quantised to 2**bits cells; a row's cell has an index on the c
 by it are cut into runs of equal row counts, so a shard holds a compact region and files can be pruned
 in all three dimensions. There are 2**(3 bits) cells at most, a fixed number.
 
-The rank of a row is exact without one global sort: rows are counted by cell, crowded cells are split
-by a hash into parts of about `part_rows`, part counts are summed up along the curve, and a row's place
-within its part comes from a window over that part alone. A cell that holds a third of all rows is so
-dealt over many tasks.
+The rank of a row is exact without one global sort: documents are read once, into a narrow table; rows
+are counted by cell, crowded cells are split by a hash of the text into parts of about `part_rows`, and
+a part that equal texts overfill into pieces by doc_id. Cells are summed up along the curve, parts within
+their cell, and a row's place within its part comes from a window over that part alone. A cell that holds
+a third of all rows is so dealt over many tasks.
 
 Law `rows`: shard = floor(rank * shards / rows), so counts differ by one at most.
 
@@ -22,9 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SHARDS = 16
 BITS = 5
-PART_ROWS = 50_000
+PART_ROWS = 5_000
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -76,19 +79,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, part_rows: i
         F.pmod(F.xxhash64("source"), F.lit(cells)).alias("y"),
         F.least(F.floor(F.log2(size.cast("double")) * 2), F.lit(cells - 1)).cast("long").alias("z"),
     )
-    base = base.join(F.broadcast(curve(spark, bits)), ["x", "y", "z"])  # a fixed table: 32768 rows for 5 bits
-    per_cell = base.groupBy("h").agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("parts"))
+    # the curve is a fixed table: 32768 rows for 5 bits
+    base = materialize(base.join(F.broadcast(curve(spark, bits)), ["x", "y", "z"]).select("doc_id", "size", "text_crc32", "h"), "cells")
+    upto = lambda *by: Window.partitionBy(*by[:1]).orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    per_cell = base.groupBy("h").agg(F.count("*").alias("cell_rows"))  # a row for each cell
+    along = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    per_cell = per_cell.withColumn("first", F.coalesce(F.sum("cell_rows").over(along), F.lit(0))).withColumn("total", F.sum("cell_rows").over(Window.partitionBy()))
+    per_cell = per_cell.withColumn("parts", F.ceil(F.col("cell_rows") / F.lit(part_rows)))
     parted = base.join(F.broadcast(per_cell), "h").withColumn("part", F.pmod(F.xxhash64("text_crc32", "size"), F.col("parts")))
-    # a group of equal texts beyond part_rows is split by doc_id
     heavy = parted.groupBy("h", "part").agg(F.ceil(F.count("*") / F.lit(2 * part_rows)).alias("pieces")).where("pieces > 1")
     parted = parted.join(heavy, ["h", "part"], "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.lit(0)))
     key = ["h", "part", "piece"]
     counts = parted.groupBy(*key).agg(F.count("*").alias("rows"))
-    # a row for each part: cells and rows / part_rows at most
-    before = counts.withColumn("before", F.sum("rows").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))).withColumn("total", F.sum("rows").over(Window.partitionBy()))
-    placed = parted.join(before.select(*key, F.coalesce("before", F.lit(0)).alias("before"), "total"), key)
+    before = counts.withColumn("before", F.coalesce(F.sum("rows").over(upto(*key)), F.lit(0))).drop("rows")  # within a cell
+    placed = parted.join(before, key)
     inside = F.row_number().over(Window.partitionBy(*key).orderBy("text_crc32", "size", "doc_id")) - 1
-    ranked = placed.withColumn("rank", F.col("before") + inside)
+    ranked = placed.withColumn("rank", F.col("first") + F.col("before") + inside)
     exact = F.expr(f"(rank * {shards}) div total")
     first = F.expr(f"(((rank * {shards}) div total) * total + {shards - 1}) div {shards}")
     return ranked.select("doc_id", "size", "text_crc32", "h", "rank", exact.cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"))

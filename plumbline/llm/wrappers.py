@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, temporary
 
 SAMPLE = 12
 LEAST_PAGES = 4
@@ -411,7 +411,8 @@ RESULT = "page_id long, url string, text string, n_chars long"
 
 def extract(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars for each page (page_id, url, html)."""
-    known = materialize(induce(pages, sample, broadcast_bytes), "wrappers")
+    with temporary(pages.sparkSession):
+        known = materialize(induce(pages, sample, broadcast_bytes), "wrappers", keep=True)
     size = known.agg(F.sum(F.length("wrapper") + F.length("host") + 64)).first()[0] or 0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host("url").alias("host"))
     rows = rows.join(F.broadcast(known) if size <= broadcast_bytes else known, "host", "left")

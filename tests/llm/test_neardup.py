@@ -112,3 +112,14 @@ def test_shared_counts_against_sets():
     draw = lambda n: [neardup.np.unique(neardup.np.array([r.randrange(400) if r.random() < 0.5 else r.randrange(40) for _ in range(r.randint(1, 60))], dtype="uint64")) for _ in range(n)]
     x, y = draw(50), draw(70)
     assert (neardup.overlaps(x, y) == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]).all()
+
+
+def test_long_texts_and_small_buffers_change_nothing(spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    texts = [long, long + " more words at the end", "w0 w1 w2 w3 w4 " * 3, *[f"a b c d e f g h i j k l m n o p q r s t u v w x y z {i}" for i in range(40)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = sorted(neardup.cluster(df).collect())
+    groups = {r.doc_id: r.component_id for r in first}
+    assert groups[1] == 0 and groups[2] == 2 and all(groups[i] == 3 for i in range(3, 43))
+    monkeypatch.setattr(neardup, "AT_ONCE", 1)
+    assert sorted(neardup.cluster(df, region=4).collect()) == first

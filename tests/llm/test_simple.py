@@ -162,6 +162,11 @@ def test_shards_are_even_gapless_and_follow_the_curve(spark):
         order = sorted(rows, key=lambda r: r["rank"])
         assert [r.h for r in order] == sorted(r.h for r in rows)
         assert all(r.size == len((texts[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in rows)
+    odd = spark.createDataFrame([(None, None, None, None), (None, None, None, None), (1, "x", None, "s"), (1, "x", None, "s"), (2, "", "en", None), (3, "é" * 2_000_000, "en", "s")], "doc_id long, text string, lang string, source string")
+    for part_rows in (1, 5_000):
+        got = sharding.assign(odd, part_rows=part_rows).collect()
+        assert sorted(r["rank"] for r in got) == list(range(6)) and len({r.shard for r in got}) == 6 and {r.slot for r in got} == {0}
+        assert sorted(r.size for r in got) == [1, 1, 1, 2, 2, 4_000_001]
     few = sharding.assign(docs_of(spark, ["a", "b", "c"]))
     assert sorted(r.slot for r in few.collect()) == [0, 0, 0]
     assert sharding.assign(docs_of(spark, [])).count() == 0
