@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontaminate, langid, neardup, packing, substrings
-from plumbline.llm.common import materialize, read
+from plumbline.llm.common import drop, materialize, read, temporary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's result is written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir; each stage's result is written and read again, and goes when the
+    next one's is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with temporary(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
