@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import metrics, rules
+from ..operators import rules
 from ..types import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, clean, content_types, distinct_key, is_missing, logical_types, num, quoted
 
 #: Patterns of personal data in content. The first must match as a whole, the others anywhere.
@@ -247,4 +247,4 @@ def roles(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(out, ROLE)
 
 
-__all__ = ["generate", "get_or_create", "load", "save", "violations", "rule_report", "validate_compliance", "metrics"]
+__all__ = ["generate", "get_or_create", "load", "save", "violations", "rule_report", "validate_compliance", "roles"]
