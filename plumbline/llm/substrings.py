@@ -40,8 +40,8 @@ WIDTH = 20
 GRAM = 6
 
 
-#: For the scans of runs: each bucket is one sorted file, and Spark may rely on that.
-SORTED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+#: For the scans of runs: each bucket is one sorted file, Spark may rely on that, and rows of equal keys share a bucket.
+SORTED = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 FIRST = ["doc_id", "start", "tkey", "n"]
 
 
@@ -153,14 +153,23 @@ class FingerprintIndex:
         runs = list(self.runs)
         while len(runs) > 1:
             with configured(self.spark, SORTED):
-                a, b = self.run(runs[0]), self.run(runs[1])
-                x, y = (t.select(*repeats.KEY, F.struct(*FIRST).alias(c)) for t, c in ((a, "x"), (b, "y")))
-                both = x.hint("merge").join(y, repeats.KEY, "full_outer").select(*repeats.KEY, F.least("x", "y").alias("first"))
-                name = self.write(both.select(*repeats.KEY, "first.*", F.lit(1).cast("long").alias("same")))
+                name = self.write(self.united(self.run(runs[0]), self.run(runs[1])))
             runs = [name, *runs[2:]]
         self.commit(runs)
 
 
+    @staticmethod
+    def united(a: DataFrame, b: DataFrame) -> DataFrame:
+        x, y = (t.select(*repeats.KEY, F.struct(*FIRST).alias(c)) for t, c in ((a, "x"), (b, "y")))
+        both = x.hint("merge").join(y, repeats.KEY, "full_outer").select(*repeats.KEY, F.least("x", "y").alias("first"))
+        return both.select(*repeats.KEY, "first.*", F.lit(1).cast("long").alias("same"))
+
+    def discard(self) -> None:
+        """Delete the index with all its runs."""
+        self.commit([])
+        delete(self.spark, self.path)
+
+
 def removed(docs: DataFrame, width: int = WIDTH, k: int = GRAM, batches: int = 3, max_runs: int = 2) -> DataFrame:
     """doc_id, tkey, runs of repeated windows, for all documents, indexed in batches of ascending doc_id."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -172,8 +181,10 @@ def removed(docs: DataFrame, width: int = WIDTH, k: int = GRAM, batches: int = 3
         seen = docs if hi is None else docs.where(F.col("doc_id") <= hi)
         part = seen if lo is None else seen.where(F.col("doc_id") > lo)
         # opened from its folder for each batch, as a later session would
-        found = FingerprintIndex(spark, seen, width, k, max_runs, path).add(part)
+        index = FingerprintIndex(spark, seen, width, k, max_runs, path)
+        found = index.add(part)
         out = found if out is None else out.unionByName(found)
+    index.discard()
     return out
 
 

@@ -94,8 +94,11 @@ def test_old_runs_are_merged_where_they_lie(spark, tmp_path):
     index.add(docs.where("doc_id >= 20"))
     with substrings.configured(spark, substrings.SORTED):
         old, own = map(index.run, index.runs)
-        plan = index.merged(old, own)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (index.merged(old, own), index.united(old, own))]
+    assert all("SortMergeJoin" in plan and "Exchange" not in plan for plan in plans) and "Sort [" not in plans[0], plans
+    index.compact()
+    files = [p.name for p in (tmp_path / "index" / index.runs[0]).iterdir() if p.name.startswith("part-")]
+    assert len(index.runs) == 1 and len(files) <= index.state["buckets"]  # one file a bucket
 
 
 def test_colliding_anchors_cost_no_words(spark, tmp_path):
