@@ -331,3 +331,19 @@ add(
     "soql_text", lambda s, d: s.createDataFrame([(rest.soql({"o_totalprice": (">", 1000), "o_orderstatus": ("in", ["O", "F'"])}, 7),)], "query string"),
     "SELECT 'SELECT * WHERE o_totalprice > 1000 AND o_orderstatus in (''O'', ''F'''''') LIMIT 7' AS query",
 )
+
+
+def by_own_rules(s: SparkSession, d: str) -> DataFrame:
+    """One epoch of the iterative engine with registered rules: of equal candidates the first one stays; a field that
+    isn't included is left alone."""
+    zero = X.Transform("impute_zero", "impute", X.NUMBER, lambda c, p: F.coalesce(c.cast("double"), F.lit(0.0)))
+    engine = remediate.Remediator(max_epochs=1, gate=100.0, include={"price", "priority"}, candidates=[X.impute_median], mandatory={})
+    engine.register_rule(zero)
+    engine.register_mandatory_rule("string", X.impute_empty_string)
+    return engine.run(dirty(s, d).select("o_orderkey", "price", "priority", "large"))[0]
+
+
+add(
+    "remediation_by_rules", by_own_rules,
+    D + "SELECT o_orderkey, round(coalesce(price, (SELECT quantile_cont(price, 0.5) FROM d)), 6) AS price, coalesce(priority, '') AS priority, large FROM d",
+)
