@@ -301,7 +301,8 @@ def api_back(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "api")
     body = table(s, d, "nation").select(F.struct(F.collect_list(F.struct("n_nationkey", F.struct("n_name", F.array("n_regionkey", "n_nationkey").alias("keys")).alias("at"))).alias("items")).alias("result")).select(F.to_json(F.struct("result")))
     files.put_bytes(s, path, body.first()[0].encode())  # an answer of one page
-    return rest.read_api(s, path if "://" in path else f"file://{path}", json_path="result.items")
+    url = path if "://" in path else "file://" + path.removeprefix("file:")
+    return rest.read_api(s, url, json_path="result.items")
 
 
 def audit_back(s: SparkSession, d: str) -> DataFrame:
