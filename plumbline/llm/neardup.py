@@ -313,6 +313,7 @@ def joining(ok: np.ndarray, of_x: np.ndarray, of_y: np.ndarray) -> list[tuple[in
 
 
 BLOCK, BLOCK_GRAMS = 2048, 1 << 20
+BROADCAST_GROUPS = 1_000_000
 
 
 def exact(docs: DataFrame, members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -422,7 +423,9 @@ def _cluster(docs: DataFrame, percent: int, region: int) -> DataFrame:
         found, groups = materialize(found, "components"), materialize(groups, "groups")
         members = reps.join(groups, "rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("label"), "group")
         members = materialize(members, "members")
-        several = members.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
+        several = materialize(members.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group"), "several")
+        # a number a group; beyond the bound the members are shuffled by group, which Spark splits where skewed
+        several = F.broadcast(several) if several.count() <= BROADCAST_GROUPS else several
         found = components(links.union(materialize(exact(docs, members.join(several, "group"), percent), "links")))
     by_set = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left")
