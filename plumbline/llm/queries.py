@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neardup, ordinal, packing, sharding, substrings, suffixes, syncmers, wrappers
+from . import decontaminate, fim, langid, mixing, neardup, ordinal, packing, periodic, sharding, substrings, suffixes, syncmers, wrappers
 from .common import read
 
 
@@ -55,6 +55,18 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "h", "rank")
 
 
+def op11_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -66,5 +78,8 @@ QUERIES = {
     "op8_ordinal_toxicity": op8_ordinal_toxicity,
     "op9_wrapper_extraction": op9_wrapper_extraction,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op11_pareto_mixing": op11_pareto_mixing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_pareto_mixing": mixing.SQL, "op12_fill_in_middle": fim.SQL}
