@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free
 
@@ -176,7 +177,7 @@ def restore(made: DataFrame) -> DataFrame:
             at, form = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("output", "form"))
             yield batch.append_column(name, pa.array(map(restored, at, form), pa.string()))
 
-    return made.mapInArrow(run, made.schema.add(name, "string"))
+    return made.mapInArrow(run, T.StructType([*made.schema.fields, T.StructField(name, T.StringType())]))
 
 
 #: The same in DuckDB SQL.
