@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
+import http.server
+import json
+import threading
+from contextlib import contextmanager
+from urllib.parse import parse_qs, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import evaluate, metrics, profile, rules, sampling
+from .operators import evaluate, flatten, metrics, profile, rules, sampling, states
 from .operators import transforms as X
 from .plans import improve, monitor, policy, remediate
 from .queries import D, ORDERS_POLICY, PARTS, add, dirty, numeric_sql, strings_sql, table, transform
-from .sources import audit, files, rest
+from .sources import audit, files, landing, opendata, rest
+from .sources.landing import folder, land
 from .sources.loader import loader
-from .types import content_types
+from .types import content_types, parse_time
 
 # fitted transforms: the same grids, landmarks and approximations in SQL
 
@@ -159,10 +164,32 @@ add(
     "policy_generate", generated,
     f"WITH f AS ({_FIELDS_SQL}) SELECT * FROM f UNION ALL SELECT '*', NULL, NULL, 'p_partkey,p_name,p_brand,p_size', NULL, NULL, CASE WHEN count(*) FILTER (WHERE privacy = 'high') >= 2 THEN 'high' ELSE 'low' END, NULL, NULL FROM f",
 )
+
+def compliance(s: SparkSession, d: str) -> DataFrame:
+    """What is wrong with a policy made from part, in the dialect of a mapping: names are sensitive, brands are masked."""
+    made = policy.generate(table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "part")
+    own = {f["field_name"]: {"sensitive": f["privacy_level"] == "high", "required": f["required"], "policy": "mask" if f["type"] == "string" and f["privacy_level"] == "low" else None, "compliance": "habeas_data" if f["integrity"]["unique"] else None} for f in made["fields"]}
+    return s.createDataFrame([(x,) for x in policy.validate_compliance({"fields": own})], "issue string")
+
+
+_TREATED = "SELECT '{c}' AS field, {level} = 'high' AS sensitive, count(*) = count({c}) AS required, {string} AND {level} = 'low' AS masked, count(DISTINCT {c}) = count(*) AS marked FROM part"
 add(
-    "policy_compliance", lambda s, d: s.createDataFrame([(x,) for x in policy.validate_compliance({"fields": {"mail": {"sensitive": True, "required": True}, "note": {"compliance": "habeas_data", "required": True, "policy": "mask"}, "age": {"sensitive": True, "policy": "drop"}}})], "issue string"),
-    "SELECT * FROM (VALUES ('Sensitive field ''mail'' has no fitting treatment.'), ('Required field ''mail'' has no policy.'), ('Field ''mail'' isn''t marked for habeas data in region CO.'), ('Field ''age'' isn''t marked for habeas data in region CO.')) AS v(issue)",
+    "policy_compliance", compliance,
+    "WITH f AS (" + " UNION ALL ".join(_TREATED.format(c=c, string=str(c in ("p_name", "p_brand")).lower(), level="'high'" if c == "p_name" else _DIGITS.format(c=c)) for c in ("p_partkey", "p_name", "p_brand", "p_size")) + ") "
+    "SELECT 'Sensitive field ''' || field || ''' has no fitting treatment.' AS issue FROM f WHERE sensitive AND NOT masked UNION ALL SELECT 'Required field ''' || field || ''' has no policy.' FROM f WHERE required AND NOT masked "
+    "UNION ALL SELECT 'Field ''' || field || ''' isn''t marked for habeas data in region CO.' FROM f WHERE NOT marked",
 )
+
+
+def policy_file(s: SparkSession, d: str) -> DataFrame:
+    """A policy that is made and saved, as it is read again: its fields, and whether a second call finds the file."""
+    part, path = table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), folder(s, "policy") + "/part.yaml"
+    made, found = policy.get_or_create(part, path), policy.get_or_create(part.limit(0), path)
+    rows = [(f["field_name"], f["type"], ",".join(f["rules"]), f["integrity"]["unique"], f["privacy_level"], made["fields"] == found["fields"]) for f in policy.load(path, s)["fields"]]
+    return s.createDataFrame(rows, "field string, type string, rules string, is_unique boolean, privacy string, same boolean")
+
+
+add("policy_file", policy_file, f'SELECT field, type, rules, "unique" AS is_unique, privacy, true AS same FROM ({_FIELDS_SQL})')
 add(
     "policy_roles", lambda s, d: policy.roles(table(s, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")),
     "SELECT 'p_partkey' AS field, 'dimension' AS role, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi, count(DISTINCT p_partkey) AS kinds, 0 AS violations FROM part UNION ALL SELECT 'p_brand', 'dimension', NULL, NULL, count(DISTINCT p_brand), 0 FROM part UNION ALL "
@@ -240,27 +267,32 @@ def improver(s: SparkSession, d: str) -> improve.Improver:
     return improve.Improver(metrics.field_metrics(dirty(s, d), ORDERS_POLICY), ORDERS_POLICY)
 
 
-def field_potentials(s: SparkSession, d: str) -> DataFrame:
-    own = improver(s, d)
-    rows = [(n, k, float(v)) for n, kind, m in own.fields() if m.get("status") != "missing" for k, v in improve.potential(kind, m).items()]
-    return s.createDataFrame(rows, "field string, metric string, potential double")
-
-
 _F = D + ", " + _scores_sql("f", "d")
 _P = (
     "p AS (SELECT field, score, unnest(['null_percentage', 'duplicate_percentage', 'outlier_percentage', 'skewness', 'cardinality_ratio', 'type_match', 'security_compliant']) AS metric, "
     "unnest([0.5 * np, 0.2 * dp, 0.5 * op, 10 * greatest(sk - 1, 0), 50 * greatest(cr - 0.8, 0), CASE WHEN tm = 1 THEN 0 ELSE 20 END, CASE WHEN sc = 1 THEN 0 ELSE 15 END]) AS lost FROM f), "
     "q AS (SELECT field, score, metric, least(lost, 100 - score) AS potential FROM p WHERE lost > 0 OR lost IS NOT NULL AND metric IN ('null_percentage', 'duplicate_percentage', 'outlier_percentage'))"
 )
-add("field_potentials", field_potentials, f"{_F}, {_P} SELECT field, metric, potential FROM q", whole=True)
+add("field_potentials", lambda s, d: improver(s, d).potentials(s).where("metric is not null"), f"{_F}, {_P} SELECT field, metric, potential FROM q", whole=True)
 add("improvement_chart", lambda s, d: improver(s, d).chart(s), f"{_F}, {_P} SELECT field, any_value(score) AS current_score, any_value(score) + least(sum(potential), 100 - any_value(score)) AS potential_score FROM q GROUP BY field", whole=True)
 add(
-    "improvement_advice", lambda s, d: s.createDataFrame([(n, i, x) for n, own in improver(s, d).recommendations()["fields"].items() for i, x in enumerate(own)], "field string, place int, advice string"),
+    "improvement_advice", lambda s, d: improver(s, d).advice(s),
     f"{_F}, {_P} SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY potential DESC) - 1 AS INT) AS place, printf('Improving ''%s'' could raise the score by up to %.1f points.', metric, potential) AS advice FROM q WHERE potential > 0 UNION ALL SELECT 'gone', 0, 'The field is missing; including it comes first.'",
 )
+
+
+def predicted(s: SparkSession, d: str) -> DataFrame:
+    """The model of a history table: prices by quantity and discount, as if these were what metrics had gained."""
+    gained = F.create_map(F.lit("quantity"), F.col("l_quantity").cast("double"), F.lit("discount"), F.col("l_discount").cast("double"))
+    history = table(s, d, "lineitem").select(gained.alias("field_improvements"), F.col("l_extendedprice").cast("double").alias("quality_score_improvement"))
+    own = improve.Improver({}, {}, history)
+    return s.createDataFrame([(q, own.predict({"quantity": q, "discount": 0.05})) for q in (1.0, 25.0)], "quantity double, predicted double").select("quantity", F.round("predicted", 3).alias("predicted"))
+
+
 add(
-    "improvement_model", lambda s, d: s.createDataFrame([(improve.Improver({}, {}, [{"field_improvements": {"a": r.n_nationkey}, "quality_score_improvement": float(r.n_regionkey)} for r in table(s, d, "nation").collect()]).predict({"a": 10.0}),)], "predicted double"),
-    "SELECT round(regr_intercept(n_regionkey, n_nationkey) + 10 * regr_slope(n_regionkey, n_nationkey), 6) AS predicted FROM nation",
+    "improvement_model", predicted,
+    "WITH c AS (SELECT avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2, covar_pop(l_quantity, l_discount) AS v12, covar_pop(l_quantity, l_extendedprice) AS c1, covar_pop(l_discount, l_extendedprice) AS c2 FROM lineitem) "
+    "SELECT q AS quantity, round(my + (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) * (q - m1) + (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) * (0.05 - m2), 3) AS predicted FROM c, (VALUES (1.0::DOUBLE), (25.0::DOUBLE)) AS t(q)",
 )
 add(
     "relational_rules", lambda s, d: improve.relational(dirty(s, d), {"relational_rules": [{"rule": ">", "fields": ["spiky", "shifted"]}, {"rule": "<=", "fields": ["price", "shifted"]}, {"rule": "like", "fields": ["a", "b"]}]}),
@@ -279,48 +311,127 @@ add(
 # sources: what is written is read back, through the folder that all executors share
 
 
-def scratch(s: SparkSession, name: str) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex}"
-
-
 def csv_back(s: SparkSession, d: str) -> DataFrame:
-    path = scratch(s, "csv")
+    path = folder(s, "csv")
     dirty(s, d).select("o_orderkey", "price", "priority", "large").write.option("header", True).option("sep", ";").csv(path)
     return loader(s, "csv").load(path=path, delimiter=";").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "price", "priority", "large")
 
 
+def known_of_source(s: SparkSession, d: str) -> DataFrame:
+    """What a loader knows after its table was read once, by an action of the caller's."""
+    path = folder(s, "csv")
+    table(s, d, "orders").select("o_orderkey", "o_orderstatus").write.option("header", True).csv(path)
+    own = loader(s, "csv")
+    found = own.load(path=path, schema="o_orderkey long, o_orderstatus string")
+    before = own.observed()
+    found.write.format("noop").mode("overwrite").save()
+    m = own.metadata
+    return s.createDataFrame([(m["source"], m["status"], ",".join(m["columns"]), before, own.row_count(observed=True))], "source string, status string, columns string, before long, rows long")
+
+
 def excel_back(s: SparkSession, d: str) -> DataFrame:
-    path = scratch(s, "sheet") + ".xlsx"
-    rows = table(s, d, "nation").orderBy("n_nationkey").collect()  # a nation a row
-    files.write_excel(s, path, ["n_nationkey", "n_name", "n_regionkey"], [(r.n_nationkey, r.n_name, r.n_regionkey) for r in rows], "nations")
-    return loader(s, "excel").load(path=path, sheet="nations").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+    books = land(files.to_excel(table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "nations"), "books")
+    return files.excel_tables(books, "nations").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+def books_back(s: SparkSession, d: str) -> DataFrame:
+    """Customers over several workbooks, one for each partition."""
+    customers = table(s, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), (F.col("c_custkey") % 2 == 0).alias("even"))
+    return files.excel_tables(land(files.to_excel(customers.repartition("c_custkey")), "books")).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@contextmanager
+def served(s: SparkSession, answer):
+    """The address of a service on the driver; answer(path, parameters) has its answers as bytes."""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlparse(self.path)
+            body = answer(url.path, {k: v[0] for k, v in parse_qs(url.query).items()})
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://{s.sparkContext.getConf().get('spark.driver.host', '127.0.0.1')}:{server.server_port}"
+    finally:
+        server.shutdown()
+
+
+def in_pages(s: SparkSession, rows: DataFrame, page: Column, read) -> DataFrame:
+    """read(address) of a service that has a table's rows by page, as JSON, and an empty answer after the last."""
+    path = folder(s, "pages")
+    rows.withColumn("page", page.cast("int")).write.partitionBy("page").json(path)
+
+    def answer(_, asked):
+        one = f"{path}/page={int(asked['page'])}"
+        lines = [x for n, _ in landing.listed(s, one) if n.startswith("part-") for x in landing.get_text(s, f"{one}/{n}").splitlines()]
+        return b'{"result": {"items": [' + ",".join(lines).encode() + b"]}}"
+
+    with served(s, answer) as url:
+        return read(url)
 
 
 def api_back(s: SparkSession, d: str) -> DataFrame:
-    path = scratch(s, "api")
-    body = table(s, d, "nation").select(F.struct(F.collect_list(F.struct("n_nationkey", F.struct("n_name", F.array("n_regionkey", "n_nationkey").alias("keys")).alias("at"))).alias("items")).alias("result")).select(F.to_json(F.struct("result")))
-    files.put_bytes(s, path, body.first()[0].encode())  # an answer of one page
-    url = path if "://" in path else "file://" + path.removeprefix("file:")
-    return rest.read_api(s, url, json_path="result.items")
+    nations = table(s, d, "nation").select("n_nationkey", F.struct("n_name", F.array("n_regionkey", "n_nationkey").alias("keys")).alias("at"))
+    return in_pages(s, nations, F.floor(F.col("n_nationkey") / 10), lambda url: rest.read_api(s, url, json_path="result.items", pagination={"param": "page", "step": 1}))
+
+
+def api_pages(s: SparkSession, d: str) -> DataFrame:
+    """Customers over many pages, until the first that is empty."""
+    customers = table(s, d, "customer").select("c_custkey", F.struct("c_name", F.col("c_acctbal").cast("double").alias("c_acctbal")).alias("own"))
+    found = in_pages(s, customers, F.floor(F.col("c_custkey") / 500), lambda url: rest.read_api(s, url, json_path="result.items", pagination={"param": "page", "step": 1}, max_pages=1_000_000))
+    return found.select("c_custkey", "own_c_name", F.col("own_c_acctbal").cast("double").alias("own_c_acctbal"))
+
+
+def open_data(s: SparkSession, d: str) -> DataFrame:
+    """Orders of a service: conditions run there as far as it takes them, over the table that stands behind it."""
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
+    kinds = {"o_orderkey": "number", "o_orderstatus": "text", "o_totalprice": "number", "o_orderpriority": "text"}
+
+    def answer(path, asked):
+        if path.startswith("/api/views"):
+            return json.dumps({"columns": [{"fieldName": n, "dataTypeName": k} for n, k in kinds.items()]}).encode()
+        query = asked["$query"].replace(":id", "o_orderkey")
+        word = next((w for w in (" WHERE ", " ORDER BY ") if w in query), None)
+        select, _, more = query.partition(word) if word else (query, "", "")
+        found = s.sql(f"{select} FROM {{orders}}" + (f"{word}{more}" if word else ""), orders=orders)
+        return json.dumps([{k: str(v) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in found.collect()]).encode()  # a page of rows
+
+    with served(s, answer) as url:
+        found = opendata.read_socrata(s, url, "abcd-1234", limit=None).where("o_totalprice > 200000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%H%' AND o_orderkey % 3 = 1")
+        return land(found.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", "o_totalprice"), "opendata")
 
 
 def audit_back(s: SparkSession, d: str) -> DataFrame:
-    log = audit.AuditLog(s, scratch(s, "audit"))
-    names = [r.n_name for r in table(s, d, "nation").orderBy("n_nationkey").collect()]
+    log = audit.AuditLog(s, folder(s, "audit"))
     for at in (0, 1):  # the second time each is known already
-        for i, n in enumerate(names):
-            log.log({"uuid": f"u{i}", "timestamp": f"2024-01-0{at + 1}", "name": n, "time": at})
-        log.save()
+        log.append(table(s, d, "nation").select(F.concat(F.lit("u"), "n_nationkey").alias("uuid"), F.lit(f"2024-01-0{at + 1}").alias("timestamp"), F.col("n_name").alias("name"), F.lit(at).alias("time")))
     return log.fields("name string, time int").select("uuid", "timestamp", "status", "name", "time")
 
 
 def log_compacted(s: SparkSession, d: str) -> DataFrame:
-    log = audit.AuditLog(s, scratch(s, "audit"), "json")
-    for r in table(s, d, "region").collect():
-        log.log_error(r.r_name, {"key": r.r_regionkey})
-    log.save()
-    return log.compact(scratch(s, "audit-new")).load().groupBy("status", "message").agg(F.count("*").alias("n"))
+    log = audit.AuditLog(s, folder(s, "audit"), "json")
+    for part in ("r_regionkey < 2", "r_regionkey >= 2"):
+        log.append(table(s, d, "region").where(part).select(F.col("r_name").alias("message"), F.col("r_regionkey").alias("key")), status="error")
+    return log.compact().load().groupBy("status", "message").agg(F.count("*").alias("n"))
+
+
+def log_of_orders(s: SparkSession, d: str) -> DataFrame:
+    """Orders logged by status, one save each, compacted between, and logged again: the first save of each stays."""
+    log = audit.AuditLog(s, folder(s, "audit"))
+    orders = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("uuid"), F.lit("2024-01-01").alias("timestamp"), F.col("o_orderstatus").alias("message"), (F.col("o_orderkey") % 5).alias("kind"))
+    for status in ("F", "O"):
+        log.append(orders.where(F.col("message") == status))
+    log.compact()
+    log.append(orders.withColumns({"message": F.lit("late"), "timestamp": F.lit("2023-01-01")}))
+    log.compact().vacuum()
+    return log.fields("kind int").groupBy("message", "kind").agg(F.count("*").alias("n"))
 
 
 add("source_csv", csv_back, D + "SELECT o_orderkey, round(price, 6) AS price, priority, large FROM d")
@@ -328,9 +439,94 @@ add("source_excel", excel_back, "SELECT n_nationkey, n_name, n_regionkey FROM na
 add("source_api", api_back, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name AS at_n_name, CAST(n_regionkey AS BIGINT) AS at_keys_0, CAST(n_nationkey AS BIGINT) AS at_keys_1 FROM nation")
 add("audit_log", audit_back, "SELECT 'u' || CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS VARCHAR) AS uuid, '2024-01-01' AS timestamp, 'ok' AS status, n_name AS name, 0 AS time FROM nation")
 add("audit_log_compacted", log_compacted, "SELECT 'error' AS status, r_name AS message, 1 AS n FROM region")
+add("source_metadata", known_of_source, "SELECT 'csv' AS source, 'success' AS status, 'o_orderkey,o_orderstatus' AS columns, CAST(NULL AS BIGINT) AS before, count(*) AS rows FROM orders")
+add("source_excel_books", books_back, "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, round(CAST(c_acctbal AS DOUBLE), 6) AS c_acctbal, c_custkey % 2 = 0 AS even FROM customer")
+add("source_api_pages", api_pages, "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name AS own_c_name, round(CAST(c_acctbal AS DOUBLE), 6) AS own_c_acctbal FROM customer")
+add("source_opendata", open_data, "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, round(CAST(o_totalprice AS DOUBLE), 6) AS o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%H%' AND o_orderkey % 3 = 1")
+add("audit_log_orders", log_of_orders, "SELECT CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'late' END AS message, CAST(o_orderkey % 5 AS INT) AS kind, count(*) AS n FROM orders GROUP BY 1, 2")
+_ASKED = {"o_totalprice": (">", 1000), "o_orderstatus": ("in", ["O", "F'"])}
+add(
+    "soql_text", lambda s, d: table(s, d, "orders").where(opendata.conditions_text(_ASKED)).select("o_orderkey", F.lit(opendata.soql(_ASKED, 7)).alias("query")),
+    "SELECT o_orderkey, 'SELECT * WHERE o_totalprice > 1000 AND o_orderstatus in (''O'', ''F'''''') LIMIT 7' AS query FROM orders WHERE o_totalprice > 1000 AND o_orderstatus IN ('O', 'F''')",
+)
+
+# profiles that add up, times and texts in other shapes, the choice among candidates
+
+_STATED = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
+_SHARES = {"rows": "count(*)", "null_percentage": "100.0 * (count(*) - count({c})) / count(*)"}
+_EXACT = {
+    "number": _SHARES | {"mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})", "max": "max({c})", "skewness": "skewness({c})", "kurtosis": "kurtosis({c})", "coefficient_of_variation": "stddev_samp({c}) / avg({c})"},
+    "text": _SHARES | {"avg_length": "avg(length({c}))"},
+}
+
+
+def slices(s: SparkSession, d: str) -> DataFrame:
+    """States by month of shipment, saved slice by slice and read again."""
+    path = folder(s, "states")
+    states.save(states.build(table(s, d, "lineitem"), {"month": F.date_format("l_shipdate", "yyyy-MM")}, _STATED), path, ["month"])
+    return s.read.parquet(path)
+
+
+def state_drift(s: SparkSession, d: str) -> DataFrame:
+    found = slices(s, d)
+    return states.drift(found.where("month < '1998-06'"), found.where("month >= '1998-06'")).where(F.col("metric").isin("rows", "mean", "std", "max"))
+
+
+def _states_sql(where: str, *wanted: str) -> str:
+    parts = []
+    for c in _STATED:
+        own = {m: x for m, x in _EXACT["text" if c == "l_returnflag" else "number"].items() if not wanted or m in wanted}
+        parts.append(f"SELECT '{c}' AS field, unnest({list(own)}) AS metric, unnest([{', '.join(f'CAST({x.format(c=c)} AS DOUBLE)' for x in own.values())}]) AS value FROM lineitem WHERE {where}")
+    return " UNION ALL ".join(parts)
+
+
+_THEN, _NOW = (_states_sql(f"l_shipdate {op} DATE '1998-06-01'", "rows", "mean", "std", "max") for op in ("<", ">="))
+add("profile_states", lambda s, d: states.metrics(states.merge(slices(s, d))).where(F.col("metric").isin(*_EXACT["number"], *_EXACT["text"])), _states_sql("true"), whole=True)
+add("profile_state_drift", state_drift, f"SELECT field, metric, a.value AS before, b.value AS now, 100.0 * (b.value - a.value) / a.value AS drift_percentage FROM ({_THEN}) a JOIN ({_NOW}) b USING (field, metric)", whole=True)
+
+
+def times_of_all_shapes(s: SparkSession, d: str) -> DataFrame:
+    when = F.col("o_orderdate").cast("timestamp")
+    at = [F.year(when), F.month(when), F.dayofmonth(when)]
+    clock = [(F.col("o_orderkey") % 24).cast("int"), (F.col("o_orderkey") % 60).cast("int"), (F.col("o_orderkey") % 59).cast("int")]
+    names = ["year", "month", "day", "hour", "minute", "second"]
+    shaped = table(s, d, "orders").select(
+        "o_orderkey", F.struct(*(c.alias(n) for n, c in zip(names, at))).alias("day"), F.struct(*(c.alias(n) for n, c in zip(names, [*at, *clock]))).alias("moment"), F.array(*at).alias("three"), F.array(*at, *clock).alias("six"),
+        F.array(*at[:2]).alias("two"), F.date_format(when, "yyyy-MM-dd HH:mm:ss").alias("text"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("soon")).otherwise(F.date_format(when, "yyyy-MM-dd")).alias("some"),
+    )
+    return shaped.select("o_orderkey", *(F.unix_seconds(parse_time(shaped, n)).alias(n) for n in shaped.columns[1:]))
+
+
+_DAY = "CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT)"
+_CLOCK = "(o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59"
+add(
+    "parse_time_shapes", times_of_all_shapes,
+    f"SELECT o_orderkey, {_DAY} AS day, {_DAY} + {_CLOCK} AS moment, {_DAY} AS three, {_DAY} + {_CLOCK} AS six, CAST(NULL AS BIGINT) AS two, {_DAY} AS text, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE {_DAY} END AS some FROM orders",
+)
+
+
+def texts_at_depth(s: SparkSession, d: str) -> DataFrame:
+    """JSON text within JSON text, some of which isn't JSON."""
+    inner = F.to_json(F.struct(F.col("c_nationkey").alias("nation"), F.array("c_custkey", F.col("c_custkey") + 1).alias("keys")))
+    outer = F.to_json(F.struct(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 10 == 0, F.lit("{broken")).otherwise(inner).alias("more")))
+    return flatten.flatten(table(s, d, "customer").select("c_custkey", outer.alias("j")), json_text=True, errors="log")
+
+
+add(
+    "flatten_json_at_depth", texts_at_depth,
+    "SELECT c_custkey, c_name AS j_name, CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_nationkey AS BIGINT) END AS j_more_nation, CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_custkey AS BIGINT) END AS j_more_keys_0, "
+    "CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_custkey AS BIGINT) + 1 END AS j_more_keys_1, CASE WHEN c_custkey % 10 = 0 THEN '{broken' END AS j_more_error FROM customer",
+)
+_TWO = ("price", "spiky")
+add(
+    "choose_normalization", lambda s, d: remediate.compare(dirty(s, d), "normalize", {"price": [X.zscore, X.minmax], "spiky": [X.minmax, X.zscore]}),
+    D + f", m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in _TWO)} FROM d), e AS (SELECT " + ", ".join(f"abs(avg(({c} - m_{c}) / s_{c})) + abs(stddev_samp(({c} - m_{c}) / s_{c}) - 1) AS z_{c}" for c in _TWO) + " FROM d, m) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS field, 'normalize_minmax' AS candidate, 0.0::DOUBLE AS error, true AS chosen FROM e UNION ALL SELECT '{c}', 'normalize_zscore', round(z_{c}, 6), false FROM e" for c in _TWO),
+)
+_SKEW = "(SELECT avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5) FROM (SELECT {x} AS x, avg({x}) OVER () AS m FROM d))"
 add(
-    "soql_text", lambda s, d: s.createDataFrame([(rest.soql({"o_totalprice": (">", 1000), "o_orderstatus": ("in", ["O", "F'"])}, 7),)], "query string"),
-    "SELECT 'SELECT * WHERE o_totalprice > 1000 AND o_orderstatus in (''O'', ''F'''''') LIMIT 7' AS query",
+    "choose_bias", lambda s, d: remediate.compare(dirty(s, d), "bias", {"spiky": [X.log_shift, X.same], "price": [X.log_shift]}),
+    D + " UNION ALL ".join(f"SELECT '{c}' AS field, 'bias_log' AS candidate, round(abs({_SKEW.format(x=f'ln(1 + {c})')}) - abs({_SKEW.format(x=c)}), 6) AS error, true AS chosen" for c in _TWO) + " UNION ALL SELECT 'spiky', 'bias_same', 0.0, false",
 )
 
 

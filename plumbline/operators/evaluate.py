@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..types import num, seconds
+from ..types import DATETIME, FLOAT, INTEGER, STRING, num, seconds
 
 
 def counted_share(df: DataFrame, c: Column) -> DataFrame:
@@ -66,3 +66,16 @@ def spread_reduction(df: DataFrame, old: Column, new: Column) -> DataFrame:
     row = df.agg(F.avg(seconds(old)), F.avg(seconds(new))).first()
     away = [F.avg(F.abs(seconds(c) - F.lit(m).cast("double"))) for c, m in zip((old, new), row)]
     return df.agg(away[0].alias("before"), away[1].alias("after")).withColumn("reduction", F.col("before") - F.col("after"))
+
+
+def badness(family: str, kind: str, name: str, old: Column, new: Column) -> Column | None:
+    """How bad a candidate of a family is, as an aggregate: the less the better. None where its family has no measure for
+    it: of imputations, for flags; of scales, for those that are neither a range nor a standard score."""
+    if family == "impute":
+        measures = {INTEGER: imputation_error, FLOAT: imputation_error, DATETIME: time_error}
+        return measures[kind](old, new)["rmse"] if kind in measures else -text_accuracy(old, new)["accuracy"] if kind == STRING else None
+    if family == "normalize":
+        return minmax_error(new)["error"] if "minmax" in name else zscore_error(new)["error"] if "zscore" in name else None
+    if family == "bias" and kind in (INTEGER, FLOAT):
+        return -skew_reduction(old, new)["reduction"]
+    return F.max(F.lit(0.0))

@@ -1,13 +1,14 @@
 """Column profiles in a few aggregations, whatever the number of columns.
 
 One aggregation has all moments and counts of all columns; one over the distinct values of all columns, each
-with its count, has distinct counts, quantiles, modes and entropies; one, which needs the quartiles, the
-outliers. Only gaps between times are worked out column by column. Results are long frames (field, metric,
+with its count, has distinct counts, modes and entropies, and ranges of it have the exact quantiles of all
+columns; one, which needs the quartiles, the outliers. Only gaps between times are worked out column by column. Results are long frames (field, metric,
 value) or one row per field.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -38,36 +39,80 @@ def repeats_percent(df: DataFrame, name: str, null_is_value: bool = True) -> Col
 
 
 def value_counts(df: DataFrame, columns: list[Column]) -> DataFrame:
-    """i, v, s, n: how often each value of each column occurs, in one shuffle for all; v is a floating-point value, s
-    any other as text, and both are null for null."""
+    """i, v, l, s, n: how often each value of each column occurs, in one shuffle for all; v is a floating-point value, l a
+    whole one, s any other as text, and all are null for null."""
     kinds = [f.dataType for f in df.select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).schema]
+    none = {"v": F.lit(None).cast("double"), "l": F.lit(None).cast("long"), "s": F.lit(None).cast("string")}
     parts = []
     for i, (c, kind) in enumerate(zip(columns, kinds)):
-        real = isinstance(kind, (T.FloatType, T.DoubleType))
-        nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
-        key = F.to_json(F.array_sort(F.map_entries(c)) if isinstance(kind, T.MapType) else c) if nested else c.cast("string")
-        v = F.nanvl(c.cast("double"), F.lit(None).cast("double")) + F.lit(0.0) if real else F.lit(None).cast("double")  # -0.0 is 0.0
-        parts.append(F.struct(F.lit(i).alias("i"), v.alias("v"), (F.lit(None).cast("string") if real else key).alias("s")))
-    return df.select(F.explode(F.array(*parts)).alias("x")).groupBy("x.i", "x.v", "x.s").agg(F.count("*").alias("n"))
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            own = {"v": F.nanvl(c.cast("double"), F.lit(None).cast("double")) + F.lit(0.0)}  # -0.0 is 0.0
+        elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            own = {"l": c.cast("long")}
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            own = {"s": F.to_json(F.array_sort(F.map_entries(c)) if isinstance(kind, T.MapType) else c)}
+        else:
+            own = {"s": c.cast("string")}
+        parts.append(F.struct(F.lit(i).alias("i"), *(x.alias(k) for k, x in (none | own).items())))
+    return df.select(F.explode(F.array(*parts)).alias("x")).groupBy("x.i", "x.v", "x.l", "x.s").agg(F.count("*").alias("n"))
+
+
+#: Of a row of value_counts(): whether it stands for a value, and that value as a number.
+PRESENT = "v is not null or l is not null or s is not null"
+
+
+def as_number() -> Column:
+    return F.coalesce("v", F.col("l").cast("double"), num(F.col("s")))
+
+
+def quantiles_by(per: DataFrame, shares: list[float]) -> dict[int, list[float]]:
+    """Exact quantiles, linear between neighbours, of counts by value (i, x, n) for all i at once. The values are dealt into
+    ranges and these summed up; only those that hold a wanted rank are ordered, a task each. What comes to the driver is
+    a row for each range, and two values for each quantile."""
+    ranged = per.where("x is not null").select("i", "x", "n").repartitionByRange("i", "x").withColumn("part", F.spark_partition_id()).persist()
+    try:
+        sizes = sorted(ranged.groupBy("i", "part").agg(F.sum("n").alias("size")).collect(), key=lambda r: (r.i, r.part))
+        totals: dict[int, int] = {}
+        for r in sizes:
+            totals[r.i] = totals.get(r.i, 0) + r.size
+        places = {i: [((n - 1) * p, math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in shares] for i, n in totals.items()}
+        below, holding = dict.fromkeys(totals, 0), []
+        for r in sizes:
+            own = sorted({k - below[r.i] for _, *ends in places[r.i] for k in ends if below[r.i] <= k < below[r.i] + r.size})
+            if own:
+                holding.append((r.i, r.part, below[r.i], own))
+            below[r.i] += r.size
+        if not holding:
+            return {}
+        wanted = F.broadcast(per.sparkSession.createDataFrame(holding, "i int, part int, below long, ranks array<long>"))  # two ranges at most for each quantile
+        upto = F.sum("n").over(Window.partitionBy("i", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = ranged.join(wanted, ["i", "part"]).withColumn("end", upto).withColumn("begin", F.col("end") - F.col("n"))
+        hit = placed.select("i", "x", "below", F.filter("ranks", lambda k: (F.col("begin") <= k) & (k < F.col("end"))).alias("ranks")).where("size(ranks) > 0")
+        at = {(r.i, r.below + k): r.x for r in hit.collect() for k in r.ranks}
+        return {i: [at[i, lo] if lo == hi else (hi - pos) * at[i, lo] + (pos - lo) * at[i, hi] for pos, lo, hi in own] for i, own in places.items()}
+    finally:
+        ranged.unpersist()
 
 
 def by_value(df: DataFrame, columns: dict[Any, Column], with_quartiles: list[bool], exact: bool = True) -> tuple[dict[Any, int], dict[Any, list[float]]]:
     """(distinct non-null values, quartiles) by column; quartiles of those asked for, as far as values are numbers."""
     keys = list(columns)
     per = value_counts(df, list(columns.values()))
-    number = F.when(F.col("i").isin([i for i, q in enumerate(with_quartiles) if q]), F.coalesce("v", num(F.col("s"))))
-    distinct = F.count_if(F.col("v").isNotNull() | F.col("s").isNotNull()).alias("kinds")
-    found: dict[Any, list[float]] = {}
+    asked = [i for i, q in enumerate(with_quartiles) if q]
+    distinct = F.count_if(F.expr(PRESENT)).alias("kinds")
+    if not asked:
+        return {keys[r.i]: r.kinds for r in per.groupBy("i").agg(distinct).collect()}, {}
     if exact:
-        rows = per.groupBy("i").agg(distinct, F.percentile(number, F.array(*map(F.lit, SHARES)), F.col("n")).alias("q")).collect()  # a row per column
-        found = {keys[r.i]: r.q for r in rows if r.q}
-    else:
-        rows = per.groupBy("i").agg(distinct).collect()
-        asked = [i for i, q in enumerate(with_quartiles) if q]
-        if asked:
-            q = df.agg(*(F.percentile_approx(num(columns[keys[i]]), SHARES, 10_000).alias(f"q{i}") for i in asked)).first()
-            found = {keys[i]: q[f"q{i}"] for i in asked if q[f"q{i}"]}
-    return {keys[r.i]: r.kinds for r in rows}, found
+        per = per.withColumn("x", F.when(F.col("i").isin(asked), as_number())).persist()
+        try:
+            rows = per.groupBy("i").agg(distinct).collect()
+            found = quantiles_by(per, SHARES)
+        finally:
+            per.unpersist()
+        return {keys[r.i]: r.kinds for r in rows}, {keys[i]: q for i, q in found.items()}
+    rows = per.groupBy("i").agg(distinct).collect()
+    q = df.agg(*(F.percentile_approx(num(columns[keys[i]]), SHARES, 10_000).alias(f"q{i}") for i in asked)).first()
+    return {keys[r.i]: r.kinds for r in rows}, {keys[i]: q[f"q{i}"] for i in asked if q[f"q{i}"]}
 
 
 SHARES = [0.25, 0.5, 0.75]
@@ -196,7 +241,7 @@ def temporal(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
 
 def entropy(df: DataFrame, names: list[str]) -> DataFrame:
     """field, entropy (nats), gini_impurity over the shares of non-null values."""
-    per = value_counts(df, [clean(df, n) for n in names]).where("v is not null or s is not null")
+    per = value_counts(df, [clean(df, n) for n in names]).where(PRESENT)
     n = F.col("n").cast("double")
     sums = per.groupBy("i").agg(F.sum(n).alias("total"), F.sum(n * F.log(n)).alias("logs"), F.sum(n * n).alias("squares"))
     fields = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, field string")
@@ -220,9 +265,19 @@ def gini(df: DataFrame, name: str) -> DataFrame:
 
 def mad_outliers(df: DataFrame, names: list[str]) -> DataFrame:
     """field, mad, mad_outlier_percentage: non-null values further from the median than three MADs; 0 if the MAD is 0."""
-    middle = df.agg(*(F.median(num(quoted(n))) for n in names)).first()
+    per = value_counts(df, [num(quoted(n)) for n in names]).withColumn("x", F.col("v")).persist()
+
+    def medians(table: DataFrame) -> list[float | None]:
+        found = quantiles_by(table, [0.5])
+        return [found.get(i, [None])[0] for i in range(len(names))]
+
+    try:
+        middle = medians(per)
+        at = F.element_at(F.array(*(F.lit(m).cast("double") for m in middle)), F.col("i") + 1)
+        mads = medians(per.withColumn("x", F.abs(F.col("x") - at)))
+    finally:
+        per.unpersist()
     away = [F.abs(num(quoted(n)) - F.lit(m).cast("double")) for n, m in zip(names, middle)]
-    mads = df.agg(*(F.median(a) for a in away)).first()
     row = df.agg(*(F.coalesce(100 * F.avg((a > 3 * F.lit(m).cast("double")).cast("int")), F.lit(0.0)) if m else F.lit(0.0) for a, m in zip(away, mads))).toDF(*(f"c{i}" for i in range(len(names))))
     parts = [F.struct(F.lit(n).alias("field"), F.lit(m).cast("double").alias("mad"), F.col(f"c{i}").cast("double").alias("mad_outlier_percentage")) for i, (n, m) in enumerate(zip(names, mads))]
     return row.select(F.explode(F.array(*parts)).alias("x")).select("x.*")

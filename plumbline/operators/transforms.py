@@ -180,40 +180,57 @@ def _best(p: Params, step: int) -> float:
 
 @dataclass(frozen=True)
 class Search:
-    """A stage that looks for the power of greatest likelihood: value is transformed by power(x, lambda), whose slope's
-    logarithm at lambda = 2 is that of x."""
+    """A stage that looks for the power of greatest likelihood. value: what is transformed; power(lambda, x) and slope are
+    SQL over x: the transform, and the logarithm of its slope, divided by lambda - 1."""
 
-    power: Callable[[Column, float], Column]
     value: Callable[[Column, Params], Column]
-    slope: Callable[[Column], Column]
+    power: Callable[..., str]
+    slope: str
+
+
+def box_cox_sql(lam: float, x: str = "x") -> str:
+    return f"ln({x})" if abs(lam) < 1e-9 else f"(pow({x}, {lam!r}D) - 1) / {lam!r}D"
+
+
+def yeo_johnson_sql(lam: float, x: str = "x") -> str:
+    up = f"log1p(greatest({x}, 0D))" if abs(lam) < 1e-9 else f"(pow(greatest({x}, 0D) + 1, {lam!r}D) - 1) / {lam!r}D"
+    down = f"-log1p(-least({x}, 0D))" if abs(2 - lam) < 1e-9 else f"-(pow(1 - least({x}, 0D), {2 - lam!r}D) - 1) / {2 - lam!r}D"
+    return f"CASE WHEN {x} >= 0 THEN {up} ELSE {down} END"
 
 
 def search(df: DataFrame, items: list[tuple[Params, Column, Search]]) -> None:
-    """llf0, llf1 .. of each item: the log-likelihoods on its grids. A pass a grid for all items: each value meets each
-    power of its item, and their variances are a partial aggregation."""
-    values = [s.value(c, p) for p, c, s in items]
-    each = lambda extra: df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("x"), *extra(k)) for k, v in enumerate(values)))).alias("i")).select("i.*").where("x is not null")
-    pick = lambda make: reduce(lambda out, k: F.when(F.col("k") == k, make(items[k][2])).otherwise(out), range(len(items)), F.lit(None).cast("double"))
-    sums = {r.k: (r.n, r.logs) for r in each(lambda k: ()).groupBy("k").agg(F.count("*").alias("n"), F.sum(pick(lambda s: s.slope(F.col("x")))).alias("logs")).collect()}
-    for step in range(FINER):
-        grids = [_grid(p, step) for p, _, _ in items]
-        tried = each(lambda k: (F.array(*map(F.lit, grids[k])).alias("grid"),)).select("k", "x", F.posexplode("grid").alias("at", "power"))
-        found = {(r.k, r.at): r.v for r in tried.groupBy("k", "at").agg(F.var_pop(pick(lambda s: s.power(F.col("x"), F.col("power")))).alias("v")).collect()}
-        for k, (p, _, _) in enumerate(items):
-            n, logs = sums.get(k, (0, None))
-            usable = lambda v: v is not None and v > 0 and not math.isinf(v)
-            p[f"llf{step}"] = [(lam - 1) * logs - n / 2 * math.log(found[k, i]) if usable(found.get((k, i))) and logs is not None else None for i, lam in enumerate(grids[k])]
+    """llf0, llf1 .. of each item: the log-likelihoods on its grids. The table is read once, for how often each value
+    occurs; a grid is one row an item, of sums over these counts. Values are moved by what a middle one becomes, so that
+    no power makes their squares drown their differences."""
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), s.value(c, p).alias("x")) for k, (p, c, s) in enumerate(items))))
+    counts = df.select(values.alias("i")).select("i.*").where("x is not null").groupBy("k", "x").agg(F.count("*").cast("double").alias("n")).persist()
+    case = lambda make: f"CASE k {' '.join(f'WHEN {k} THEN {make(k)}' for k in range(len(items)))} END"
+    try:
+        sums = {r.k: r for r in counts.groupBy("k").agg(F.sum("n").alias("n"), F.expr(f"sum(n * {case(lambda k: items[k][2].slope)})").alias("logs"), F.expr("sum(n * x) / sum(n)").alias("middle")).collect()}
+        for step in range(FINER):
+            grids = [_grid(p, step) for p, _, _ in items]
+            moved = [f"{case(lambda k, i=i: items[k][2].power(grids[k][i]))} - {case(lambda k, i=i: items[k][2].power(grids[k][i], 'middle'))} AS y{i}" for i in range(GRID)]
+            middle = case(lambda k: f"{sums[k].middle!r}D" if k in sums else "CAST(NULL AS DOUBLE)")
+            tried = counts.selectExpr("k", "n", "x", f"{middle} AS middle").selectExpr("k", "n", *moved)
+            found = {r.k: r for r in tried.groupBy("k").agg(*(F.expr(f"sum(n * y{i}) AS s{i}") for i in range(GRID)), *(F.expr(f"sum(n * y{i} * y{i}) AS q{i}") for i in range(GRID))).collect()}
+            for k, (p, _, _) in enumerate(items):
+                p[f"llf{step}"] = [_likelihood(lam, sums.get(k), found.get(k), i) for i, lam in enumerate(grids[k])]
+    finally:
+        counts.unpersist()
+
+
+def _likelihood(lam: float, known, found, i: int) -> float | None:
+    if known is None or known.logs is None or found is None or found[f"q{i}"] is None:
+        return None
+    spread = (found[f"q{i}"] - found[f"s{i}"] ** 2 / known.n) / known.n
+    return (lam - 1) * known.logs - known.n / 2 * math.log(spread) if 0 < spread < math.inf else None
 
 
 def _number(c: Column, p: Params) -> Column:
     return num(c)
 
 
-boxcox = Transform("bias_boxcox", "bias", NUMBER, lambda c, p: box_cox(_shifted(c, p), F.lit(_best(p, FINER - 1))), (_least, Search(box_cox, _shifted, F.log)))
-
-
-def _sign_log(x: Column) -> Column:
-    return F.signum(x) * F.log1p(F.abs(x))
+boxcox = Transform("bias_boxcox", "bias", NUMBER, lambda c, p: box_cox(_shifted(c, p), F.lit(_best(p, FINER - 1))), (_least, Search(_shifted, box_cox_sql, "ln(x)")))
 
 
 def _standard(c: Column, p: Params) -> dict[str, Column]:
@@ -226,7 +243,7 @@ def _yeojohnson(c: Column, p: Params) -> Column:
     return y if p["mean"] is None else (y - p["mean"]) / (p["std"] or 1.0)
 
 
-yeojohnson = Transform("bias_yeojohnson", "bias", NUMBER, _yeojohnson, (Search(yeo_johnson, _number, _sign_log), _standard))
+yeojohnson = Transform("bias_yeojohnson", "bias", NUMBER, _yeojohnson, (Search(_number, yeo_johnson_sql, "sign(x) * log1p(abs(x))"), _standard))
 
 LANDMARKS = 1000
 
@@ -279,6 +296,7 @@ def _cyclical(c: Column, p: Params) -> Column:
 
 cyclical = Transform("bias_cyclical", "bias", (DATETIME,), _cyclical, (_calendar,))
 same_text = Transform("bias_none", "bias", (STRING,), lambda c, p: c)
+same = Transform("bias_same", "bias", NUMBER, lambda c, p: c)
 
 # privacy
 

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import metrics, rules
 from ..types import FLOAT
 
+POTENTIAL = "field string, metric string, potential double"
+WORTH = "Improving '%s' could raise the score by up to %.1f points."
+PREDICTED = "Fixing this field could raise the global score by about %.1f points (predicted)."
+ABSENT = "The field is missing; including it comes first."
+#: Scores under LOW, and drifts over DRIFTED percent, are remarked on.
+LOW, DRIFTED = 80, 10
+
 
 def potential(kind: str, m: dict) -> dict[str, float]:
     """Points to gain by metric, none more than the score lacks."""
@@ -24,53 +31,96 @@ def potential(kind: str, m: dict) -> dict[str, float]:
     return {k: min(v, room) for k, v in lost.items() if v > 0 or k in always}
 
 
+@dataclass(frozen=True)
+class LinearModel:
+    """Least squares with an intercept: the means, and the weight of each feature."""
+
+    features: tuple[str, ...]
+    mean: tuple[float, ...]
+    weights: tuple[float, ...]
+    level: float
+
+    @classmethod
+    def fit(cls, table: DataFrame, features: list[Column], names: list[str], target: Column) -> LinearModel | None:
+        """From the covariances, one aggregation whose partial results have k * k numbers for k features; the system that
+        remains, of k unknowns, is solved here. A feature that is null is 0; rows without a target are passed over. Of
+        features that depend on each other the weights are the shortest."""
+        import numpy as np
+
+        y, k = target.cast("double"), len(features)
+        x = [F.coalesce(f.cast("double"), F.lit(0.0)) for f in features]
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = table.where(y.isNotNull()).agg(F.avg(y), *map(F.avg, x), *(F.covar_pop(c, y) for c in x), *(F.covar_pop(x[i], x[j]) for i, j in pairs)).first()
+        if row[0] is None:
+            return None
+        gram = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[1 + 2 * k :]):
+            gram[i, j] = gram[j, i] = v
+        scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))  # features of unlike sizes
+        weights = np.linalg.lstsq(gram / np.outer(scale, scale), np.array(row[1 + k : 1 + 2 * k]) / scale, rcond=None)[0] / scale
+        return cls(tuple(names), tuple(row[1 : 1 + k]), tuple(map(float, weights)), row[0])
+
+    def predict(self, features: dict[str, float]) -> float:
+        return self.level + sum(w * (features.get(n, 0.0) - m) for n, m, w in zip(self.features, self.mean, self.weights))
+
+
+HISTORY = "field_improvements map<string,double>, quality_score_improvement double"
+
+
+def model(history: DataFrame) -> LinearModel | None:
+    """The model of a table of past improvements (HISTORY): what was gained by metric, and by the score."""
+    names = sorted(r[0] for r in history.select(F.explode(F.map_keys("field_improvements"))).distinct().collect())  # metrics' names
+    return LinearModel.fit(history, [F.try_element_at("field_improvements", F.lit(n)) for n in names], names, F.col("quality_score_improvement"))
+
+
 @dataclass
 class Improver:
-    """metrics: those of metrics.field_metrics; history: rows {field_improvements, quality_score_improvement}."""
+    """metrics: those of metrics.field_metrics; history: a table as HISTORY, or none."""
 
     metrics: dict[str, dict]
     policy: dict
-    history: list[dict] = field(default_factory=list)
+    history: DataFrame | None = None
+    _model: LinearModel | None = field(default=None, repr=False)
 
     def fields(self) -> list[tuple[str, str, dict]]:
         return [(f["field_name"], f.get("type", "string"), self.metrics.get(f["field_name"], {"status": "missing"})) for f in self.policy.get("fields", [])]
 
-    def update(self, rows: list[dict]) -> None:
-        self.history = [*self.history, *rows]
+    def update(self, rows: DataFrame) -> None:
+        """More rows for the history."""
+        self.history, self._model = rows if self.history is None else self.history.unionByName(rows), None
 
     def predict(self, features: dict[str, float]) -> float | None:
-        """Least squares with an intercept over the history; a feature that a row lacks is 0."""
-        if not self.history:
-            return None
-        import numpy as np
-
-        keys = sorted({k for r in self.history for k in r["field_improvements"]})
-        x = np.array([[1.0, *(r["field_improvements"].get(k, 0) for k in keys)] for r in self.history])
-        mean = x[:, 1:].mean(axis=0)
-        y = np.array([r["quality_score_improvement"] for r in self.history], dtype=float)
-        weights = np.linalg.lstsq(x[:, 1:] - mean, y - y.mean(), rcond=None)[0]
-        return float(y.mean() + (np.array([features.get(k, 0) for k in keys]) - mean) @ weights)
-
-    def recommendations(self, df: DataFrame | None = None) -> dict:
-        """Advice by field and for the whole. df: to test the relational rules of the policy on."""
-        by_field = {}
-        for n, kind, m in self.fields():
-            if m.get("status") == "missing":
-                by_field[n] = ["The field is missing; including it comes first."]
-                continue
-            own = potential(kind, m)
-            by_field[n] = [f"Improving '{k}' could raise the score by up to {v:.1f} points." for k, v in sorted(own.items(), key=lambda x: -x[1]) if v > 0]
-            predicted = self.predict(own)
-            if predicted is not None:
-                by_field[n].insert(0, f"Fixing this field could raise the global score by about {predicted:.1f} points (predicted).")
-        overall, found = [], self.metrics.get("global", {})
-        if (found.get("average_quality_score") if found.get("average_quality_score") is not None else 100) < 80:
-            overall.append("Quality is low overall; review the ingestion as a whole.")
-        if abs(found.get("drift_percentage", 0)) > 10:
-            overall.append(f"The global score drifted by {found['drift_percentage']:.1f}%; review its history.")
-        if df is not None:
-            overall += [f"The relational rule '{r.field}' doesn't hold." for r in relational(df, self.policy).where("not ok").collect()]
-        return {"global": overall, "fields": by_field}
+        """What the score would gain, by the history; None without one."""
+        if self._model is None and self.history is not None:
+            self._model = model(self.history)
+        return self._model and self._model.predict(features)
+
+    def potentials(self, spark: SparkSession) -> DataFrame:
+        """field, metric, potential: POTENTIAL. A field that isn't there has one row, without a metric."""
+        known = [(n, kind, m) for n, kind, m in self.fields()]
+        rows = [(n, k, float(v)) for n, kind, m in known if m.get("status") != "missing" for k, v in potential(kind, m).items()]
+        return spark.createDataFrame(rows + [(n, None, None) for n, _, m in known if m.get("status") == "missing"], POTENTIAL)
+
+    def advice(self, spark: SparkSession) -> DataFrame:
+        """field, place, advice: what to mend first, from the potentials; with a history, its prediction leads."""
+        worth = self.potentials(spark).where("metric is null or potential > 0")
+        order = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("potential"), "metric")) - 1
+        text = F.when(F.col("metric").isNull(), F.lit(ABSENT)).otherwise(F.format_string(WORTH, "metric", "potential"))
+        out = worth.select("field", order.alias("place"), text.alias("advice"))
+        found = [(n, self.predict(potential(kind, m))) for n, kind, m in self.fields() if m.get("status") != "missing"] if self.history is not None else []
+        first = spark.createDataFrame([(n, -1, PREDICTED % v) for n, v in found if v is not None], "field string, place int, advice string")
+        return out.unionByName(first) if found else out
+
+    def recommendations(self, df: DataFrame) -> dict:
+        """The advice by field, and remarks on the whole; df: the table, to test the policy's relational rules on."""
+        by_field: dict[str, list[str]] = {n: [] for n, _, _ in self.fields()}
+        for r in self.advice(df.sparkSession).orderBy("field", "place").collect():  # some rows a field
+            by_field[r.field].append(r.advice)
+        total = self.metrics.get("global", {})
+        score, change = total.get("average_quality_score"), total.get("drift_percentage", 0)
+        remarks = [(score is not None and score < LOW, f"The score is {score}: under {LOW}, the ingestion as a whole needs a review."), (abs(change) > DRIFTED, f"The score has drifted by {change:.1f}%.")]
+        broken = [f"The relational rule '{r.field}' doesn't hold." for r in relational(df, self.policy).where("not ok").collect()]
+        return {"global": [text for holds, text in remarks if holds] + broken, "fields": by_field}
 
     def chart(self, spark: SparkSession) -> DataFrame:
         """field, current_score, potential_score: what there is and what could be reached."""

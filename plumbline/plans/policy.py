@@ -10,11 +10,12 @@ import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import rules
+from ..sources import landing
 from ..types import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, clean, content_types, distinct_key, is_missing, logical_types, num, quoted
 
 #: Patterns of personal data in content. The first must match as a whole, the others anywhere.
@@ -138,24 +139,31 @@ def normalised(policy: dict) -> dict:
     return policy | {"fields": own}
 
 
-def load(path: str) -> dict:
+def load(path: str, spark: SparkSession | None = None) -> dict:
+    """A policy file; with a session, of any file system that Spark knows."""
     import yaml
 
-    return normalised(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
+    return normalised(yaml.safe_load(landing.get_text(spark, path) if spark else Path(path).read_text(encoding="utf-8")))
 
 
-def save(policy: dict, path: str) -> None:
+def save(policy: dict, path: str, spark: SparkSession | None = None) -> None:
     import yaml
 
+    text = yaml.safe_dump(policy, sort_keys=False, allow_unicode=True)
+    if spark:
+        landing.put_bytes(spark, path, text.encode())
+        return
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(yaml.safe_dump(policy, sort_keys=False, allow_unicode=True), encoding="utf-8")
+    Path(path).write_text(text, encoding="utf-8")
 
 
 def get_or_create(df: DataFrame, path: str) -> dict:
-    if Path(path).exists():
-        return load(path)
+    """The policy of the file; where there is none, one is made from the table and saved."""
+    spark = df.sparkSession
+    if landing.exists(spark, path):
+        return load(path, spark)
     policy = generate(df, path)
-    save(policy, path)
+    save(policy, path, spark)
     return policy
 
 

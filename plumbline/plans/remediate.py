@@ -10,7 +10,7 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, metrics
@@ -59,6 +59,34 @@ def by_type(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
     return X.transformed(out, {n: [X.impute_empty_string, X.clean_text] for i, n in enumerate(out.columns) if kinds.get(n) == STRING and nulls[f"c{i}"]})
 
 
+def errors(df: DataFrame, made: dict[tuple[str, str], tuple[str, Column]], family: str) -> dict[tuple[str, str], float]:
+    """How bad each candidate (field, name) is, as (kind, new column), by its family's measure; all in one aggregation.
+    Those that the family has no measure for are left out, and what has no value is 0."""
+    cells = {(n, name): evaluate.badness(family, kind, name, clean(df, n), c) for (n, name), (kind, c) in made.items()}
+    cells = {k: c for k, c in cells.items() if c is not None}
+    row = df.agg(F.count("*"), *cells.values()).first() if cells else [0]
+    return {k: 0.0 if v is None else v for k, v in zip(cells, row[1:])}
+
+
+def best(found: dict[tuple[str, str], float], family: str) -> dict[str, str]:
+    """The name of each field's best candidate: of equals the first, and of scales the range."""
+    pick: dict[str, str] = {}
+    for (n, name), e in found.items():
+        least = found.get((n, pick.get(n)))
+        if least is None or e < least or (e == least and family == "normalize" and "minmax" in name and "minmax" not in pick[n]):
+            pick[n] = name
+    return pick
+
+
+def compare(df: DataFrame, family: str, wanted: dict[str, list[X.Transform]]) -> DataFrame:
+    """field, candidate, error, chosen: the candidates of some fields, fitted, held against each other and chosen from."""
+    kinds, asked = logical_types(df), [(n, t) for n, ts_ in wanted.items() for t in ts_]
+    params = X.fit(df, asked)
+    found = errors(df, {(n, t.name): (kinds[n], t.apply(clean(df, n), params[n, t.name])) for n, t in asked}, family)
+    pick = best(found, family)
+    return df.sparkSession.createDataFrame([(n, name, float(e), pick[n] == name) for (n, name), e in found.items()], "field string, candidate string, error double, chosen boolean")
+
+
 @dataclass
 class Remediator:
     """Tries transforms on columns under `gate`, family by family, each on the result of the one before. The best
@@ -122,11 +150,7 @@ class Remediator:
             return df, score
         params = X.fit(df, wanted)
         made = {(n, t.name): t.apply(clean(df, n), params[n, t.name]) for n, t in wanted}
-        rank = self._rank(df, {k: (kinds[k[0]], c) for k, c in made.items()}, family)
-        pick = {}
-        for n, t in wanted:  # the first registered of equals
-            if rank.get((n, t.name)) is not None and (n not in pick or rank[n, t.name] < rank[n, pick[n]]):
-                pick[n] = t.name
+        pick = best(errors(df, {k: (kinds[k[0]], c) for k, c in made.items()}, family), family)
         gained = metrics.column_scores(df, {n: (kinds[n], made[n, name]) for n, name in pick.items()})
         take = {n: name for n, name in pick.items() if gained[n] - score[n] > self.gain}
         for n, name in take.items():
@@ -136,26 +160,6 @@ class Remediator:
             return df, score
         return self._kept(df.select(*(made[n, take[n]].alias(n) if n in take else quoted(n) for n in df.columns))), score | {n: gained[n] for n in take}
 
-    def _rank(self, df: DataFrame, made: dict, family: str) -> dict:
-        """How bad each candidate is by its family's evaluator; all in one aggregation."""
-        cells = {}
-        for (n, name), (kind, c) in made.items():
-            old = clean(df, n)
-            if family == "impute":
-                found = {INTEGER: evaluate.imputation_error, FLOAT: evaluate.imputation_error, DATETIME: evaluate.time_error}.get(kind)
-                cells[n, name] = found(old, c)["rmse"] if found else -evaluate.text_accuracy(old, c)["accuracy"] if kind == STRING else None
-            elif family == "normalize":
-                cells[n, name] = evaluate.minmax_error(c)["error"] if "minmax" in name else evaluate.zscore_error(c)["error"] if "zscore" in name else None
-            elif family == "bias" and kind in (INTEGER, FLOAT):
-                cells[n, name] = -evaluate.skew_reduction(old, c)["reduction"]
-            else:
-                cells[n, name] = F.lit(0.0)
-        cells = {k: c for k, c in cells.items() if c is not None}
-        if not cells:
-            return {}
-        row = df.agg(F.count("*"), *(F.max(c) if family == "atypical" or (family == "bias" and made[k][0] == DATETIME) else c for k, c in cells.items())).first()
-        return {k: 0.0 if v is None else v for k, v in zip(cells, row[1:])}
-
     def save(self, folder: str) -> None:
         """What was learnt and done, as two JSON files."""
         Path(folder).mkdir(parents=True, exist_ok=True)

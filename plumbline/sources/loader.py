@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from abc import ABC, abstractmethod
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..types import type_mismatches
-from . import files, rest
+from . import files, opendata, rest
+
+WAIT = 5.0
 
 
 class Loader(ABC):
@@ -20,6 +24,7 @@ class Loader(ABC):
     def __init__(self, spark: SparkSession, on_error: str = "raise"):
         self.spark, self.on_error = spark, on_error
         self.table: DataFrame | None = None
+        self._seen: Observation | None = None
         self.metadata: dict = {"source": self.source, "status": None, "error": None, "timestamp": None, "filters_applied": None}
 
     @abstractmethod
@@ -28,20 +33,34 @@ class Loader(ABC):
     def load(self, **options) -> DataFrame:
         self.metadata |= options | {"filters_applied": options.get("filters"), "timestamp": datetime.now(timezone.utc).isoformat()}
         try:
-            self.table = self.read(**options)
+            self._seen = Observation()
+            self.table = self.read(**options).observe(self._seen, F.count(F.lit(1)).alias("rows"))
         except Exception as error:
             self.metadata |= {"status": "failed", "error": str(error)}
             if self.on_error != "empty":
                 raise
-            self.table = self.spark.createDataFrame([], "")
+            self.table, self._seen = self.spark.createDataFrame([], ""), None
         else:
             self.metadata |= {"status": "success", "error": None, "columns": self.table.columns}
         return self.table
 
-    def row_count(self) -> int:
-        """Counted when asked for, and only once."""
+    def observed(self, wait: float = 0.0) -> int | None:
+        """The rows that the caller's first action on the table has read, without a job; None before it. Spark tells them
+        shortly after the action: wait so many seconds for it. An action that stops early, as take() and show() do, reads
+        a part."""
+        if self._seen is None or self._seen._jo is None:
+            return None
+        until = time.monotonic() + wait
+        while not (done := self._seen._jo.future().isCompleted()) and time.monotonic() < until:
+            time.sleep(0.01)
+        return self._seen.get["rows"] if done else None
+
+    def row_count(self, observed: bool = False) -> int:
+        """observed: the caller has read the whole table by now, so its own action counted the rows. Else, and where that
+        isn't told within WAIT seconds, they are counted, once."""
         if "row_count" not in self.metadata:
-            self.metadata["row_count"] = self.table.count() if self.table is not None else 0
+            seen = self.observed(WAIT) if observed else None
+            self.metadata["row_count"] = seen if seen is not None else self.table.count() if self.table is not None else 0
         return self.metadata["row_count"]
 
     def mismatches(self, policy: dict) -> dict[str, dict[str, str]]:
@@ -58,7 +77,7 @@ def _of(name: str, reader) -> type[Loader]:
 #: By the name of the source; the options of load() are those of the function.
 LOADERS: dict[str, type[Loader]] = {
     name: _of(name, reader)
-    for name, reader in {"csv": files.read_csv, "parquet": files.read_parquet, "json": files.read_json, "excel": files.read_excel, "api": rest.read_api, "socrata": rest.read_socrata, "places": rest.read_places}.items()
+    for name, reader in {"csv": files.read_csv, "parquet": files.read_parquet, "json": files.read_json, "excel": files.read_excel, "api": rest.read_api, "socrata": opendata.read_socrata, "places": rest.read_places}.items()
 }
 
 

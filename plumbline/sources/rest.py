@@ -1,7 +1,8 @@
 """Tables from web services, as a Python data source: executors fetch the pages, a partition each.
 
 Where the end is known only from an empty page, the pages are fetched one after the other in one partition.
-A page that can't be fetched stops the query: a failure is never an empty table.
+A page that can't be fetched after some tries stops the query: a failure is never an empty table. read_api() asks for
+each page once and lands the answers as a table; columns and rows both come from there.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import flatten as flat
+from .landing import land
+
+
+#: Answers that may be others the next time: too many requests, and failures of servers.
+AGAIN = (429, 500, 502, 503, 504)
 
 
 def fetch(options: dict, page: int) -> list:
@@ -37,10 +43,9 @@ def fetch(options: dict, page: int) -> list:
             with urllib.request.urlopen(request, timeout=float(options.get("timeout", 15))) as answer:
                 found = json.loads(answer.read())
             break
-        except urllib.error.HTTPError:
-            raise
-        except (TimeoutError, urllib.error.URLError):
-            if attempt == tries - 1:
+        except (TimeoutError, ConnectionError, urllib.error.URLError) as error:
+            refused = isinstance(error, urllib.error.HTTPError) and error.code not in AGAIN
+            if refused or attempt == tries - 1:
                 raise
             time.sleep(float(options.get("wait", 2)))
     for key in filter(None, options.get("json_path", "").split(".")):
@@ -81,15 +86,16 @@ class RestSource(DataSource):
         return RestReader(dict(self.options))
 
 
-def read_api(spark: SparkSession, url: str, *, method: str = "GET", headers: dict | None = None, params: dict | None = None, body=None, body_type: str = "json", json_path: str = "", timeout: float = 15, pagination: dict | None = None, max_pages: int = 10, disaggregate: bool = True) -> DataFrame:
-    """Records of a JSON service as flat columns. pagination: {param, step, stop_if_empty}."""
+def read_api(spark: SparkSession, url: str, *, method: str = "GET", headers: dict | None = None, params: dict | None = None, body=None, body_type: str = "json", json_path: str = "", timeout: float = 15, tries: int = 3, wait: float = 2, pagination: dict | None = None, max_pages: int = 10, disaggregate: bool = True) -> DataFrame:
+    """Records of a JSON service as flat columns. pagination: {param, step, stop_if_empty}. Pages are fetched when this
+    is called, each once, and landed in the shared folder."""
     spark.dataSource.register(RestSource)
-    own = {"url": url, "method": method, "headers": json.dumps(headers or {}), "params": json.dumps(params or {}), "body_type": body_type, "json_path": json_path, "timeout": timeout, "max_pages": max_pages}
+    own = {"url": url, "method": method, "headers": json.dumps(headers or {}), "params": json.dumps(params or {}), "body_type": body_type, "json_path": json_path, "timeout": timeout, "tries": tries, "wait": wait, "max_pages": max_pages}
     if body is not None:
         own["body"] = body if isinstance(body, str) else json.dumps(body)
     if pagination:
         own |= {"pagination_param": pagination["param"], "pagination_step": pagination.get("step", 100), "stop_if_empty": str(bool(pagination.get("stop_if_empty", True))).lower()}
-    records = spark.read.format("rest").options(**{k: str(v) for k, v in own.items()}).load()
+    records = land(spark.read.format("rest").options(**{k: str(v) for k, v in own.items()}).load(), "api")
     parsed = flat.parse_json(records, "record").select("record.*")
     return flat.flatten(parsed) if disaggregate else parsed
 
@@ -115,25 +121,6 @@ def filtered(df: DataFrame, filters: dict[str, tuple] | None = None, limit: int
     return out.limit(limit) if limit is not None else out
 
 
-def soql(filters: dict[str, tuple] | None = None, limit: int = 1_000_000) -> str:
-    """The same as query text for an open-data service; quotes in values are doubled, names are checked."""
-    parts = []
-    for name, (op, value) in (filters or {}).items():
-        if op.lower() not in OPERATORS or not name.replace("_", "").isalnum():
-            raise ValueError(f"not a condition: {name} {op}")
-        text = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-        parts.append(f"{name} {op} ({', '.join(map(text, value))})" if op.lower() == "in" else f"{name} {op} {text(value)}")
-    return "SELECT *" + (f" WHERE {' AND '.join(parts)}" if parts else "") + f" LIMIT {int(limit)}"
-
-
-def read_socrata(spark: SparkSession, domain: str, code: str, filters: dict[str, tuple] | None = None, limit: int = 1_000_000) -> DataFrame:
-    """A data set of an open-data service; filter and limit run there. Ten tries, two seconds apart."""
-    spark.dataSource.register(RestSource)
-    base = domain if "://" in domain else f"https://{domain}"
-    records = spark.read.format("rest").options(url=f"{base}/resource/{code}.json", params=json.dumps({"$query": soql(filters, limit)}), tries="10", wait="2", timeout="60").load()
-    return flat.parse_json(records, "record").select("record.*")
-
-
 def read_places(spark: SparkSession, base: str, call: str, key: str, **params) -> DataFrame:
     """Place search by name of the call: textsearch, nearbysearch, autocomplete, details or reviews."""
     path = {"textsearch": "results", "nearbysearch": "results", "autocomplete": "predictions", "details": "result", "reviews": "result.reviews"}[call]

@@ -4,6 +4,7 @@ import http.server
 import io
 import json
 import math
+import random
 import threading
 import zipfile
 from statistics import NormalDist
@@ -14,10 +15,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators import flatten, metrics, profile, rules, sampling
+from plumbline.operators import flatten, metrics, profile, rules, sampling, states
 from plumbline.operators import transforms as X
 from plumbline.plans import improve, monitor, policy, remediate
-from plumbline.sources import audit, files, loader, rest
+from plumbline.sources import audit, files, loader, opendata, rest
 from plumbline.streaming import live
 from plumbline.types import content_types, logical_types, parse_time
 
@@ -164,9 +165,9 @@ def test_web_services(spark, service):
     assert sorted(r.id for r in many.collect()) == [0, 1, 2, 3]
     with pytest.raises(Exception):
         rest.read_api(spark, f"{service}/fail").count()
-    assert rest.soql({"a": (">", 1), "b": ("=", "o'x")}, 5) == "SELECT * WHERE a > 1 AND b = 'o''x' LIMIT 5"
+    assert opendata.soql({"a": (">", 1), "b": ("=", "o'x")}, 5) == "SELECT * WHERE a > 1 AND b = 'o''x' LIMIT 5"
     with pytest.raises(ValueError):
-        rest.soql({"a; drop": ("=", 1)})
+        opendata.soql({"a; drop": ("=", 1)})
 
 
 def test_audit_log_keeps_one_row_an_id(spark, tmp_path):
@@ -179,7 +180,12 @@ def test_audit_log_keeps_one_row_an_id(spark, tmp_path):
         log.log_error("broken", {"k": 1})
         log.save()
         rows = {r.uuid: r for r in log.load().collect()}
-        assert len(rows) == 2 and json.loads(rows["u"].record)["a"] == 'x,"y"' and log.compact(str(tmp_path / f"{kind}-new")).path
+        assert len(rows) == 2 and json.loads(rows["u"].record)["a"] == 'x,"y"' and log.load().count() == 2
+        log.compact()
+        assert {r.uuid: tuple(r) for r in log.load().collect()} == {k: tuple(v) for k, v in rows.items()} and log.vacuum() == 2 and log.load().count() == 2
+        log.log({"uuid": "u", "a": "later", "timestamp": "1900-01-01"})  # another clock: the first save stays
+        log.save()
+        assert json.loads(log.load().where("uuid = 'u'").first().record)["a"] == 'x,"y"'
     with pytest.raises(ValueError):
         audit.AuditLog(spark, "x", "xml")
 
@@ -215,7 +221,7 @@ def test_engines_run_and_scores_do_not_fall(spark):
     assert report["custom_pipeline_measures"]["phases"] >= 5 and report["cleaning"]["impact"]["s"] == 25.0 and "custom_largest" in report["ingestion"]["field_metrics"]["x"]
     with pytest.raises(ValueError):
         monitor.Monitor(df, p).evaluate_phase("other")
-    found = improve.Improver(report["ingestion"]["field_metrics"], p, [{"field_improvements": {"a": i}, "quality_score_improvement": 2.0 * i + 1} for i in range(5)])
+    found = improve.Improver(report["ingestion"]["field_metrics"], p, spark.createDataFrame([({"a": float(i)}, 2.0 * i + 1) for i in range(5)], improve.HISTORY))
     assert found.predict({"a": 10}) == pytest.approx(21) and found.recommendations(df)["global"] and all(r.potential_score >= r.current_score for r in found.chart(spark).collect())
 
 
@@ -290,7 +296,12 @@ def test_json_text_at_any_depth_and_its_errors(spark):
 def test_loaders_tell_what_they_read(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
     own = loader.loader(spark, "csv")
-    assert own.load(path=str(tmp_path / "a.csv")).columns == ["k", "v"] and own.row_count() == 2
+    found = own.load(path=str(tmp_path / "a.csv"))
+    assert found.columns == ["k", "v"] and own.observed() is None
+    assert len(found.collect()) == 2 and own.row_count(observed=True) == 2 and own.observed() == 2 and own.metadata["row_count"] == 2
+    other = loader.loader(spark, "csv")
+    other.load(path=str(tmp_path / "a.csv"))
+    assert other.row_count() == 2
     assert own.metadata["status"] == "success" and own.metadata["path"].endswith("a.csv") and own.mismatches({"fields": {"k": {"type": "string"}}}) == {"k": {"expected": "string", "actual": "integer"}}
     with pytest.raises(Exception):
         loader.loader(spark, "parquet").load(path=str(tmp_path / "none"))
@@ -317,6 +328,213 @@ def test_csv_comes_from_the_web(spark):
     assert sorted(tuple(r) for r in df.collect()) == [(1, "a"), (2, "c")]
 
 
+def test_two_writers_a_reader_and_a_compaction(spark, tmp_path):
+    path = str(tmp_path / "log")
+    seen, failed = [], []
+
+    def write(who):
+        try:
+            own = audit.AuditLog(spark, path)
+            for i in range(6):
+                own.log({"uuid": f"{who}{i}"})
+                own.save()
+        except Exception as error:  # told by the test
+            failed.append(error)
+
+    def compact():
+        try:
+            for _ in range(4):
+                audit.AuditLog(spark, path).compact()
+                seen.append(audit.AuditLog(spark, path).load().count())
+        except Exception as error:
+            failed.append(error)
+
+    tasks = [threading.Thread(target=write, args=("a",)), threading.Thread(target=write, args=("b",)), threading.Thread(target=compact)]
+    for t in tasks:
+        t.start()
+    for t in tasks:
+        t.join()
+    own = audit.AuditLog(spark, path)
+    assert not failed and seen == sorted(seen) and own.load().count() == own.load().select("uuid").distinct().count() == 12
+    # data without a commit, as a failed job leaves it, isn't seen
+    spark.createDataFrame([("lost",) + (None,) * 7], audit.STORED).write.parquet(f"{path}/data/half")
+    assert own.load().count() == 12 and own.compact().load().count() == 12
+    own.append(spark.range(3).selectExpr("concat('r', id) AS uuid", "id"), status="new")
+    assert own.load().where("status = 'new'").count() == 3
+
+
+@pytest.fixture
+def asked(spark):
+    """An open-data service of 50 rows, and the queries it was asked."""
+    rows = [{"id": str(i), "name": None if i % 7 == 0 else f"n{i % 5}", "ok": i % 2 == 0, "at": f"2024-01-{i % 28 + 1:02d}T00:00:00.000", "place": {"x": i}} for i in range(50)]
+    table = spark.createDataFrame([(float(r["id"]), r["name"], r["ok"], r["at"], i) for i, r in enumerate(rows)], "id double, name string, ok boolean, at string, row long")
+    queries = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlparse(self.path)
+            if url.path.startswith("/api/views"):
+                kinds = {"id": "number", "name": "text", "ok": "checkbox", "at": "calendar_date", "place": "point"}
+                body = {"columns": [{"fieldName": n, "dataTypeName": k} for n, k in kinds.items()]}
+            else:
+                query = parse_qs(url.query)["$query"][0]
+                queries.append(query)
+                rest_of = query.split(" AS n" if "count(" in query else "*", 1)[1]
+                found = spark.sql("SELECT row FROM {t}" + rest_of.replace(":id", "row"), t=table).collect()
+                body = [rows[r.row] for r in found] if "count(" not in query else [{"n": str(len(found))}]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", queries
+    server.shutdown()
+
+
+def test_filters_are_pushed_to_the_service(spark, asked):
+    url, queries = asked
+    df = opendata.read_socrata(spark, url, "ab", limit=None, page=10, stretch=25)
+    assert df.dtypes == [("id", "double"), ("name", "string"), ("ok", "boolean"), ("at", "timestamp_ntz"), ("place", "string")]
+    whole = df.collect()
+    assert len(whole) == 50 and json.loads(whole[3].place) == {"x": 3} and whole[3].at.day == 4
+    assert len(queries) == 1 + 6 and all("WHERE" not in q for q in queries)  # one count, and each page once: 25 rows are 3 pages
+    cases = {
+        "id > 20 AND ok": "id > 20.0",
+        "name = 'n1'": "name = 'n1'",
+        "name IN ('n1', 'n2')": "name IN ('n1', 'n2')",
+        "name IS NULL": "name IS NULL",
+        "name LIKE 'n%'": "name LIKE 'n%'",
+        "name LIKE '%1'": "name LIKE '%1'",
+        "NOT name = 'n1'": "NOT (name = 'n1')",
+        "id <= 5": "id <= 5.0",
+        "at >= TIMESTAMP_NTZ'2024-01-20 00:00:00'": None,
+    }
+    for condition, text in cases.items():
+        queries.clear()
+        found = df.where(condition).collect()
+        assert sorted(r.id for r in found) == sorted(r.id for r in spark.createDataFrame(whole, df.schema).where(condition).collect()), condition
+        assert text is None or (all(text in q for q in queries) and queries), (condition, queries)
+    queries.clear()
+    assert df.where("id % 3 = 1 AND id < 10").count() == 3 and all("id < 10.0" in q and "%" not in q for q in queries)  # what the service can't take is left to Spark
+    queries.clear()
+    some = opendata.read_socrata(spark, url, "ab", {"id": (">=", 10)}, limit=20).where("id < 15")  # a limit counts rows before where()
+    assert sorted(r.id for r in some.collect()) == [10, 11, 12, 13, 14] and all("id >= 10" in q and "id <" not in q for q in queries)
+
+
+def test_each_page_is_fetched_once(spark):
+    asked_for = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = int(parse_qs(urlparse(self.path).query)["at"][0])
+            asked_for.append(at)
+            again = at == 1 and asked_for.count(1) == 1
+            self.send_response(503 if again else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps([{"id": at, "more": {"k": [at, at]}}] if at < 3 else []).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    df = rest.read_api(spark, f"http://127.0.0.1:{server.server_port}/", pagination={"param": "at", "step": 1}, wait=0.01)
+    assert sorted(r.id for r in df.collect()) == [0, 1, 2] and df.count() == 3 and df.columns == ["id", "more_k_0", "more_k_1"]
+    server.shutdown()
+    assert asked_for == [0, 1, 1, 2, 3]  # a page that failed is asked for again, the others once
+
+
+def test_a_stream_goes_on_with_its_baseline(spark, tmp_path):
+    """Stopped after two batches and started anew, it raises the alerts of one that was never stopped."""
+    rows = [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, None], [None, None, None, 8.0], [9.0, 10.0, 11.0, 12.0]]
+    policy_ = {"fields": [{"field_name": "x", "type": "float"}]}
+
+    def run(name, stops):
+        src, seen = tmp_path / name / "in", []
+        spark.createDataFrame([], "x double").write.parquet(str(src))
+        query = None
+        for i, own in enumerate(rows):
+            if query is None:
+                query = live.watch(spark.readStream.schema("x double").parquet(str(src)), policy_, str(tmp_path / name / "ck"), lambda n, m, drift: seen.append((n, drift and round(drift, 6))), threshold=5.0)
+            spark.createDataFrame([(x,) for x in own], "x double").coalesce(1).write.mode("append").parquet(str(src))
+            query.processAllAvailable()
+            if i in stops:
+                query.stop()
+                query = None
+        if query:
+            query.stop()
+        return [d for _, d in seen]
+
+    once, often = run("once", ()), run("often", (1, 2))
+    assert once == often and len(once) >= 3 and once[0] is None and once[-1] is not None
+    known = live.Baselines(spark, str(tmp_path / "base"))
+    for n in (1, 2, 2, 5):
+        known.put(n, {"score": n})
+    assert known.before(2) == {"score": 1} and known.before(5) == {"score": 2} and known.before(9) == {"score": 5} and known.before(1) is None
+
+
+def test_quantiles_of_all_columns_come_from_ranges(spark):
+    rng = random.Random(2)
+    rows = [(float(rng.randrange(50)), rng.randrange(10**6), None if i % 3 else rng.random(), "7" if i % 2 else str(rng.randrange(9))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b long, c double, d string")
+    per = profile.value_counts(df, [F.col(c) for c in df.columns]).withColumn("x", profile.as_number())
+    found = profile.quantiles_by(per, [0.0, 0.1, 0.25, 0.5, 0.75, 1.0])
+
+    for i, c in enumerate(df.columns):
+        values = np.array([float(r[i]) for r in rows if r[i] is not None])
+        assert found[i] == pytest.approx(np.quantile(values, [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]).tolist()), c
+    ranged = per.where("x is not null").repartitionByRange(16, "i", "x").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in ranged.collect()) < per.count() / 8  # no task has a column
+    assert profile.quantiles_by(per.where("false"), [0.5]) == {}
+    kinds, quartiles = profile.by_value(df, {c: F.col(c) for c in df.columns}, [True] * 4)
+    assert kinds == {c: len({r[i] for r in rows if r[i] is not None}) for i, c in enumerate(df.columns)} and set(quartiles) == set(df.columns)
+
+
+def test_states_add_up(spark):
+    rng = random.Random(4)
+    rows = [(i % 7, None if i % 11 == 0 else rng.gauss(100, 15) ** (1 + i % 2), i % 3 == 0, None if i % 5 == 0 else f"t{i % 400}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "day int, x double, ok boolean, t string")
+    apart = states.merge(states.build(df.where("day < 3"), {"day": F.col("day")}).unionByName(states.build(df.where("day >= 3"), {"day": F.col("day")})))
+    whole = {(r.field, r.metric): r.value for r in states.metrics(states.build(df.drop("day"))).collect()}
+    merged = {(r.field, r.metric): r.value for r in states.metrics(apart).collect()}
+    assert set(whole) == set(merged)
+    exact = {(r.field, r.metric): r.value for r in profile.numeric(df, ["x"]).collect()}
+    for (n, m), v in merged.items():
+        if not m.startswith("approx"):
+            assert v == pytest.approx(whole[n, m], rel=1e-9), (n, m)
+            assert (n, m) not in exact or v == pytest.approx(exact[n, m], rel=1e-9), (n, m)
+    assert merged["t", "approx_unique"] == pytest.approx(320, rel=5 * states.ERRORS["approx_unique"])
+    values = sorted(r[1] for r in rows if r[1] is not None)
+    for p, m in ((0.25, "approx_p25"), (0.5, "approx_median"), (0.75, "approx_p75")):
+        assert abs(sum(v <= merged["x", m] for v in values) / len(values) - p) < 3 * states.ERRORS["rank"]
+    by_day = states.build(df, {"day": F.col("day")})
+    again = states.merge(states.merge(by_day.where("day < 5")).unionByName(states.merge(by_day.where("day >= 5"))))  # in any order
+    assert {(r.field, r.metric): r.value for r in states.metrics(again).where("metric = 'kurtosis'").collect()}["x", "kurtosis"] == pytest.approx(exact["x", "kurtosis"], rel=1e-9)
+    assert states.metrics(states.merge(by_day.where("false"))).count() == 0
+
+
+def test_a_model_is_fitted_by_aggregation(spark):
+    rows = [({"a": float(i), "b": float(i * i % 7)} if i % 4 else {"a": float(i)}, 3.0 + 2.0 * i - 0.5 * (i * i % 7 if i % 4 else 0)) for i in range(60)] + [({"a": 1.0}, None)]
+    own = improve.model(spark.createDataFrame(rows, improve.HISTORY).repartition(5))
+    assert own.predict({"a": 10.0, "b": 4.0}) == pytest.approx(21.0) and own.predict({}) == pytest.approx(3.0)
+    twins = improve.model(spark.createDataFrame([({"a": float(i), "b": float(i)}, 2.0 * i) for i in range(9)], improve.HISTORY))  # features that depend on each other
+    assert twins.weights == pytest.approx((1.0, 1.0)) and twins.predict({"a": 4.0, "b": 4.0}) == pytest.approx(8.0)
+    assert improve.model(spark.createDataFrame([], improve.HISTORY)) is None and improve.Improver({}, {}).predict({"a": 1}) is None
+
+
+def test_workbooks_over_partitions(spark):
+    df = spark.createDataFrame([(i, f"n{i}" if i % 3 else None, i / 4, i % 2 == 0) for i in range(12_000)], "k long, name string, x double, even boolean")
+    back = files.excel_tables(files.to_excel(df.repartition(3)))
+    assert back.dtypes == [("k", "double"), ("name", "string"), ("x", "double"), ("even", "boolean")]
+    assert back.exceptAll(df.select(F.col("k").cast("double").alias("k"), "name", "x", "even")).isEmpty() and back.count() == 12_000
+    with pytest.raises(ValueError):
+        files.excel_tables(files.to_excel(df.limit(0)))
+
+
 def test_stream_is_profiled_by_batch(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([(float(i), "2020-01-01") for i in range(20)], "x double, t string").write.parquet(str(src))
