@@ -32,6 +32,7 @@ class Transform:
     kinds: tuple[str, ...]
     apply: Callable[[Column, Params], Column]
     stages: tuple["Callable[[Column, Params], dict[str, Column]] | Search", ...] = ()
+    affine: bool = False
 
 
 def fit(df: DataFrame, wanted: list[tuple[str, Transform]]) -> dict[tuple[str, str], Params]:
@@ -120,8 +121,8 @@ def _minmax(c: Column, p: Params) -> Column:
     return (num(c) - p["lo"]) / ((p["hi"] - p["lo"]) or 1.0)
 
 
-minmax = Transform("normalize_minmax", "normalize", NUMBER, _minmax, (lambda c, p: {"lo": F.min(num(c)), "hi": F.max(num(c))},))
-zscore = Transform("normalize_zscore", "normalize", NUMBER, lambda c, p: (num(c) - p["mean"]) / p["std"] if p["std"] else num(c), (lambda c, p: {"mean": F.avg(num(c)), "std": F.stddev_samp(num(c))},))
+minmax = Transform("normalize_minmax", "normalize", NUMBER, _minmax, (lambda c, p: {"lo": F.min(num(c)), "hi": F.max(num(c))},), affine=True)
+zscore = Transform("normalize_zscore", "normalize", NUMBER, lambda c, p: (num(c) - p["mean"]) / p["std"] if p["std"] else num(c), (lambda c, p: {"mean": F.avg(num(c)), "std": F.stddev_samp(num(c))},), affine=True)
 
 
 def text_cleaner(words: list[str] | None = None, keep_marks: bool = False) -> Transform:

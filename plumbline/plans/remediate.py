@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, metrics
 from ..operators import transforms as X
+from ..sources import landing
 from ..types import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, clean, content_types, is_missing, logical_types, quoted
 
 FAMILIES = ("impute", "normalize", "atypical", "bias")
@@ -135,17 +136,21 @@ class Remediator:
                 break
         for table in self._tables:
             if table is not best:
-                table.unpersist()
+                landing.drop(table)
         self._tables = []
         return best, best_score
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        """The table of an accepted step, kept so that the next ones don't go back to the source through all before."""
-        self._tables.append(df.persist())
-        return df
+        """The table of an accepted step, written: the next ones go back no further, even if executors are lost. The best
+        one is what run() returns, and landing.drop() is for when it is done with."""
+        self._tables.append(landing.land(df, "remediated"))
+        return self._tables[-1]
 
     def _family(self, df: DataFrame, kinds: dict, score: dict, family: str, accepted: dict) -> tuple[DataFrame, dict]:
         wanted = [(n, t) for n in df.columns if n in score and score[n] < self.gate for t in self.candidates if t.family == family and kinds[n] in t.kinds]
+        if self.gain > 0:  # another scale alone is no gain: shares, repeats and skewness stay
+            moved = {n for n, t in wanted if not t.affine}
+            wanted = [(n, t) for n, t in wanted if n in moved]
         if not wanted:
             return df, score
         params = X.fit(df, wanted)

@@ -20,6 +20,12 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete the files of a table that land() wrote."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove(table.sparkSession, path)
+
+
 def _at(spark: SparkSession, path: str):
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
