@@ -4,11 +4,14 @@ Each dimension is quantised to 2**bits cells; a row's cell has an index on the c
 by it are cut into runs of equal row counts, so a shard holds a compact region and files can be pruned
 in all three dimensions. There are 2**(3 bits) cells at most, a fixed number.
 
+Equal texts stand together: copies in several languages or sources all go to the cell of the one with the
+smallest doc_id, and are neighbours there, so only the cuts between shards come between them.
+
 The rank of a row is exact without one global sort: documents are read once, into a narrow table; rows
-are counted by cell, crowded cells are split by a hash of the text into parts of about `part_rows`, and
-a part that equal texts overfill into pieces by doc_id. Cells are summed up along the curve, parts within
-their cell, and a row's place within its part comes from a window over that part alone. A cell that holds
-a third of all rows is so dealt over many tasks.
+are counted by cell, and crowded cells are split by a hash of the text into parts of about `part_rows`. A
+text of more copies than that is a part of its own, in pieces by doc_id. Cells are summed up along the
+curve, parts within their cell, and a row's place within its part comes from a window over that part alone.
+A cell, or a text, that holds a third of all rows is so dealt over many tasks.
 
 Law `rows`: shard = floor(rank * shards / rows), so counts differ by one at most.
 
@@ -71,29 +74,45 @@ def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, part_rows: i
     spark = docs.sparkSession
     cells = 1 << bits
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    base = docs.select(
-        "doc_id",
-        size.alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("lang"), F.lit(cells)).alias("x"),
-        F.pmod(F.xxhash64("source"), F.lit(cells)).alias("y"),
-        F.least(F.floor(F.log2(size.cast("double")) * 2), F.lit(cells - 1)).cast("long").alias("z"),
+    text = ["size", "text_crc32", "hash"]
+    rows = materialize(
+        docs.select(
+            "doc_id",
+            size.alias("size"),
+            F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+            F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
+            F.pmod(F.xxhash64("lang"), F.lit(cells)).alias("x"),
+            F.pmod(F.xxhash64("source"), F.lit(cells)).alias("y"),
+            F.least(F.floor(F.log2(size.cast("double")) * 2), F.lit(cells - 1)).cast("long").alias("z"),
+        ),
+        "rows",
     )
+    # texts whose rows differ in cell go where their first row goes; texts of very many rows are parts of their own
+    apart = (F.min("x") != F.max("x")) | (F.min("y") != F.max("y"))
+    groups = rows.groupBy(*text).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "x", "y")).alias("first"), apart.alias("apart")).where((F.col("copies") > part_rows) | F.col("apart"))
+    groups = materialize(groups.select(*text, "copies", F.col("first.x").alias("x1"), F.col("first.y").alias("y1")), "groups")
+    base = rows.join(groups, text, "left").withColumns({"x": F.coalesce("x1", "x"), "y": F.coalesce("y1", "y")})
     # the curve is a fixed table: 32768 rows for 5 bits
-    base = materialize(base.join(F.broadcast(curve(spark, bits)), ["x", "y", "z"]).select("doc_id", "size", "text_crc32", "h"), "cells")
+    base = materialize(base.join(F.broadcast(curve(spark, bits)), ["x", "y", "z"]).select("doc_id", *text, "copies", "h"), "cells")
     upto = lambda *by: Window.partitionBy(*by[:1]).orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, -1)
     per_cell = base.groupBy("h").agg(F.count("*").alias("cell_rows"))  # a row for each cell
     along = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     per_cell = per_cell.withColumn("first", F.coalesce(F.sum("cell_rows").over(along), F.lit(0))).withColumn("total", F.sum("cell_rows").over(Window.partitionBy()))
     per_cell = per_cell.withColumn("parts", F.ceil(F.col("cell_rows") / F.lit(part_rows)))
-    parted = base.join(F.broadcast(per_cell), "h").withColumn("part", F.pmod(F.xxhash64("text_crc32", "size"), F.col("parts")))
-    heavy = parted.groupBy("h", "part").agg(F.ceil(F.count("*") / F.lit(2 * part_rows)).alias("pieces")).where("pieces > 1")
-    parted = parted.join(heavy, ["h", "part"], "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.lit(0)))
-    key = ["h", "part", "piece"]
+    many = F.col("copies") > part_rows
+    parted = base.join(F.broadcast(per_cell), "h").withColumns(
+        {
+            "part": F.pmod(F.xxhash64(*text), F.col("parts")),
+            "own": F.when(many, F.col("hash")),  # null, and first in order, for all other texts of the part
+            "piece": F.when(many, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("copies") / F.lit(part_rows)))).otherwise(F.lit(0)),
+        }
+    )
+    key = ["h", "part", "own", "piece"]
     counts = parted.groupBy(*key).agg(F.count("*").alias("rows"))
     before = counts.withColumn("before", F.coalesce(F.sum("rows").over(upto(*key)), F.lit(0))).drop("rows")  # within a cell
-    placed = parted.join(before, key)
-    inside = F.row_number().over(Window.partitionBy(*key).orderBy("text_crc32", "size", "doc_id")) - 1
+    before = before.withColumnsRenamed({k: f"{k}_" for k in key})
+    placed = parted.join(before, F.expr(" AND ".join(f"{k} <=> {k}_" for k in key)))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy(*text, "doc_id")) - 1
     ranked = placed.withColumn("rank", F.col("first") + F.col("before") + inside)
     exact = F.expr(f"(rank * {shards}) div total")
     first = F.expr(f"(((rank * {shards}) div total) * total + {shards - 1}) div {shards}")

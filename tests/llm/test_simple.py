@@ -170,3 +170,24 @@ def test_shards_are_even_gapless_and_follow_the_curve(spark):
     few = sharding.assign(docs_of(spark, ["a", "b", "c"]))
     assert sorted(r.slot for r in few.collect()) == [0, 0, 0]
     assert sharding.assign(docs_of(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("part_rows", [5_000, 20, 3])
+def test_equal_texts_stand_together_in_shards(spark, sf, part_rows):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    copies = docs.where("doc_id % 4 = 0").select((F.col("doc_id") + 10_000).alias("doc_id"), "text", F.lit("xx").alias("lang"), F.concat("source", F.lit("b")).alias("source"))
+    hot = spark.range(90).select((F.col("id") + 20_000).alias("doc_id"), F.lit("one text").alias("text"), F.concat(F.lit("l"), F.col("id") % 5).alias("lang"), F.when(F.col("id") % 3 > 0, F.lit("s")).alias("source"))
+    empty = spark.createDataFrame([(30_000, None, "a", "b"), (30_001, "", None, None), (None, "one text", "q", "q")], docs.schema)
+    whole = docs.union(copies).union(hot).union(empty)
+    got = sharding.assign(whole, part_rows=part_rows).collect()
+    text = {r.doc_id: r.text or "" for r in whole.collect()}
+    assert sorted(r.rank for r in got) == list(range(whole.count()))
+    sizes = [sum(r.shard == k for r in got) for k in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    places = {}
+    for r in got:
+        places.setdefault(text[r.doc_id], []).append(r)
+    assert len([p for p in places.values() if len(p) > 1]) > 40
+    for own in places.values():
+        assert max(r.rank for r in own) - min(r.rank for r in own) == len(own) - 1  # neighbours on the curve
+    assert sum(len({r.shard for r in own}) > 1 for own in places.values()) <= 15
