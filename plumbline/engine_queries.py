@@ -107,7 +107,7 @@ add(
     "remediate_by_type", lambda s, d: remediate.by_type(dirty(s, d).select("o_orderkey", "priority", "code", "large")),
     D + "SELECT o_orderkey, coalesce(replace(lower(priority), '-', ''), '') AS priority, code, large FROM d",
 )
-add("profile_events_temporal_bounded", lambda s, d: profile.temporal(table(s, d, "events"), "ts", exact=False),
+add("profile_events_temporal_bounded", lambda s, d: profile.temporal(table(s, d, "events"), "ts"),
     "WITH g AS (SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts)) / 1e6 AS gap FROM events), a AS (SELECT quantile_cont(gap, 0.5) AS med, max(gap) AS top FROM g WHERE gap IS NOT NULL) "
     "SELECT 'ts' AS field, round(med, 6) AS median_gap, round(top, 6) AS max_gap, round(CASE WHEN top > 2 * med THEN top / med - 2 ELSE 0 END, 6) AS temporal_anomaly FROM a")
 add("eval_time_error", lambda s, d: dirty(s, d).agg(*(c.alias(n) for n, c in evaluate.time_error(F.col("placed"), F.timestamp_micros(F.unix_micros(F.col("placed").cast("timestamp")) + (F.col("o_orderkey") % 7) * 1_000_000)).items())),

@@ -1,4 +1,4 @@
-"""Text expressions, and the two functions that Spark lacks: likeness of strings and the normal quantile."""
+"""Text expressions, and a function that Spark lacks: the normal quantile."""
 
 from functools import reduce
 
@@ -57,18 +57,6 @@ def masked(c: Column) -> Column:
     return F.when(F.length(text) > 3, F.concat(F.substring(text, 1, 2), F.lit("***"))).otherwise(text)
 
 
-def likeness(a: str, b: str) -> Column:
-    """Share of matching characters of two strings by longest common blocks, 0 to 1."""
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
-
-    return ratio(a, b)
-
-
 #: The coefficients of Wichura's rational approximations to the normal quantile (algorithm AS 241), from
 #: the highest power down, for the middle, for the tails, and for the far tails.
 MIDDLE = (

@@ -73,8 +73,8 @@ def security_compliant(c: Column, kind: str, security: str) -> Column:
 
 
 def custom(df: DataFrame, cells: dict[Any, Callable[[], Column]]) -> dict[Any, Any]:
-    """Values of metrics of one's own, all in one aggregation. Where that fails, each is worked out by itself, and
-    those that fail, when made or when run, are None."""
+    """Values of metrics of one's own, all in one aggregation. Where that fails, each half is worked out by itself, and
+    so on; those that fail alone, when made or when run, are None."""
     if not cells:
         return {}
     try:
@@ -83,7 +83,8 @@ def custom(df: DataFrame, cells: dict[Any, Callable[[], Column]]) -> dict[Any, A
     except Exception:  # whatever a function of the caller's may raise
         if len(cells) == 1:
             return dict.fromkeys(cells)
-    return {k: v for key, make in cells.items() for k, v in custom(df, {key: make}).items()}
+    keys, half = list(cells), len(cells) // 2
+    return {k: v for part in (keys[:half], keys[half:]) for k, v in custom(df, {key: cells[key] for key in part}).items()}
 
 
 def field_metrics(df: DataFrame, policy: dict, registry: Registry | None = None, phase: str = "ingestion") -> dict[str, dict]:

@@ -65,8 +65,9 @@ def as_number() -> Column:
     return F.coalesce("v", F.col("l").cast("double"), num(F.col("s")))
 
 
-def quantiles_by(per: DataFrame, shares: list[float]) -> dict[int, list[float]]:
-    """Exact quantiles, linear between neighbours, of counts by value (i, x, n) for all i at once. The values are dealt into
+def quantiles_by(per: DataFrame, shares: list[float] | dict[int, list[float]]) -> dict[int, list[float]]:
+    """Exact quantiles, linear between neighbours, of counts by value (i, x, n) for all i at once, of the same shares or of
+    some for each. Those without values are left out. The values are dealt into
     ranges and these summed up; only those that hold a wanted rank are ordered, a task each. What comes to the driver is
     a row for each range, and two values for each quantile."""
     ranged = per.where("x is not null").select("i", "x", "n").repartitionByRange("i", "x").withColumn("part", F.spark_partition_id()).persist()
@@ -75,7 +76,8 @@ def quantiles_by(per: DataFrame, shares: list[float]) -> dict[int, list[float]]:
         totals: dict[int, int] = {}
         for r in sizes:
             totals[r.i] = totals.get(r.i, 0) + r.size
-        places = {i: [((n - 1) * p, math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in shares] for i, n in totals.items()}
+        of = lambda i: shares.get(i, []) if isinstance(shares, dict) else shares
+        places = {i: [((n - 1) * p, math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in of(i)] for i, n in totals.items()}
         below, holding = dict.fromkeys(totals, 0), []
         for r in sizes:
             own = sorted({k - below[r.i] for _, *ends in places[r.i] for k in ends if below[r.i] <= k < below[r.i] + r.size})
@@ -89,7 +91,8 @@ def quantiles_by(per: DataFrame, shares: list[float]) -> dict[int, list[float]]:
         placed = ranged.join(wanted, ["i", "part"]).withColumn("end", upto).withColumn("begin", F.col("end") - F.col("n"))
         hit = placed.select("i", "x", "below", F.filter("ranks", lambda k: (F.col("begin") <= k) & (k < F.col("end"))).alias("ranks")).where("size(ranks) > 0")
         at = {(r.i, r.below + k): r.x for r in hit.collect() for k in r.ranks}
-        return {i: [at[i, lo] if lo == hi else (hi - pos) * at[i, lo] + (pos - lo) * at[i, hi] for pos, lo, hi in own] for i, own in places.items()}
+        between = lambda i, pos, lo, hi: at[i, lo] if at[i, lo] == at[i, hi] else (hi - pos) * at[i, lo] + (pos - lo) * at[i, hi]
+        return {i: [between(i, *place) for place in own] for i, own in places.items()}
     finally:
         ranged.unpersist()
 
@@ -194,27 +197,6 @@ def below(per: DataFrame) -> DataFrame:
     return sizes.withColumn("below", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def median(per: DataFrame, value: str) -> float | None:
-    """The exact median of counts by value (value, n), from the ranges that hold the middle alone: no task orders all."""
-    ranged = dealt(per.select(F.col(value).alias("v"), "n").where("v is not null").groupBy("v").agg(F.sum("n").alias("n")), "v").persist()
-    try:
-        sizes = below(ranged).collect()  # a row per range
-        total = sum(r.size for r in sizes)
-        if not total:
-            return None
-        middle = {(total - 1) // 2, total // 2}
-        holding = {r.part: r.below for r in sizes if any(r.below <= k < r.below + r.size for k in middle)}
-        own = ranged.where(F.col("part").isin(list(holding)))
-        upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        start = F.create_map(*(F.lit(x) for k, v in holding.items() for x in (k, v)))[F.col("part")]
-        placed = own.withColumn("end", upto + start).withColumn("begin", F.col("end") - F.col("n"))
-        hit = [placed.where((F.col("begin") <= k) & (F.lit(k) < F.col("end"))).select("v") for k in sorted(middle)]
-        found = [r.v for r in reduce(DataFrame.unionByName, hit).collect()]  # two at most
-        return sum(found) / len(found)
-    finally:
-        ranged.unpersist()
-
-
 def time_gaps(df: DataFrame, name: str) -> DataFrame:
     """gap_seconds, n: the gaps between neighbouring times and how often each occurs. Equal times are counted
     first, and the others of each range are ordered in that range; a range passes its last time on, so no single
@@ -229,14 +211,16 @@ def time_gaps(df: DataFrame, name: str) -> DataFrame:
     return between.unionByName(same).groupBy("gap_seconds").agg(F.sum("n").alias("n"))
 
 
-def temporal(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
-    """One row: field, median_gap, max_gap (seconds), temporal_anomaly (max over median less 2, if over 2). Either way the
-    median is exact; with exact=False no task holds all distinct gaps, at the price of more jobs."""
-    gaps = time_gaps(df, name)
-    middle = F.percentile(F.col("gap_seconds"), F.lit(0.5), F.col("n")) if exact else F.lit(median(gaps, "gap_seconds")).cast("double")
-    row = gaps.agg(middle.alias("median_gap"), F.max("gap_seconds").alias("max_gap"))
-    ratio = F.try_divide("max_gap", "median_gap")
-    return row.select(F.lit(name).alias("field"), "median_gap", "max_gap", F.when(ratio > 2, ratio - 2).otherwise(0.0).alias("temporal_anomaly"))
+def temporal(df: DataFrame, name: str) -> DataFrame:
+    """One row: field, median_gap, max_gap (seconds), temporal_anomaly (max over median less 2, if over 2)."""
+    gaps = time_gaps(df, name).persist()
+    try:
+        middle = quantiles_by(gaps.select(F.lit(0).alias("i"), F.col("gap_seconds").alias("x"), "n"), [0.5]).get(0, [None])[0]
+        top = gaps.agg(F.max("gap_seconds")).first()[0]
+    finally:
+        gaps.unpersist()
+    odd = top / middle - 2 if middle and top / middle > 2 else 0.0
+    return df.sparkSession.createDataFrame([(name, middle, top, odd)], "field string, median_gap double, max_gap double, temporal_anomaly double")
 
 
 def entropy(df: DataFrame, names: list[str]) -> DataFrame:

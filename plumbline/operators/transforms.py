@@ -18,13 +18,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import stats, text
+from ..functions import text
 from ..types import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, clean, num, quoted, seconds, ts
+from . import categories, profile
 
 NUMBER = (INTEGER, FLOAT)
 Params = dict[str, Any]
 
 
+@dataclass(frozen=True)
+class Exact:
+    """A parameter of a stage: exact quantiles of a number, as a list, or as one value; none without values."""
+
+    value: Column
+    shares: tuple[float, ...]
+    single: bool = False
+
+
 @dataclass(frozen=True)
 class Transform:
     name: str
@@ -44,6 +54,10 @@ def fit(df: DataFrame, wanted: list[tuple[str, Transform]]) -> dict[tuple[str, s
         if searches:
             search(df, searches)
         cells = [((f, t.name), key, agg) for f, t, stage in now if not isinstance(stage, Search) for key, agg in stage(clean(df, f), params[f, t.name]).items()]
+        exact = [(own, key, x) for own, key, x in cells if isinstance(x, Exact)]
+        for (own, key, x), q in zip(exact, quantiles(df, [x for _, _, x in exact])):
+            params[own][key] = (q and q[0]) if x.single else q
+        cells = [c for c in cells if not isinstance(c[2], Exact)]
         if not cells:
             continue
         row = df.agg(*(agg.alias(f"c{i}") for i, (_, _, agg) in enumerate(cells))).first()
@@ -52,6 +66,15 @@ def fit(df: DataFrame, wanted: list[tuple[str, Transform]]) -> dict[tuple[str, s
     return params
 
 
+def quantiles(df: DataFrame, wanted: list[Exact]) -> list[list[float] | None]:
+    """All of them from one count of values, ordered in ranges: no task holds a column."""
+    if not wanted:
+        return []
+    per = profile.value_counts(df, [x.value for x in wanted]).select("i", profile.as_number().alias("x"), "n")
+    found = profile.quantiles_by(per, {i: list(x.shares) for i, x in enumerate(wanted)})
+    return [found.get(i) or None for i in range(len(wanted))]
+
+
 def transformed(df: DataFrame, chosen: dict[str, list[Transform]]) -> DataFrame:
     """df with the transforms of each field one after the other: a fit and a select for each round."""
     for step in range(max(map(len, chosen.values()), default=0)):
@@ -75,7 +98,7 @@ def _filled(key: str) -> Callable[[Column, Params], Column]:
     return lambda c, p: F.coalesce(num(c), _double(p[key]))
 
 
-impute_median = Transform("impute_median", "impute", NUMBER, _filled("median"), (lambda c, p: {"median": F.median(num(c))},))
+impute_median = Transform("impute_median", "impute", NUMBER, _filled("median"), (lambda c, p: {"median": Exact(num(c), (0.5,), True)},))
 impute_mean = Transform("impute_mean", "impute", NUMBER, _filled("mean"), (lambda c, p: {"mean": F.avg(num(c))},))
 impute_mode = Transform("impute_mode", "impute", (*NUMBER, STRING, BOOLEAN), lambda c, p: F.coalesce(c, F.lit(p["mode"])), (lambda c, p: {"mode": F.mode(c, True)},))
 impute_empty_string = Transform("impute_empty_string", "impute", (STRING,), lambda c, p: F.coalesce(c.cast("string"), F.lit("")))
@@ -108,7 +131,7 @@ def _clip(c: Column, p: Params, rounded: bool) -> Column:
     return F.when(num(c).isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), num(c))))
 
 
-_QUARTILES = (lambda c, p: {"q": stats.quantiles(num(c), [0.25, 0.75])},)
+_QUARTILES = (lambda c, p: {"q": Exact(num(c), (0.25, 0.75))},)
 winsorize = Transform("winsorize_iqr", "atypical", NUMBER, lambda c, p: _clip(c, p, False), _QUARTILES)
 winsorize_whole = Transform("winsorize_whole", "atypical", (INTEGER,), lambda c, p: _clip(c, p, True), _QUARTILES)
 
@@ -254,7 +277,12 @@ def _to_normal(c: Column, p: Params) -> Column:
     return text.to_normal(marks)(num(c)) if marks else num(c)
 
 
-quantile_normal = Transform("bias_quantile", "bias", NUMBER, _to_normal, (lambda c, p: {"n": F.count(num(c))}, lambda c, p: {"marks": stats.quantiles(num(c), [i / max(1, min(LANDMARKS, p["n"]) - 1) for i in range(max(1, min(LANDMARKS, p["n"])))])}))
+def _landmarks(c: Column, p: Params) -> dict[str, Exact]:
+    k = max(1, min(LANDMARKS, p["n"]))
+    return {"marks": Exact(num(c), tuple(i / max(1, k - 1) for i in range(k)))}
+
+
+quantile_normal = Transform("bias_quantile", "bias", NUMBER, _to_normal, (lambda c, p: {"n": F.count(num(c))}, _landmarks))
 
 
 # times
@@ -358,35 +386,13 @@ def group_rare(df: DataFrame, name: str) -> DataFrame:
     return relabel(df, name, rare_labels(df, name))
 
 
-MAX_CATEGORIES = 2_000
-
-
-def similar_labels(df: DataFrame, name: str, max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """old, new: distinct values whose likeness is at least the third quartile of all pairs' likeness are
-    merged, in alphabetical order; of several earlier unmerged values the last wins. The pairs are those of
-    distinct categories: a column of more than max_categories of them isn't one, and is refused."""
-    values = df.select(_label(df, name).alias("v")).distinct()
-    k = values.limit(max_categories + 1).count()
-    if k > max_categories:
-        raise ValueError(f"{name} has more than {max_categories} distinct values")
-    spark = df.sparkSession
-    ordered = sorted(r.v for r in values.collect())
-    table = spark.createDataFrame([(i, v) for i, v in enumerate(ordered)], "i int, v string")
-    pairs = table.toDF("i", "a").join(table.toDF("j", "b"), F.col("i") < F.col("j")).repartition(8, "i").select("i", "j", text.likeness("a", "b").alias("r"))
-    bound = pairs.agg(F.percentile("r", F.lit(0.75))).first()[0]
-    close: dict[int, list[int]] = {}
-    for r in pairs.where(F.col("r") >= F.lit(bound).cast("double")).select("i", "j").collect():  # pairs of at most max_categories values
-        close.setdefault(r.j, []).append(r.i)
-    into: dict[int, int] = {}
-    for j in range(len(ordered)):
-        free = [i for i in sorted(close.get(j, ())) if i not in into]
-        if free:
-            into[j] = free[-1]
-    return spark.createDataFrame([(ordered[j], ordered[i]) for j, i in into.items()], "old string, new string")
-
-
-def merge_similar(df: DataFrame, name: str, max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    return relabel(df, name, similar_labels(df, name, max_categories))
+def similar_labels(df: DataFrame, name: str) -> DataFrame:
+    """old, new: the labels of a column that are merged into others; categories.similar()."""
+    return categories.similar(df.select(_label(df, name).alias("v")).distinct())
+
+
+def merge_similar(df: DataFrame, name: str) -> DataFrame:
+    return relabel(df, name, similar_labels(df, name))
 
 
 def fill_values(df: DataFrame, values: dict[str, Any]) -> DataFrame:
