@@ -5,17 +5,18 @@ parsed into DOM trees, and all are aligned with the first by simple tree matchin
 order-keeping matching of nodes with equal labels; neighbours of equal label count as one repeated node).
 A slot is the place of aligned nodes. What stands there is compared: a text that nearly all sampled pages
 have in a slot is template, and so is a slot in which nearly every text is one of several pages; the
-other slots vary and hold the content. That is the host's wrapper, and it decides page by page:
+other slots vary and hold the content. All that a reader sees is aligned, whatever its tag. That is the
+host's wrapper, and it decides page by page:
 
 * template texts and template slots go, within <article> and <main> too;
 * <article> and <main> bound the content only where they hold most of the host's varying text;
-* an element whose class, id or role sounds like a menu, header, sidebar or notice goes, unless it holds
-  most of the host's varying text (then the name is wrong).
+* slots that vary are content, unless a tag or name tells adverts, reader comments, menus or the like, which
+  vary as articles do. A name that may be wrong doesn't count if half of the host's varying text stands
+  there, and a tag, or a name of nothing but furniture, if nearly all does.
 
-Elements that are never main text go by their tag or by a name that leaves no doubt (menus, page headers
-and footers, asides, forms, scripts, adverts, reader comments), since such texts vary too. Where a host
-has no wrapper, for want of distinct pages, tags and names decide alone, and a slot unknown to the wrapper
-stays if it isn't mostly links. If doubtful names would leave nothing of a page, they are passed over.
+Where a host has no wrapper, for want of distinct pages, tags and names decide alone, and a slot unknown to the wrapper
+stays if it isn't mostly links. If names that may be wrong would leave nothing of a page, they are passed over. A link
+within a sentence, and a page's first heading, are never left out for their names.
 
 A host with a third of all pages costs no more to learn: its sample is picked on hashes of its pages,
 and only picked pages are moved. Copies of a page count once, and near copies too, lest an article pass
@@ -55,63 +56,79 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = {"nav", "footer", "aside", "form", "script", "style", "textarea", "title", "noscript", "iframe", "template", "head", "button", "select", "svg", "canvas", "object", "menu", "dialog", "noembed", "noframes", "xmp", "datalist", "audio", "video", "search"}
+#: Elements without text for readers, and elements that hold menus, page headers and the like.
+HARD = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "head", "button", "select", "svg", "canvas", "object", "noembed", "noframes", "xmp", "datalist", "audio", "video"}
+SOFT = {"nav", "footer", "aside", "form", "menu", "dialog", "search"}
 #: A start tag of the key ends an open element of these.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "html", "main", "aside", "nav", "header", "footer", "form"}
-#: Names that leave no doubt, and names that the wrapper may overrule.
+#: Names that tell furniture, if they stand alone or with parts of furniture, and names that may be wrong.
 SURE = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promoted cookie cookies consent gdpr comment comments disqus replies respond share sharing social newsletter subscribe subscription signup login".split())
 DOUBTFUL = set(
     "banner notice notices alert popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead header topbar related recommended "
     "widget pagination pager skip toolbar copyright legal complementary contentinfo search".split()
 )
+PARTS = set(
+    "box list section area block bar button buttons btn container wrapper wrap panel link links item items slot unit top bottom left right inner outer count form title head text label icon icons thread body content author meta date row group "
+    "inline big small large page site reader user post".split()
+)
 #: A name that begins so tells of a state, or of a part of the article.
 STATE, PART = {"has", "with", "without", "no", "is", "not", "js"}, {"article", "post", "entry", "story", "content", "headline", "title"}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 SPACE = re.compile(r"\s+")
 
 
-def name_kind(called: str) -> int:
-    """2: what is called so is never main text; 1: it probably isn't; 0: nothing is known."""
+def name_kind(called: str, main: bool) -> int:
+    """2: what is called so is furniture; 1: it may be; 0: nothing is known. A name with other words beside a known one
+    (share-price-analysis) may be anything, and within an article it tells nothing."""
     found = 0
     for token in called.lower().split():
-        parts = [x for x in re.split(r"[-_]+", token) if x]
+        parts = [x for x in re.split(r"[-_]+", token) if x and not x.isdigit()]
         if not parts or parts[0] in STATE:
             continue
-        ends = {parts[0], parts[-1]}
-        if ends & SURE:
+        ends, plain = {parts[0], parts[-1]}, all(x in SURE or x in DOUBTFUL or x in PARTS for x in parts)
+        if plain and ends & SURE:
             return 2
-        if ends & DOUBTFUL and parts[0] not in PART:
+        if ends & (DOUBTFUL | SURE) and parts[0] not in PART and (plain or not main):
             found = 1
     return found
 
 
 class Node:
-    """key: a hash of the labels from the root down, the node's slot. doubt: the nearest node, itself or
-    above, with a doubtful name."""
+    """key: a hash of the labels from the root down, the node's slot. level: what its tag or name says, as name_kind().
+    doubt: the nearest node, itself or above, with a level. never: whether one of them has level 2; hard: whether one
+    has no text for readers."""
 
-    __slots__ = ("tag", "label", "key", "parent", "children", "never", "main", "link", "doubt")
+    __slots__ = ("tag", "label", "key", "parent", "children", "never", "hard", "main", "link", "level", "doubt")
 
-    def __init__(self, tag: str, label: str, parent: "Node | None", never: bool, main: bool, link: bool, doubtful: bool):
-        self.tag, self.label, self.parent, self.never, self.main, self.link = tag, label, parent, never, main, link
+    def __init__(self, tag: str, label: str, parent: "Node | None", hard: bool, main: bool, link: bool, level: int):
+        self.tag, self.label, self.parent, self.hard, self.main, self.link, self.level = tag, label, parent, hard, main, link, level
         self.key = xxhash.xxh3_64_intdigest(f"{parent.key if parent else 0}/{label}")
         self.children: list[Node] = []
-        self.doubt: Node | None = self if doubtful else parent.doubt if parent else None
+        self.never = hard or level == 2 or (parent is not None and parent.never)
+        self.doubt: Node | None = self if level else parent.doubt if parent else None
 
 
 class Block:
-    __slots__ = ("node", "never", "main", "doubt", "parts", "linked")
+    __slots__ = ("node", "never", "hard", "main", "doubt", "parts", "linked")
 
     def __init__(self, node: Node, top: Node):
-        self.node, self.never, self.main, self.doubt, self.parts, self.linked = node, top.never, top.main, top.doubt, [], 0
+        self.node, self.never, self.hard, self.main, self.doubt, self.parts, self.linked = node, top.never, top.hard, top.main, top.doubt, [], 0
 
     def words(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
 
+    def doubts(self):
+        """The nodes with a level over it, from the nearest up."""
+        at = self.doubt
+        while at is not None:
+            yield at
+            at = at.parent.doubt if at.parent else None
+
 
 def parse(html: str | None) -> tuple[Node, list[Block]]:
     """The DOM tree and the text blocks in page order."""
-    root = Node("", "", None, False, False, False, False)
+    root = Node("", "", None, False, False, False, 0)
     stack, blocks = [root], []
     block: Block | None = None
     html = html or ""
@@ -189,9 +206,12 @@ def parse(html: str | None) -> tuple[Node, list[Block]]:
         called = " ".join(attributes[a] for a in ("class", "id", "role") if attributes.get(a))
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
         main = top.main or tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
-        kind = name_kind(called) if called and tag not in ("article", "main", "body", "html") else 0
-        never = top.never or tag in NEVER or hidden or kind == 2 or (tag == "header" and not main)
-        node = Node(tag, f"{tag}.{called.lower()}" if called else tag, top, never, main, top.link or tag == "a", kind == 1)
+        level = name_kind(called, main) if called and tag not in ("article", "main", "body", "html", "h1") else 0
+        if tag == "a" and block is not None:
+            level = 0  # a link within a sentence
+        if tag in SOFT or (tag == "header" and not main):
+            level = 2
+        node = Node(tag, f"{tag}.{called.lower()}" if called else tag, top, top.hard or tag in HARD or hidden, main, top.link or tag == "a", level)
         top.children.append(node)
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
@@ -282,6 +302,8 @@ def match(a: Kind, b: Kind) -> list[tuple[Kind, Kind]]:
 
 #: A text in so large a share of the sampled pages is template, as is a slot with so large a share of texts that several pages have.
 SHARED = 0.8
+#: What holds so large a share of a host's varying text is content, whatever its name (1) or its tag (2) says.
+FREED = {1: 0.5, 2: 0.9}
 
 
 def text_key(slot: int, words: str) -> int:
@@ -291,7 +313,7 @@ def text_key(slot: int, words: str) -> int:
 @dataclass
 class Wrapper:
     """slots: those aligned; template: those of them that don't vary; texts: template texts by slot;
-    free: doubtfully named slots that hold most of the varying text; main: whether <article> and <main> do."""
+    free: slots whose tag or name the varying text in them belies; main: whether <article> and <main> do."""
 
     slots: set[int] = field(default_factory=set)
     template: set[int] = field(default_factory=set)
@@ -315,8 +337,8 @@ def learn(pages: list[str]) -> Wrapper | None:
     parsed = []
     for html in pages:
         root, blocks = parse(html)
-        found = [(b, w) for b in blocks if not b.never and (w := b.words())]
-        own = Counter({w: len(w) for _, w in found})
+        found = [(b, w) for b in blocks if not b.hard and (w := b.words())]
+        own = Counter({w: len(w) for b, w in found if not b.never})
         if all(sum((own & other).values()) <= 0.5 * max(1, min(own.total(), other.total())) for _, _, other in parsed):
             parsed.append((root, found, own))
     if len(parsed) < LEAST_PAGES:
@@ -339,25 +361,19 @@ def learn(pages: list[str]) -> Wrapper | None:
             out.template.add(slot)
         else:
             varying += [(b, len(w)) for _, b, w in found if w not in common]
-    total = sum(n for _, n in varying)
-    doubtful: Counter = Counter()
+    total, doubtful = sum(n for _, n in varying), Counter()
     for b, n in varying:
-        at = b.doubt
-        while at is not None:
-            doubtful[at.key] += n
-            at = at.parent.doubt if at.parent else None
-    out.free = {slot for slot, n in doubtful.items() if 2 * n > total}
-    kept = [(b, n) for b, n in varying if _named(b, out) is None]
+        for at in b.doubts():
+            doubtful[at.key, at.level] += n
+    out.free = {slot for (slot, level), n in doubtful.items() if n > FREED[level] * total}
+    kept = [(b, n) for b, n in varying if not _level(b, out)]
     out.main = 2 * sum(n for b, n in kept if b.main) >= sum(n for _, n in kept)
     return out
 
 
-def _named(b: Block, wrapper: Wrapper | None) -> Node | None:
-    """The nearest doubtfully named node over the block that the wrapper doesn't free."""
-    at = b.doubt
-    while at is not None and wrapper is not None and at.key in wrapper.free:
-        at = at.parent.doubt if at.parent else None
-    return at
+def _level(b: Block, wrapper: Wrapper | None) -> int:
+    """What tags and names over the block say of it, but for those that the wrapper frees."""
+    return max((at.level for at in b.doubts() if wrapper is None or at.key not in wrapper.free), default=0)
 
 
 @lru_cache(maxsize=256)
@@ -367,9 +383,9 @@ def _wrapper(text: str | None) -> Wrapper | None:
 
 def main_text(html: str | None, wrapper: Wrapper | None = None) -> str:
     """The main text of a page, its blocks joined by newlines."""
-    found = [(b, w) for b in parse(html)[1] if not b.never and (w := b.words())]
-    named = [(b, w) for b, w in found if _named(b, wrapper) is None]
-    for rows in (named, found):  # the second only if doubtful names leave nothing
+    found = [(b, w, _level(b, wrapper)) for b in parse(html)[1] if not b.hard and (w := b.words())]
+    for most in (0, 1):  # the second only if doubtful names leave nothing
+        rows = [(b, w) for b, w, level in found if level <= most]
         if wrapper is not None:
             rows = [(b, w) for b, w in rows if b.node.key not in wrapper.template and text_key(b.node.key, w) not in wrapper.texts]
         bound = any(b.main for b, _ in rows) and (wrapper is None or wrapper.main)

@@ -1,6 +1,7 @@
 """HTML extraction and severity grading."""
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -65,6 +66,42 @@ def test_names_that_only_sound_like_furniture():
     assert wrappers.main_text('<div class="site-header">no</div><div class="main-nav">no</div><div class="top ad">no</div><p>x</p>') == "x"
 
 
+def test_names_with_other_words_tell_little():
+    text = wrappers.main_text
+    assert text('<div class="share-price-analysis"><p>Shares fell.</p></div>') == "Shares fell."
+    assert text('<article class="login-required"><p>Text</p></article>') == text('<article><div class="comment-on-law"><p>Text</p></div></article>') == "Text"
+    assert text('<p>see <a class="share-link">this</a> ok</p>') == "see this ok"
+    assert text('<article><h1 class="subscribe">T</h1><p>x</p></article>') == "T\nx"
+    assert text('<article><p>a</p><div class="comment-list"><p>c</p></div><div class="login-required"><p>b</p></div></article><div class="ad-slot-2">buy</div>') == "a\nb"
+    page = lambda i: f'<body><div class="share-bar"><p>The {i}th story is long and told in {i * i} parts, of which the last is the best, and so on to the end of it all.</p></div><footer>Site of all</footer></body>'
+    other = lambda i: f'<body><p>The {i}th story is long and told in {i * i} parts.</p><div class="comments">Reader {i} says {i * 7}</div><footer>{i} times seen</footer></body>'
+    assert wrappers.main_text(page(9)) == ""
+    assert wrappers.main_text(other(9), wrappers.learn([other(i) for i in range(6)])) == "The 9th story is long and told in 81 parts."
+    varied = lambda i: page(i).replace("<body>", f"<body><p>{i} {i * 3} {i * 5}</p>")
+    assert "The 9th story" in wrappers.main_text(varied(9), wrappers.learn([varied(i) for i in range(8)]))  # nearly all varying text: the name is wrong
+
+
+def test_wrappers_find_the_given_articles_without_lists(monkeypatch):
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").drop_duplicates("html")
+    host = pages.url.str.extract(r"://([^/?#:]*)")[0].str.lower()
+    want = {p.page_id: Counter(wrappers.main_text(p.html).split()) for p in pages.itertuples()}
+    for name in ("SOFT", "SURE", "DOUBTFUL"):
+        monkeypatch.setattr(wrappers, name, set())
+
+    def shares(wrapper_of):
+        both = found = right = 0
+        for h, own in pages.groupby(host):
+            if (wrapper := wrapper_of(own.html.tolist())) is not None:
+                for p in own.itertuples():
+                    got = Counter(wrappers.main_text(p.html, wrapper).split())
+                    both, found, right = both + (got & want[p.page_id]).total(), found + got.total(), right + want[p.page_id].total()
+        return both / max(1, right), both / max(1, found)
+
+    learned = shares(lambda html: wrappers.learn(html[: wrappers.SAMPLE]))
+    empty = shares(lambda html: wrappers.Wrapper(main=False) if wrappers.learn(html[: wrappers.SAMPLE]) else None)
+    assert min(learned) >= 0.98 > min(empty)
+
+
 def test_pages_of_any_depth_and_breadth_teach():
     deep = [f"{'<div>' * 3000}deep {i} text {i * 7}" for i in range(5)]
     assert wrappers.main_text(deep[0], wrappers.learn(deep)) == "deep 0 text 0"
