@@ -157,7 +157,13 @@ def as_frame(spark: SparkSession, metrics: dict[str, dict]) -> DataFrame:
 
 
 def column_scores(df: DataFrame, wanted: dict[Any, tuple[str, Column]]) -> dict[Any, float]:
-    """The profile score of any expressions (kind, Column), in two aggregations for all of them."""
+    """The profile score of any expressions (kind, Column)."""
+    return {k: m["score"] for k, m in column_metrics(df, wanted).items()}
+
+
+def column_metrics(df: DataFrame, wanted: dict[Any, tuple[str, Column]]) -> dict[Any, dict[str, float]]:
+    """The score of any expressions (kind, Column) and the metrics that it is made of, in three aggregations for all of
+    them."""
     keys = list(wanted)
     if not keys:
         return {}
@@ -187,4 +193,4 @@ def column_scores(df: DataFrame, wanted: dict[Any, tuple[str, Column]]) -> dict[
     for i, k in enumerate(keys):
         if wanted[k][0] == DATETIME:
             found[i]["temporal_anomaly"] = profile.temporal(df.select(wanted[k][1].alias("x")), "x").first().temporal_anomaly
-    return {k: profile_score(wanted[k][0], found[i]) for i, k in enumerate(keys)}
+    return {k: found[i] | {"score": profile_score(wanted[k][0], found[i])} for i, k in enumerate(keys)}

@@ -37,12 +37,15 @@ class Exact:
 
 @dataclass(frozen=True)
 class Transform:
+    """affine: another scale alone; fills: nulls alone change."""
+
     name: str
     family: str
     kinds: tuple[str, ...]
     apply: Callable[[Column, Params], Column]
     stages: tuple["Callable[[Column, Params], dict[str, Column]] | Search", ...] = ()
     affine: bool = False
+    fills: bool = False
 
 
 def fit(df: DataFrame, wanted: list[tuple[str, Transform]]) -> dict[tuple[str, str], Params]:
@@ -98,14 +101,14 @@ def _filled(key: str) -> Callable[[Column, Params], Column]:
     return lambda c, p: F.coalesce(num(c), _double(p[key]))
 
 
-impute_median = Transform("impute_median", "impute", NUMBER, _filled("median"), (lambda c, p: {"median": Exact(num(c), (0.5,), True)},))
-impute_mean = Transform("impute_mean", "impute", NUMBER, _filled("mean"), (lambda c, p: {"mean": F.avg(num(c))},))
-impute_mode = Transform("impute_mode", "impute", (*NUMBER, STRING, BOOLEAN), lambda c, p: F.coalesce(c, F.lit(p["mode"])), (lambda c, p: {"mode": F.mode(c, True)},))
-impute_empty_string = Transform("impute_empty_string", "impute", (STRING,), lambda c, p: F.coalesce(c.cast("string"), F.lit("")))
-impute_false = Transform("impute_false", "impute", (BOOLEAN,), lambda c, p: F.coalesce(c.cast("boolean"), F.lit(False)))
-impute_true = Transform("impute_true", "impute", (BOOLEAN,), lambda c, p: F.coalesce(c.cast("boolean"), F.lit(True)))
+impute_median = Transform("impute_median", "impute", NUMBER, _filled("median"), (lambda c, p: {"median": Exact(num(c), (0.5,), True)},), fills=True)
+impute_mean = Transform("impute_mean", "impute", NUMBER, _filled("mean"), (lambda c, p: {"mean": F.avg(num(c))},), fills=True)
+impute_mode = Transform("impute_mode", "impute", (*NUMBER, STRING, BOOLEAN), lambda c, p: F.coalesce(c, F.lit(p["mode"])), (lambda c, p: {"mode": F.mode(c, True)},), fills=True)
+impute_empty_string = Transform("impute_empty_string", "impute", (STRING,), lambda c, p: F.coalesce(c.cast("string"), F.lit("")), fills=True)
+impute_false = Transform("impute_false", "impute", (BOOLEAN,), lambda c, p: F.coalesce(c.cast("boolean"), F.lit(False)), fills=True)
+impute_true = Transform("impute_true", "impute", (BOOLEAN,), lambda c, p: F.coalesce(c.cast("boolean"), F.lit(True)), fills=True)
 EPOCH = "1970-01-01 00:00:00"
-impute_default_date = Transform("impute_default_date", "impute", (DATETIME,), lambda c, p: F.coalesce(ts(c), _time(EPOCH)))
+impute_default_date = Transform("impute_default_date", "impute", (DATETIME,), lambda c, p: F.coalesce(ts(c), _time(EPOCH)), fills=True)
 
 
 def mode_date(fill_nulls: bool = True) -> Transform:

@@ -103,6 +103,7 @@ class Remediator:
     knowledge: dict[str, dict] = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
     _tables: list[DataFrame] = field(default_factory=list, repr=False)
+    _full: set[str] = field(default_factory=set, repr=False)
 
     def register_rule(self, transform: X.Transform) -> None:
         self.candidates.append(transform)
@@ -121,7 +122,9 @@ class Remediator:
         kinds = content_types(df)
         df = X.cast_by_type(df, {n: k for n, k in kinds.items() if k == DATETIME and logical_types(df)[n] != DATETIME})
         df = self._kept(X.transformed(df, {n: self.mandatory[k] for n, k in kinds.items() if k in self.mandatory and self._open(n)}))
-        score = self.scores(df, kinds)
+        found = metrics.column_metrics(df, {n: (kinds[n], clean(df, n)) for n in df.columns if self._open(n)})
+        score = {n: m["score"] for n, m in found.items()}
+        self._full = {n for n, m in found.items() if m.get("null_percentage") == 0}
         best, best_score = df, dict(score)
         mean = lambda s: sum(s.values()) / max(1, len(s))
         for epoch in range(self.max_epochs):
@@ -148,16 +151,18 @@ class Remediator:
 
     def _family(self, df: DataFrame, kinds: dict, score: dict, family: str, accepted: dict) -> tuple[DataFrame, dict]:
         wanted = [(n, t) for n in df.columns if n in score and score[n] < self.gate for t in self.candidates if t.family == family and kinds[n] in t.kinds]
-        if self.gain > 0:  # another scale alone is no gain: shares, repeats and skewness stay
-            moved = {n for n, t in wanted if not t.affine}
-            wanted = [(n, t) for n, t in wanted if n in moved]
+        # no gain comes from another scale alone, as shares, repeats and skewness stay, nor from filling where nothing is null
+        moved = {n for n, t in wanted if not (t.affine and self.gain > 0) and not (t.fills and n in self._full and self.gain >= 0)}
+        wanted = [(n, t) for n, t in wanted if n in moved]
         if not wanted:
             return df, score
         params = X.fit(df, wanted)
         made = {(n, t.name): t.apply(clean(df, n), params[n, t.name]) for n, t in wanted}
         pick = best(errors(df, {k: (kinds[k[0]], c) for k, c in made.items()}, family), family)
-        gained = metrics.column_scores(df, {n: (kinds[n], made[n, name]) for n, name in pick.items()})
+        found = metrics.column_metrics(df, {n: (kinds[n], made[n, name]) for n, name in pick.items()})
+        gained = {n: m["score"] for n, m in found.items()}
         take = {n: name for n, name in pick.items() if gained[n] - score[n] > self.gain}
+        self._full = self._full - set(take) | {n for n in take if found[n].get("null_percentage") == 0}
         for n, name in take.items():
             accepted.setdefault(n, []).append(name)
             self.knowledge.setdefault(n, {}).setdefault(f"variants_{family}", []).append({"name": name, "gain": gained[n] - score[n]})
