@@ -404,7 +404,8 @@ def open_data(s: SparkSession, d: str) -> DataFrame:
         return json.dumps([{k: str(v) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in found.collect()]).encode()  # a page of rows
 
     with served(s, answer) as url:
-        found = opendata.read_socrata(s, url, "abcd-1234", limit=None).where("o_totalprice > 200000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%H%' AND o_orderkey % 3 = 1")
+        asking = max(1, s.sparkContext.defaultParallelism // 2)  # the service's own work needs the other half
+        found = opendata.read_socrata(s, url, "abcd-1234", limit=None, tasks=asking).where("o_totalprice > 200000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%H%' AND o_orderkey % 3 = 1")
         return land(found.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", "o_totalprice"), "opendata")
 
 

@@ -9,11 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def quantiles(c: Column, shares: list[float], exact: bool = True, accuracy: int = 10_000) -> Column:
-    """Linear interpolation; exact=False bounds the memory for columns of very many values."""
-    return F.percentile(c, F.array(*map(F.lit, shares))) if exact else F.percentile_approx(c.cast("double"), shares, accuracy)
-
-
 def skew(c: Column) -> Column:
     """Adjusted for bias; null under three values, 0 without variance."""
     n = F.count(c).cast("double")

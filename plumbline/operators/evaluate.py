@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..types import DATETIME, FLOAT, INTEGER, STRING, num, seconds
+from . import profile
 
 
 def counted_share(df: DataFrame, c: Column) -> DataFrame:
@@ -50,9 +51,10 @@ def skew_reduction(old: Column, new: Column) -> dict[str, Column]:
 
 def outlier_reduction(df: DataFrame, old: Column, new: Column) -> DataFrame:
     """One row: before, after, reduction of the outlier percentage. Quartiles first, then the shares."""
-    q = df.agg(stats.quantiles(num(old), [0.25, 0.75]), stats.quantiles(num(new), [0.25, 0.75])).first()
+    per = profile.value_counts(df, [num(old), num(new)]).select("i", profile.as_number().alias("x"), "n")
+    q = profile.quantiles_by(per, [0.25, 0.75])
     share = lambda c, b: F.coalesce(stats.percent(stats.outside(num(c), b and b[0], b and b[1])), F.lit(0.0))
-    return df.agg(share(old, q[0]).alias("before"), share(new, q[1]).alias("after")).withColumn("reduction", F.col("before") - F.col("after"))
+    return df.agg(share(old, q.get(0)).alias("before"), share(new, q.get(1)).alias("after")).withColumn("reduction", F.col("before") - F.col("after"))
 
 
 def dominance_reduction(df: DataFrame, old: Column, new: Column) -> DataFrame:

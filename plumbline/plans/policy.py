@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import rules
+from ..operators import profile, rules
 from ..sources import landing
-from ..types import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, clean, content_types, distinct_key, is_missing, logical_types, num, quoted
+from ..types import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, clean, content_types, is_missing, logical_types, num, quoted
 
 #: Patterns of personal data in content. The first must match as a whole, the others anywhere.
 EMAIL = r"^[\w\.-]+@[\w\.-]+\.[a-zA-Z]{2,}$"
@@ -76,18 +76,17 @@ def integrity(df: DataFrame, names: list[str]) -> dict[str, dict]:
     """unique (null is a value), no_nulls, contains_outliers, and what rules need: least value, distinct values."""
     kinds = logical_types(df)
     numbers = [n for n in names if kinds[n] in (INTEGER, FLOAT)]
-    cells = []
+    least = {n: F.min(num(quoted(n))) for n in numbers}
+    row = df.agg(F.count("*").alias("rows"), *(F.count_if(is_missing(df, n)).alias(f"nulls{i}") for i, n in enumerate(names)), *(least[n].alias(f"lo{i}") for i, n in enumerate(names) if n in least)).first().asDict()
+    distinct, quartiles = profile.by_value(df, {n: clean(df, n) for n in names}, [n in least for n in names])
+    out = {}
     for i, n in enumerate(names):
-        cells += [F.count("*").alias(f"rows{i}"), F.count_distinct(distinct_key(df, n)).alias(f"kinds{i}"), F.count_if(is_missing(df, n)).alias(f"nulls{i}")]
-        if n in numbers:
-            cells += [stats.quantiles(num(quoted(n)), [0.25, 0.75]).alias(f"q{i}"), F.min(num(quoted(n))).alias(f"lo{i}"), F.max(F.length(quoted(n).cast("string"))).alias(f"len{i}")]
-    row = df.agg(*cells).first().asDict()
-    out = {n: {"unique": row[f"kinds{i}"] + min(row[f"nulls{i}"], 1) == row[f"rows{i}"], "no_nulls": row[f"nulls{i}"] == 0, "consistent_format": True, "contains_outliers": False, "least": row.get(f"lo{i}"), "kinds": row[f"kinds{i}"]} for i, n in enumerate(names)}
-    odd = [(i, n) for i, n in enumerate(names) if row.get(f"q{i}")]
-    if odd:
-        found = df.agg(*(F.count_if(stats.outside(num(quoted(n)), *row[f"q{i}"], guard=False)).alias(f"c{i}") for i, n in odd)).first()
-        for i, n in odd:
-            out[n]["contains_outliers"] = found[f"c{i}"] > 0
+        known, nulls = distinct.get(n, 0), row[f"nulls{i}"]
+        out[n] = {"unique": known + min(nulls, 1) == row["rows"], "no_nulls": nulls == 0, "consistent_format": True, "contains_outliers": False, "least": row.get(f"lo{i}"), "kinds": known}
+    if quartiles:
+        found = df.agg(*(F.count_if(stats.outside(num(quoted(n)), q[0], q[2], guard=False)) for n, q in quartiles.items())).first()
+        for n, k in zip(quartiles, found):
+            out[n]["contains_outliers"] = k > 0
     return out
 
 

@@ -85,11 +85,11 @@ class AuditLog:
         folder = f"{self.path}/commits"
         return {n.removesuffix(".json"): (at, json.loads(landing.get_text(self.spark, f"{folder}/{n}"))) for n, at in landing.listed(self.spark, folder) if n.endswith(".json")}
 
-    def _seen(self) -> tuple[dict[str, int], set[str]]:
-        """The folders to read, each with its commit's time, and those that were replaced."""
+    def _seen(self) -> dict[str, int]:
+        """The folders to read, each with its commit's time: those that no commit has replaced."""
         commits = self._commits()
         gone = {f for _, c in commits.values() for f in c["remove"]}
-        return {c["add"]: at for at, c in commits.values() if c["add"] not in gone}, gone
+        return {c["add"]: at for at, c in commits.values() if c["add"] not in gone}
 
     def _stored(self, folders: dict[str, int]) -> DataFrame:
         """The records of these folders, the first of each uuid, and where they stand."""
@@ -102,7 +102,7 @@ class AuditLog:
 
     def load(self) -> DataFrame:
         """All saved records, the first of each uuid in the order of saving; none if nothing was saved yet."""
-        folders, _ = self._seen()
+        folders = self._seen()
         return self._stored(folders).drop("at", "by", "place") if folders else self.spark.createDataFrame([], SCHEMA)
 
     def fields(self, ddl: str) -> DataFrame:
@@ -111,15 +111,21 @@ class AuditLog:
 
     def compact(self) -> AuditLog:
         """One folder in place of all that are there now."""
-        folders, _ = self._seen()
+        folders = self._seen()
         if len(folders) > 1:
             self._commit(self._stored(folders), list(folders))
         return self
 
     def vacuum(self) -> int:
-        """Delete replaced folders; for when nobody reads an older state. How many there were."""
-        _, gone = self._seen()
-        there = [n for n, _ in landing.listed(self.spark, f"{self.path}/data") if n in gone]
-        for n in there:
-            landing.remove(self.spark, f"{self.path}/data/{n}")
-        return len(there)
+        """Delete replaced folders and their commits; for when nobody reads an older state. How many there were. A commit
+        goes after those that it replaced, so that none of them is ever seen again."""
+        commits = self._commits()
+        gone = {f for _, c in commits.values() for f in c["remove"]}
+        left = {n: c["remove"] for n, (_, c) in commits.items() if n in gone}
+        n = len(left)
+        while left:
+            for name in [x for x, replaced in left.items() if not any(r in left for r in replaced)]:
+                landing.remove(self.spark, f"{self.path}/data/{name}")
+                landing.remove(self.spark, f"{self.path}/commits/{name}.json")
+                del left[name]
+        return n

@@ -100,6 +100,8 @@ class OpenDataReader(D.DataSourceReader):
         n = int(self.ask("count(*) AS n")[0]["n"])
         n = n if self.most is None else min(n, self.most)
         step = int(self.options.get("stretch", STRETCH))
+        if self.options.get("tasks"):
+            step = max(step, -(-n // int(self.options["tasks"])))
         return [D.InputPartition((i, min(i + step, n))) for i in range(0, n, step)] or [D.InputPartition((0, 0))]
 
     def read(self, partition):
@@ -124,7 +126,7 @@ def value(found, kind: T.DataType):
 
 
 class OpenDataSource(D.DataSource):
-    """format("opendata"): options url (of the rows), about (of the columns), where, limit, page, stretch."""
+    """format("opendata"): options url (of the rows), about (of the columns), where, limit, page, stretch, tasks."""
 
     @classmethod
     def name(cls):
@@ -155,13 +157,14 @@ def soql(filters: dict[str, tuple] | None = None, limit: int = LIMIT) -> str:
     return "SELECT *" + (f" WHERE {where}" if where else "") + f" LIMIT {int(limit)}"
 
 
-def read_socrata(spark: SparkSession, domain: str, code: str, filters: dict[str, tuple] | None = None, limit: int | None = LIMIT, schema: str | None = None, page: int = PAGE, stretch: int = STRETCH) -> DataFrame:
+def read_socrata(spark: SparkSession, domain: str, code: str, filters: dict[str, tuple] | None = None, limit: int | None = LIMIT, schema: str | None = None, page: int = PAGE, stretch: int = STRETCH, tasks: int | None = None) -> DataFrame:
     """A data set of an open-data service. `filters` and `limit` run there; with limit=None so do the conditions of a
-    later where() that the service can take. Ten tries for each page, two seconds apart. schema: else it is asked for."""
+    later where() that the service can take. Ten tries for each page, two seconds apart. schema: else it is asked for.
+    tasks: how many may ask the service at once, where it bounds that."""
     spark.dataSource.register(OpenDataSource)
     spark.conf.set(PUSHDOWN, "true")
     base = domain if "://" in domain else f"https://{domain}"
     own = {"url": f"{base}/resource/{urllib.parse.quote(code)}.json", "about": f"{base}/api/views/{urllib.parse.quote(code)}.json", "tries": 10, "wait": 2, "timeout": 60, "page": page, "stretch": stretch}
-    own |= {k: v for k, v in {"where": conditions_text(filters), "limit": limit}.items() if v}
+    own |= {k: v for k, v in {"where": conditions_text(filters), "limit": limit, "tasks": tasks}.items() if v}
     reader = spark.read.format("opendata").options(**{k: str(v) for k, v in own.items()})
     return (reader.schema(schema) if schema else reader).load()
