@@ -16,13 +16,17 @@ candidate pairs across the components found so far are compared on those sets in
 pairs near the bound are emitted, to be confirmed like the others. No candidate is capped.
 
 Splitting a region parts pairs that no other tree may bring together: in a large group around one text a
-copy may be linked to that text alone. So all documents of regions that were split are compared once
-more, on their full sets: each two of them, of different components and of sizes that allow a link, in
-blocks whose shared shingles are counted by a matrix product. That is exact, and costs the square of such
-a group in products, not in rows.
+copy may be linked to that text alone. Such a pair shares first values of split regions only. So the
+documents with three such values or more are looked at once more, on their full sets, by a prefix filter:
+a document goes on if 75 percent of its shingles stand in other components too, and meets those with which
+it shares one of the rarest of its shingles. A line that very many documents hold brings none together,
+since it isn't among the rarest; what is left are groups of near copies. Each two documents of a group, of
+different components and of sizes that allow a link, are compared in blocks whose shared shingles are
+counted by a matrix product. That costs the square of such a group in products; the documents before it
+cost a row per shingle.
 
 A pair of likeness 0.75 agrees in the first value of a tree with probability 0.75; all 16 trees miss
-with 2e-10, at depth 3 with 1.5e-4.
+with 2e-10, at depth 3 with 1.5e-4; it shares fewer than three first values with 2.7e-7.
 
 Nulls, empties, ties: null or empty texts have no shingles and link with nothing; fewer than five words
 are one shingle; a group keeps its smallest doc_id; a null doc_id is its own, with a null component;
@@ -49,6 +53,8 @@ LIKENESS = 75  # percent
 TREES, STRIDE = 16, 8
 VALUES = TREES * STRIDE
 REGION = 256
+#: Pairs of likeness 0.75 that share fewer first values of the 16 trees: one in four million.
+SHARED = 3
 #: A pair is dropped unseen only if its estimate lies four, in the second round three, deviations under the bound.
 FLOOR, SECOND_FLOOR = 0.60, 0.64
 
@@ -250,17 +256,50 @@ def candidates(reps: DataFrame, region: int, floor: float, labelled: bool = Fals
     return order.mapInArrow(run, PAIR).distinct()
 
 
-def split_groups(reps: DataFrame, region: int) -> DataFrame | None:
-    """rep, group for the documents of regions that were split: documents that share the first value of a
-    tree with more than `region` of them are of one group, as are regions that share a document."""
+def split_members(reps: DataFrame, region: int) -> DataFrame | None:
+    """rep of the documents that a link may have been lost of as their regions were split: those with SHARED or more
+    first values that more than `region` documents have. A pair with a rarer value in common was in a whole region."""
     values = F.array(*(F.lit(t << 32) + F.conv(F.hex(F.substring("firsts", 4 * t + 1, 4)), 16, 10).cast("long") for t in range(TREES)))
     placed = reps.select("rep", F.explode(values).alias("at"))
     split = materialize(placed.groupBy("at").count().where(F.col("count") > region).select("at"), "split")
     if split.isEmpty():
         return None
-    members = materialize(placed.join(split, "at").groupBy("rep").agg(F.collect_set("at").alias("all")).select("rep", F.array_min("all").alias("at"), "all"), "members")
-    joined = components(members.select("at", F.explode("all").alias("other")).distinct(), "at", "other")
-    return members.select("rep", "at").join(joined, F.col("at") == F.col("node"), "left").select("rep", F.coalesce("component", "at").alias("group")).distinct()
+    return placed.join(split, "at").groupBy("rep").agg(F.count("*").alias("hot")).where(F.col("hot") >= SHARED).select("rep")
+
+
+GRAM_ROW = "rep long, label long, n_shingles long, gram long"
+
+
+def gram_rows(sets: DataFrame) -> DataFrame:
+    """A row per shingle of each set."""
+    names = ["rep", "label", "n_shingles", "gram"]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            own = [np.frombuffer(g, dtype=np.int64) for g in batch.column(3).to_pylist()]
+            if own:
+                sizes = [len(g) for g in own]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c.to_numpy(), sizes)) for c in batch.columns[:3]), pa.array(np.concatenate(own))], names)
+
+    return sets.select("rep", "label", "n_shingles", "grams").mapInArrow(run, GRAM_ROW)
+
+
+def prefix_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """rep, group for those of sets (rep, label, n_shingles, grams) that may be linked with one of another label.
+
+    Shingles are ordered by the number of sets that have them, those of a single label first. Two sets with `percent`
+    of their union in common share `percent` of each, so one of the first n - ceil(percent n) + 1 shingles of both; a
+    set with as many shingles of its own label alone is linked with no other. Sets that share such a shingle are of one group."""
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    counts = gram_rows(sets).groupBy("gram").agg(F.count("*").alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    across = materialize(counts.where("lo <> hi").select("gram", "times"), "across")
+    own = gram_rows(sets).join(across, "gram").groupBy("rep", "label", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("own"))
+    first = own.where(F.size("own") >= least).select("rep", "label", F.explode(F.slice("own", F.lit(1), (F.size("own") - least + 1).cast("int"))).alias("x"))
+    first = materialize(first.select("rep", "label", F.col("x.gram").alias("gram")), "prefixes")
+    shared = first.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "lo")
+    met = materialize(first.join(materialize(shared, "shared"), "gram").select("rep", "label", "lo").distinct(), "met")
+    joined = components(met.select("label", "lo").distinct(), "label", "lo")
+    return met.select("rep", "label").distinct().join(joined, F.col("label") == F.col("node")).select("rep", F.col("component").alias("group"))
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -313,17 +352,15 @@ def joining(ok: np.ndarray, of_x: np.ndarray, of_y: np.ndarray) -> list[tuple[in
 
 
 BLOCK, BLOCK_GRAMS = 2048, 1 << 20
-BROADCAST_GROUPS = 1_000_000
 
 
-def exact(docs: DataFrame, members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join the components of members (rep, k1, k2, label, n_shingles, group) as all links
+def exact(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the components of members (rep, k1, k2, label, n_shingles, grams, group) as all links
     within groups do. Sizes are dealt to classes so that linked sets are of one class or neighbouring ones."""
     size = F.floor(F.log("n_shingles") / math.log(100 / percent * 1.001)).cast("int")
     members = members.withColumn("size", size)
     big = members.groupBy("group", "size", "label").count().where(F.col("count") >= block // 2).select("group", "size", "label", F.col("label").alias("own"))
-    dealt = members.join(big, ["group", "size", "label"], "left")
-    dealt = materialize(gram_sets(docs, dealt, np.uint64), "sets")
+    dealt = materialize(members.join(big, ["group", "size", "label"], "left"), "sets")
     cells = dealt.groupBy("group", "size", "own").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / BLOCK_GRAMS)).cast("int").alias("parts"))
     cells = materialize(cells, "cells")
     name = F.concat_ws("/", F.col("group"), F.col("size"), F.coalesce(F.col("own").cast("string"), F.lit("-")), F.col("part"))
@@ -418,15 +455,14 @@ def _cluster(docs: DataFrame, percent: int, region: int) -> DataFrame:
         second = materialize(confirm(materialize(more, "pairs"), docs, percent), "links")
         links = links.union(second.where("ok").select("a", "b"))
         found = components(links)
-    groups = split_groups(reps, region)
-    if groups is not None:
-        found, groups = materialize(found, "components"), materialize(groups, "groups")
-        members = reps.join(groups, "rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("label"), "group")
-        members = materialize(members, "members")
-        several = materialize(members.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group"), "several")
-        # a number a group; beyond the bound the members are shuffled by group, which Spark splits where skewed
-        several = F.broadcast(several) if several.count() <= BROADCAST_GROUPS else several
-        found = components(links.union(materialize(exact(docs, members.join(several, "group"), percent), "links")))
+    split = split_members(reps, region)
+    if split is not None:
+        found, split = materialize(found, "components"), materialize(split, "split")
+        members = reps.join(split, "rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("label"))
+        members = materialize(gram_sets(docs, members, np.uint64), "members")
+        groups = materialize(prefix_groups(members, percent), "groups")
+        if not groups.isEmpty():
+            found = components(links.union(materialize(exact(members.join(groups, "rep"), percent), "links")))
     by_set = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -123,3 +123,21 @@ def test_long_texts_and_small_buffers_change_nothing(spark, monkeypatch):
     assert groups[1] == 0 and groups[2] == 2 and all(groups[i] == 3 for i in range(3, 43))
     monkeypatch.setattr(neardup, "AT_ONCE", 1)
     assert sorted(neardup.cluster(df, region=4).collect()) == first
+
+
+def test_a_line_in_every_document_brings_none_together(spark, monkeypatch):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    line = " ".join(word() for _ in range(40))
+    items = [" ".join(word() for _ in range(40)) + " " + line for _ in range(80)]
+    items += [f"{items[0]} more words {i}" for i in range(12)]
+    compared, exact = [], neardup.exact
+
+    def counted(*args, **more):
+        compared.append(next(x for x in args if "group" in getattr(x, "columns", [])).count())
+        return exact(*args, **more)
+
+    monkeypatch.setattr(neardup, "exact", counted)
+    rows = sorted(neardup.cluster(docs_of(spark, items).repartition(3), region=8).collect())
+    assert [(x.n_shingles, x.component_id) for x in rows] == brute(items)
+    assert sum(compared) < len(items) // 2  # the line is in split regions of all trees
