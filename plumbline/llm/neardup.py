@@ -17,16 +17,16 @@ pairs near the bound are emitted, to be confirmed like the others. No candidate
 
 Splitting a region parts pairs that no other tree may bring together: in a large group around one text a
 copy may be linked to that text alone. Such a pair shares first values of split regions only. So the
-documents with three such values or more are looked at once more, on their full sets, by a prefix filter:
-a document goes on if 75 percent of its shingles stand in other components too, and meets those with which
-it shares one of the rarest of its shingles. A line that very many documents hold brings none together,
+documents with SHARED such values or more are looked at once more, by a prefix filter on DRAWN values of
+their signatures: a document goes on if AGREEING of them stand in other components too, and meets those
+with which it shares one of the rarest of these. A line that very many documents hold brings few together,
 since it isn't among the rarest; what is left are groups of near copies. Each two documents of a group, of
-different components and of sizes that allow a link, are compared in blocks whose shared shingles are
-counted by a matrix product. That costs the square of such a group in products; the documents before it
-cost a row per shingle.
+different components and of sizes that allow a link, are compared on their full sets, in blocks whose
+shared shingles are counted by a matrix product. That costs the square of such a group in products; the
+documents before it cost DRAWN rows each.
 
 A pair of likeness 0.75 agrees in the first value of a tree with probability 0.75; all 16 trees miss
-with 2e-10, at depth 3 with 1.5e-4; it shares fewer than three first values with 2.7e-7.
+with 2e-10, at depth 3 with 1.5e-4; the prefix filter misses with 1.2e-5.
 
 Nulls, empties, ties: null or empty texts have no shingles and link with nothing; fewer than five words
 are one shingle; a group keeps its smallest doc_id; a null doc_id is its own, with a null component;
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Rolling, materialize, mix, ragged, temporary
+from .common import BASE, Rolling, in_slices, materialize, mix, ragged, temporary
 from .components import components
 from .repeats import word_hashes
 
@@ -53,8 +53,10 @@ LIKENESS = 75  # percent
 TREES, STRIDE = 16, 8
 VALUES = TREES * STRIDE
 REGION = 256
-#: Pairs of likeness 0.75 that share fewer first values of the 16 trees: one in four million.
-SHARED = 3
+#: A pair of likeness 0.75 shares fewer first values of the 16 trees with 3.8e-6.
+SHARED = 4
+#: It agrees in fewer of so many values of the signature with 8e-6.
+DRAWN, AGREEING = 32, 13
 #: A pair is dropped unseen only if its estimate lies four, in the second round three, deviations under the bound.
 FLOOR, SECOND_FLOOR = 0.60, 0.64
 
@@ -89,7 +91,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """n_shingles, the 128-bit key of the set and its signature: first values in full, all as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = shingles(text)
@@ -267,37 +269,36 @@ def split_members(reps: DataFrame, region: int) -> DataFrame | None:
     return placed.join(split, "at").groupBy("rep").agg(F.count("*").alias("hot")).where(F.col("hot") >= SHARED).select("rep")
 
 
-GRAM_ROW = "rep long, label long, n_shingles long, gram long"
+VALUE_ROW = "rep long, label long, value long"
 
 
-def gram_rows(sets: DataFrame) -> DataFrame:
-    """A row per shingle of each set."""
-    names = ["rep", "label", "n_shingles", "gram"]
+def value_rows(sets: DataFrame) -> DataFrame:
+    """A row for each of DRAWN values of each set's signature, in full."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        places = np.arange(DRAWN, dtype=np.int64) << 32
         for batch in batches:
-            own = [np.frombuffer(g, dtype=np.int64) for g in batch.column(3).to_pylist()]
+            own = [places | signature(np.frombuffer(g, dtype=np.uint64))[:DRAWN] for g in batch.column(2).to_pylist()]
             if own:
-                sizes = [len(g) for g in own]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c.to_numpy(), sizes)) for c in batch.columns[:3]), pa.array(np.concatenate(own))], names)
-
-    return sets.select("rep", "label", "n_shingles", "grams").mapInArrow(run, GRAM_ROW)
-
-
-def prefix_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """rep, group for those of sets (rep, label, n_shingles, grams) that may be linked with one of another label.
-
-    Shingles are ordered by the number of sets that have them, those of a single label first. Two sets with `percent`
-    of their union in common share `percent` of each, so one of the first n - ceil(percent n) + 1 shingles of both; a
-    set with as many shingles of its own label alone is linked with no other. Sets that share such a shingle are of one group."""
-    least = F.ceil(F.col("n_shingles") * percent / 100)
-    counts = gram_rows(sets).groupBy("gram").agg(F.count("*").alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    across = materialize(counts.where("lo <> hi").select("gram", "times"), "across")
-    own = gram_rows(sets).join(across, "gram").groupBy("rep", "label", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("own"))
-    first = own.where(F.size("own") >= least).select("rep", "label", F.explode(F.slice("own", F.lit(1), (F.size("own") - least + 1).cast("int"))).alias("x"))
-    first = materialize(first.select("rep", "label", F.col("x.gram").alias("gram")), "prefixes")
-    shared = first.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "lo")
-    met = materialize(first.join(materialize(shared, "shared"), "gram").select("rep", "label", "lo").distinct(), "met")
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c.to_numpy(), DRAWN)) for c in batch.columns[:2]), pa.array(np.concatenate(own))], ["rep", "label", "value"])
+
+    return sets.select("rep", "label", "grams").mapInArrow(run, VALUE_ROW)
+
+
+def prefix_groups(sets: DataFrame) -> DataFrame:
+    """rep, group for those of sets (rep, label, grams) that may be linked with one of another label.
+
+    Values are ordered by the number of sets that have them. Two sets with AGREEING values in common share one of the
+    first n - AGREEING + 1 of both, where n counts the values that other labels have too; a set with fewer of these
+    is linked with no other label. Sets that share such a value are of one group."""
+    rows = materialize(value_rows(sets), "values")
+    counts = rows.groupBy("value").agg(F.count("*").alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    across = materialize(counts.where("lo <> hi").select("value", "times"), "across")
+    own = rows.join(across, "value").groupBy("rep", "label").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("own"))
+    first = own.where(F.size("own") >= AGREEING).select("rep", "label", F.explode(F.slice("own", F.lit(1), F.size("own") - (AGREEING - 1))).alias("x"))
+    first = materialize(first.select("rep", "label", F.col("x.value").alias("value")), "prefixes")
+    shared = first.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value", "lo")
+    met = materialize(first.join(materialize(shared, "shared"), "value").select("rep", "label", "lo").distinct(), "met")
     joined = components(met.select("label", "lo").distinct(), "label", "lo")
     return met.select("rep", "label").distinct().join(joined, F.col("label") == F.col("node")).select("rep", F.col("component").alias("group"))
 
@@ -460,7 +461,7 @@ def _cluster(docs: DataFrame, percent: int, region: int) -> DataFrame:
         found, split = materialize(found, "components"), materialize(split, "split")
         members = reps.join(split, "rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("label"))
         members = materialize(gram_sets(docs, members, np.uint64), "members")
-        groups = materialize(prefix_groups(members, percent), "groups")
+        groups = materialize(prefix_groups(members), "groups")
         if not groups.isEmpty():
             found = components(links.union(materialize(exact(members.join(groups, "rep"), percent), "links")))
     by_set = reps.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
