@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, ragged
+from .common import free, in_slices, ragged
 
 #: A context and its next byte are 32 bits.
 ORDER = 3
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = sent.value
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [predict(own, x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],

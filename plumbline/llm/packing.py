@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged
+from .common import in_slices, ragged
 
 WINDOW = 4096
 END = 2
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
         words, packer = Words(path), Packer(window)
         packer.next = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(ids), 512):
                 for doc_id, own in zip(ids[lo : lo + 512], words.encode(texts[lo : lo + 512])):

@@ -191,3 +191,26 @@ def test_equal_texts_stand_together_in_shards(spark, sf, part_rows):
     for own in places.values():
         assert max(r.rank for r in own) - min(r.rank for r in own) == len(own) - 1  # neighbours on the curve
     assert sum(len({r.shard for r in own}) > 1 for own in places.values()) <= 15
+
+
+def test_tasks_work_on_slices_of_large_batches():
+    import pyarrow as pa
+
+    from plumbline.llm import common
+
+    large = [pa.RecordBatch.from_arrays([pa.array(range(n))], ["x"]) for n in (2 * common.SLICE + 1, 0, 5)]
+    got = list(common.in_slices(iter(large)))
+    assert max(b.num_rows for b in got) <= common.SLICE
+    assert [x for b in got for x in b.column(0).to_pylist()] == [*range(2 * common.SLICE + 1), *range(5)]
+
+
+def test_clean_documents_are_found_and_judged_by_one_worker(spark):
+    from plumbline.llm import decontaminate
+
+    bench = spark.createDataFrame([("i", " ".join(f"w{i}" for i in range(13))), ("k", "one two three")], "item_id string, text string")
+    rows = [(1, "x " * 400 + "one two three", "a"), (2, "x one two three", "b"), (3, None, "c"), (4, " ".join(f"w{i}" for i in range(14)), "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hit_words string")
+    for most in (100_000, 1):
+        out = decontaminate.clean(docs, bench, max_windows=most)
+        assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
