@@ -131,6 +131,57 @@ def test_suffixes_against_brute_force(spark, seed, length, keep_first, most):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(rows)] == brute_bytes(items, length, keep_first)
 
 
+def common_passages(seed, n=120):
+    """Texts around passages that most of them share, of lengths about the window's, and copies of some."""
+    r = random.Random(seed)
+    noise = lambda k: "".join(r.choice("abcdefghij é") for _ in range(k))
+    shared = [noise(k) for k in (14, 40, 57, 59, 60, 61, 75)]
+    ends = [noise(r.randint(1, 30)) for _ in range(8)]  # some texts agree a little further than the passage
+    out = [noise(r.randint(0, 90)) + r.choice(ends) + r.choice(shared) + r.choice(ends) + noise(r.randint(0, 90)) for _ in range(n)]
+    return out + out[3:9] + [out[5]] * 4 + ["a" * 200, "ab" * 120]
+
+
+@pytest.mark.parametrize("keep_first,most", [(False, 2), (True, 2), (False, 9), (True, 9)])
+def test_suffixes_of_common_passages_against_brute_force(spark, keep_first, most):
+    items = common_passages(11)
+    rows = suffixes.dedup(docs_of(spark, items).repartition(3), 60, keep_first, 12, most).collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sorted(rows)] == brute_bytes(items, 60, keep_first)
+
+
+def test_contexts_of_a_common_passage_are_not_dealt_window_by_window(spark, monkeypatch):
+    r = random.Random(12)
+    noise = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
+    passage = noise(300)
+    items = [noise(400) + passage + noise(400) for _ in range(300)]
+    items[7] = items[7][:600] + items[8][600:]  # from inside the passage on as the next
+    sizes = []
+
+    def spied(df, name, keep=False, write=suffixes.materialize):
+        out = write(df, name, keep)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", spied)
+    monkeypatch.setattr(repeats, "materialize", spied)
+    rows = suffixes.dedup(docs_of(spark, items)).collect()
+    assert [(r.doc_id, r.n_removed, r.n_spans) for r in sorted(rows) if r.n_removed] == [(7, 700, 1), (8, 700, 1)]
+    anchors = dict(reversed(sizes))["anchors"]  # of all texts; the passage has 256 contexts and more at an anchor
+    assert max(n for name, n in sizes if name == "contexts") > suffixes.MOST
+    assert all(n <= 2 * anchors for _, n in sizes), sizes
+
+
+def test_copies_of_a_row_make_no_squares(spark):
+    r = random.Random(13)
+    noise = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
+    passage = noise(50)
+    texts_ = [noise(60) + passage + noise(60) for _ in range(3)]
+    docs = spark.createDataFrame([(i, texts_[i]) for i in (0, 1, 2) for _ in range(20 if i == 0 else 1)], "doc_id long, text string")
+    _, refine = repeats.classify(repeats.find_segments(docs, repeats.byte_tokens, 60, 12).selectExpr("*", "true new"), True)
+    refine = refine.selectExpr("*", "0 origin")
+    rows = repeats.keyed(docs).selectExpr("doc_id", "tkey", "0 origin", "cast(text as binary) data")
+    assert suffixes.contexts(rows, refine, 60).count() == refine.count() == 22
+
+
 def test_suffix_ranks_and_longest_previous_factors():
     r = random.Random(0)
     for _ in range(30):
